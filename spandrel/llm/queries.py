@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spandrel.llm import packing, simhash, url_filter
+from spandrel.llm import packing, quality, simhash, toxicity, url_filter
 from spandrel.session import table
 
 
@@ -16,14 +16,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_url_filters": op3_url_filters,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_packing": op8_packing,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
