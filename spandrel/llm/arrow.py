@@ -10,17 +10,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def schema_of(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]], ddl: str, flush: int = 4096) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]], ddl: str | StructType, flush: int = 4096) -> DataFrame:
     """Apply a row function in Arrow batches.
 
     ``make()`` runs once a task and returns a function from a row (dict) to
     output tuples in the order of ``ddl``. Output goes out every ``flush`` rows.
     """
-    target = to_arrow_schema(schema_of(ddl))
+    target = to_arrow_schema(StructType.fromDDL(ddl) if isinstance(ddl, str) else ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, held = make(), []
