@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_CELLS = 200_000
-POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
+POWERS = {"source": 0.9, "lang": 0.9, "topic": 0.95}
 SEED = 42
 ROUNDS, TOLERANCE = 500, 1e-10
 ADDED = ("topic", "tokens", "weight", "probability", "kept")
