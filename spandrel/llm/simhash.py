@@ -14,6 +14,12 @@ Defined cases: a null text counts as an empty one; a text without words has
 fingerprint zero; rows with a null id keep their fingerprint but take no part
 in linking and have a null component; repeated ids and equal texts share one
 component; an empty table gives an empty result; other columns are ignored.
+
+``similar_documents`` finds documents of a shingle similarity of 0.8 or more,
+which lie further apart than 3 bits: their fingerprints have ``WIDE_WORDS`` x 64
+bits, cut into 21-bit segments that are probed with the same radius-one balls.
+Candidates are verified on the complete wide fingerprint, whose distance
+estimates the similarity with a deviation of about 0.03.
 """
 
 from __future__ import annotations
@@ -60,6 +66,120 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+WIDE_WORDS, SEGMENTS, SEGMENT_BITS = 8, 18, 21
+NEAR_BITS, SAME_BITS = 22, 6
+MARGIN = 0.02
+
+
+def wide_fingerprint(text: str | None, width: int) -> bytes:
+    """``WIDE_WORDS`` SimHash words: each takes its own mix of the shingle hash. A text without words has zero bits."""
+    digest = xxhash.xxh64_intdigest
+    base = np.array([digest(s, SEED) for s in shingles(text, width)], dtype="<u8")
+    if not len(base):
+        return bytes(8 * WIDE_WORDS)
+    salt = np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = base[:, None] + salt
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(31)
+    octets = np.ascontiguousarray(mixed, dtype="<u8").view(np.uint8).reshape(len(base), -1)
+    if len(base) < 64:
+        ones = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    else:
+        table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int32)
+        flat = octets.astype(np.int32) + np.arange(octets.shape[1], dtype=np.int32) * 256
+        counts = np.bincount(flat.ravel(), minlength=256 * octets.shape[1]).reshape(-1, 256).astype(np.int32)
+        ones = (counts @ table).ravel()
+    return np.packbits(ones * 2 > len(base), bitorder="little").tobytes()
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each row: components over links of estimated shingle similarity of at least ``similarity``.
+
+    Texts that are equal after lower-casing and white space are one node, so
+    groups of copies cost one row each.
+    """
+    allowed = int(64 * WIDE_WORDS * np.arccos(2 * (similarity - MARGIN) / (1 + similarity - MARGIN)) / np.pi)
+
+    def make():
+        def work(row):
+            words = b" ".join((row["t"] or "").encode("utf-8", "surrogatepass").lower().split())
+            yield row["i"], xxhash.xxh3_128_digest(words), wide_fingerprint(row["t"], width)
+
+        return work
+
+    own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    prints = materialize(map_rows(own, make, "doc_id long, same binary, fp binary"), "wide")
+    nodes = materialize(prints.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "wide")
+    pairs = nodes.select("rep", "fp").mapInArrow(_wide_keys, "key int, rep long, word long, own boolean").repartition("key").mapInArrow(_wide_pairs, "a long, b long").distinct()
+    sides = nodes.select(F.col("rep").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("rep").alias("b"), F.col("fp").alias("fb"))
+    word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
+    distance = sum((F.bit_count(word("fa", k).bitwiseXOR(word("fb", k))) for k in range(1, WIDE_WORDS)), F.bit_count(word("fa", 0).bitwiseXOR(word("fb", 0))))
+    near = pairs.join(sides[0], "a").join(sides[1], "b").where(distance <= allowed)
+    parts = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "rep")
+    named = nodes.join(parts, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    out = prints.select("doc_id", "same").join(named, "same", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each segment's value (own) and its radius-one probes that clear a set bit."""
+    masks = np.uint32(1) << np.arange(SEGMENT_BITS, dtype=np.uint32)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            rep = part.column(0).to_numpy()
+            octets = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+            bits = np.unpackbits(octets, axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT_BITS].reshape(part.num_rows, SEGMENTS, SEGMENT_BITS)
+            value = (bits * masks).sum(axis=2, dtype=np.uint32)
+            flips = value[:, :, None] ^ masks
+            row, seg, bit = np.nonzero(bits)
+            word = octets[:, -8:].copy().view("<i8").ravel()
+            n, own_row, own_seg = value.size, *(x.ravel() for x in np.indices(value.shape))
+            key = np.concatenate([own_seg.astype(np.uint32) << SEGMENT_BITS | value.ravel(), seg.astype(np.uint32) << SEGMENT_BITS | flips[row, seg, bit]]).astype(np.int32)
+            who = np.concatenate([own_row, row])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep[who]), pa.array(word[who]), pa.array(np.arange(len(key)) < n)], names=["key", "rep", "word", "own"])
+
+
+def _wide_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each bucket: every row with the bucket's leaders near it.
+
+    A row is taken off the list once it is all but equal to a leader; others lead in turn.
+    """
+    parts = [pa.Table.from_batches([b]) for b in batches]
+    if not parts:
+        return
+    rows = pa.concat_tables(parts)
+    key, rep, word = rows["key"].to_numpy(), rows["rep"].to_numpy(), rows["word"].to_numpy().view(np.uint64)
+    own = rows["own"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((rep, key))
+    key, rep, word, own = key[order], rep[order], word[order], own[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    held = np.add.reduceat(own.astype(np.int64), starts)
+    out: set[tuple[int, int]] = set()
+    two = starts[(sizes == 2) & (held > 0)]
+    near = two[np.bitwise_count(word[two] ^ word[two + 1]) <= NEAR_BITS]
+    out.update(zip(rep[near].tolist(), rep[near + 1].tolist()))
+    for i in np.flatnonzero((sizes > 2) & (held > 0)):
+        r, w = rep[starts[i] : starts[i] + sizes[i]], word[starts[i] : starts[i] + sizes[i]]
+        while len(r) > 1:
+            apart = np.bitwise_count(w[1:] ^ w[0])
+            out.update((int(r[0]), x) for x in r[1:][apart <= NEAR_BITS].tolist())
+            left = apart > SAME_BITS
+            r, w = r[1:][left], w[1:][left]
+        if len(out) > 500_000:
+            yield _pair_batch(out)
+            out = set()
+    if out:
+        yield _pair_batch(out)
+
+
+def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*(p for p in pairs if p[0] != p[1])) if any(p[0] != p[1] for p in pairs) else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(doc_id, fp): one row per input row; the id column is a long."""
 
