@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spandrel.llm import line_dedup, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filter
+from spandrel.llm import ann, line_dedup, media, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filter
 from spandrel.session import table
 
 
@@ -20,6 +20,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -45,6 +53,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_url_filters": op3_url_filters,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_media_columns": op5_media_columns,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_quality_classifier": op9_quality_classifier,
