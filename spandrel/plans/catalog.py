@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spandrel.plans import relational
+from spandrel.plans import relational, scalar
 
-MODULES = (relational,)
+MODULES = (relational, scalar)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
