@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spandrel.plans import relational, scalar
+from spandrel.plans import relational, scalar, windows
 
-MODULES = (relational, scalar)
+MODULES = (relational, windows, scalar)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

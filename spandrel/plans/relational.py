@@ -1,9 +1,12 @@
-"""Relational queries."""
+"""Relational queries: scans, joins, aggregates, sorts, set operations, subqueries, recursion."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spandrel.operators import aggregates as ag
+from spandrel.operators import joins, recursive, sorting
 from spandrel.plans.registry import Registry
 
 REGISTRY = Registry()
@@ -17,3 +20,385 @@ WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY c_mktsegment ORDER BY revenu
 def flagship_segment_revenue(t):
     sold = t.customer.join(t.orders.where("o_orderdate < timestamp_ntz'1996-01-01'"), F.expr("c_custkey = o_custkey")).join(t.lineitem, F.expr("l_orderkey = o_orderkey"))
     return sold.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue")).orderBy(F.desc("revenue")).limit(10)
+
+
+# Scans, values, filters
+
+
+@query("SELECT * FROM nation")
+def scan_full(t):
+    return t.nation
+
+
+@query("SELECT * FROM orders WHERE o_orderkey = 7")
+def scan_point_lookup(t):
+    return t.orders.where("o_orderkey = 7")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 200 AND o_orderpriority LIKE '1%'")
+def scan_range_prefix(t):
+    return t.orders.where(F.col("o_orderkey").between(100, 200) & F.col("o_orderpriority").startswith("1")).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(id, name)")
+def scan_values(t):
+    return t.spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, name string")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE false")
+def scan_empty(t):
+    return t.customer.select("c_custkey", "c_name").limit(0)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_quantity < 5 AND NOT (l_returnflag = 'R' OR l_linestatus IS NULL)")
+def scan_filter_project(t):
+    return t.lineitem.where("l_shipdate >= timestamp_ntz'1997-01-01' and l_quantity < 5 and not (l_returnflag = 'R' or l_linestatus is null)").select("l_orderkey", "l_linenumber", F.expr("l_extendedprice * (1 - l_discount)").alias("net"))
+
+
+@query("SELECT n_name, c_count FROM (SELECT n_name, count(*) AS c_count FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name) v WHERE c_count > 10")
+def view_expansion(t):
+    t.nation.createOrReplaceTempView("v_nation")
+    t.customer.createOrReplaceTempView("v_customer")
+    t.spark.sql("CREATE OR REPLACE TEMP VIEW v_counts AS SELECT n_name, count(*) AS c_count FROM v_nation JOIN v_customer ON n_nationkey = c_nationkey GROUP BY n_name")
+    return t.spark.sql("SELECT * FROM v_counts WHERE c_count > 10")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'O'")
+def query_parameters(t):
+    return t.spark.sql("SELECT o_orderkey, o_totalprice FROM {o} WHERE o_totalprice > :low AND o_orderstatus = :status", args={"low": 150000, "status": "O"}, o=t.orders)
+
+
+@query("SELECT (SELECT count(*) FROM customer) >= n AND n > 0 AS plausible FROM (SELECT count(*) AS n FROM customer WHERE c_custkey % 2 = 0)")
+def table_sample_bernoulli(t):
+    whole = t.customer.count()
+    return t.customer.sample(0.5, seed=3).agg(((F.count("*") > 0) & (F.count("*") <= whole)).alias("plausible"))
+
+
+@query("SELECT r_regionkey AS k, i FROM region, unnest(range(1, r_regionkey + 1)) u(i)")
+def table_function(t):
+    return t.spark.sql("SELECT r_regionkey AS k, i FROM {r}, LATERAL explode(sequence(1, r_regionkey)) AS u(i) WHERE r_regionkey > 0", r=t.region).select("k", F.col("i").cast("long").alias("i"))
+
+
+# Joins
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def join_inner_3way(t):
+    return t.customer.join(joins.small(t.nation), F.expr("c_nationkey = n_nationkey")).join(joins.small(t.region), F.expr("n_regionkey = r_regionkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000")
+def join_left(t):
+    return t.customer.join(t.orders.where("o_totalprice > 300000"), F.expr("c_custkey = o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT o_orderkey, s_suppkey FROM supplier RIGHT JOIN orders ON s_suppkey = o_custkey")
+def join_right(t):
+    return t.supplier.join(t.orders, F.expr("s_suppkey = o_custkey"), "right").select("o_orderkey", "s_suppkey")
+
+
+@query("SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey + 5 AND s_nationkey >= c_nationkey")
+def join_full(t):
+    return t.supplier.join(t.customer, F.expr("s_suppkey = c_custkey + 5 and s_nationkey >= c_nationkey"), "full").select("s_suppkey", "c_custkey")
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def join_cross(t):
+    return t.region.crossJoin(t.nation).select("r_name", "n_name")
+
+
+@query("SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey")
+def join_left_semi(t):
+    return joins.join(t.customer, t.orders, F.expr("c_custkey = o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+def join_left_anti(t):
+    return joins.join(t.customer, t.orders, F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders SEMI JOIN supplier ON s_suppkey = o_custkey")
+def join_right_semi(t):
+    return joins.join(t.supplier, t.orders, F.expr("s_suppkey = o_custkey"), "right_semi").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders ANTI JOIN supplier ON s_suppkey = o_custkey")
+def join_right_anti(t):
+    return joins.join(t.supplier, t.orders, F.expr("s_suppkey = o_custkey"), "right_anti").select("o_orderkey")
+
+
+@query("SELECT s_suppkey, r_regionkey FROM supplier JOIN region ON s_nationkey > r_regionkey * 5")
+def join_theta(t):
+    return t.supplier.join(joins.small(t.region), F.expr("s_nationkey > r_regionkey * 5")).select("s_suppkey", "r_regionkey")
+
+
+@query("SELECT r_regionkey, c_custkey FROM customer JOIN (SELECT r_regionkey, r_regionkey * 2000.0 - 1000 AS lo, r_regionkey * 2000.0 + 500 AS hi FROM region) b ON c_acctbal BETWEEN lo AND hi")
+def join_range_buckets(t):
+    bands = t.region.select("r_regionkey", (F.col("r_regionkey") * 2000.0 - 1000).alias("lo"), (F.col("r_regionkey") * 2000.0 + 500).alias("hi"))
+    return joins.range_join(t.customer, bands, "c_acctbal", "lo", "hi", 1000.0).select("r_regionkey", "c_custkey")
+
+
+@query("SELECT k, n_name, c_custkey FROM (SELECT n_nationkey AS k, n_name FROM nation) a JOIN (SELECT c_nationkey AS k, c_custkey FROM customer) b USING (k)")
+def join_using(t):
+    return t.nation.select(F.col("n_nationkey").alias("k"), "n_name").join(t.customer.select(F.col("c_nationkey").alias("k"), "c_custkey"), ["k"]).select("k", "n_name", "c_custkey")
+
+
+@query("SELECT k, n_name, s_suppkey FROM (SELECT n_nationkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT s_nationkey AS k, s_suppkey FROM supplier) b")
+def join_natural(t):
+    return joins.natural_join(t.nation.select(F.col("n_nationkey").alias("k"), "n_name"), t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey"))
+
+
+@query("SELECT l_returnflag, p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def join_salted(t):
+    sold = joins.salted_join(t.lineitem.withColumnRenamed("l_partkey", "k").select("k", "l_returnflag", "l_orderkey", "l_linenumber"), t.part.select(F.col("p_partkey").alias("k"), "p_brand"), "k", 8)
+    return sold.groupBy("l_returnflag", "p_brand").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)")
+def join_lateral_top(t):
+    return joins.lateral_top(t.customer.select("c_custkey"), t.orders, F.expr("o_custkey = c_custkey"), ["c_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT n_name, m.n FROM nation, LATERAL (SELECT count(*) AS n FROM customer WHERE c_nationkey = n_nationkey) m")
+def call_subquery_correlated(t):
+    return t.sql("SELECT n_name, m.n FROM {nation} LEFT JOIN LATERAL (SELECT count(*) AS n FROM {customer} WHERE c_nationkey = n_nationkey) m")
+
+
+# Aggregates
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, min(l_discount) AS min_disc, max(l_tax) AS max_tax, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def agg_hash_group(t):
+    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.min("l_discount").alias("min_disc"), F.max("l_tax").alias("max_tax"), F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, sum(c_acctbal) AS s, max(c_name) AS m FROM customer WHERE c_custkey < 0")
+def agg_global_empty(t):
+    return t.customer.where("c_custkey < 0").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("s"), F.max("c_name").alias("m"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+def agg_having(t):
+    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 12")
+
+
+@query("SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 200000) AS big, round(sum(o_totalprice) FILTER (WHERE o_orderpriority LIKE '1%'), 2) AS urgent FROM orders GROUP BY o_orderstatus")
+def agg_filter(t):
+    return t.orders.groupBy("o_orderstatus").agg(ag.filtered(F.count, F.lit(1), F.col("o_totalprice") > 200000).alias("big"), F.round(ag.filtered(F.sum, "o_totalprice", F.col("o_orderpriority").startswith("1")), 2).alias("urgent"))
+
+
+@query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, sum(DISTINCT extract(year FROM o_orderdate)) AS years FROM orders GROUP BY o_orderstatus")
+def agg_distinct(t):
+    return t.orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("customers"), F.sum_distinct(F.year("o_orderdate")).alias("years"))
+
+
+@query("SELECT c_mktsegment, c_nationkey, count(*) AS n, grouping(c_mktsegment) AS g1, grouping(c_nationkey) AS g2 FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
+def agg_rollup(t):
+    return t.customer.rollup("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.grouping("c_mktsegment").alias("g1"), F.grouping("c_nationkey").alias("g2"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS s, grouping_id(o_orderstatus, o_orderpriority) AS gid FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def agg_cube(t):
+    return t.orders.cube("o_orderstatus", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("s"), F.grouping_id("o_orderstatus", "o_orderpriority").alias("gid"))
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
+def agg_grouping_sets(t):
+    f, s, k = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
+    return t.lineitem.groupingSets([[f, s], [k], []], f, s, k).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS ss, round(stddev_pop(c_acctbal), 4) AS sp, round(var_samp(c_acctbal), 2) AS vs, round(var_pop(c_acctbal), 2) AS vp FROM customer GROUP BY c_mktsegment")
+def agg_stddev_var(t):
+    x = "c_acctbal"
+    return t.customer.groupBy("c_mktsegment").agg(F.round(F.stddev_samp(x), 4).alias("ss"), F.round(F.stddev_pop(x), 4).alias("sp"), F.round(F.var_samp(x), 2).alias("vs"), F.round(F.var_pop(x), 2).alias("vp"))
+
+
+@query("SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 4) AS q, round(quantile_cont(c_acctbal, 0.5), 4) AS m, quantile_disc(c_acctbal, 0.9) AS d FROM customer GROUP BY c_mktsegment")
+def agg_percentiles(t):
+    return t.customer.groupBy("c_mktsegment").agg(F.round(ag.percentile_cont(0.25, "c_acctbal"), 4).alias("q"), F.round(ag.percentile_cont(0.5, "c_acctbal"), 4).alias("m"), ag.percentile_disc(0.9, "c_acctbal").alias("d"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, list(n_nationkey ORDER BY n_nationkey) AS ids FROM nation GROUP BY n_regionkey")
+def agg_string_array(t):
+    return t.nation.groupBy("n_regionkey").agg(ag.string_agg("n_name").alias("names"), ag.array_agg("n_nationkey").alias("ids"))
+
+
+@query("""SELECT n_regionkey, '[' || string_agg(n_nationkey, ',' ORDER BY n_nationkey) || ']' AS ids, '{' || string_agg('"' || n_name || '":' || n_nationkey, ',' ORDER BY n_name) || '}' AS obj FROM nation GROUP BY n_regionkey""")
+def agg_json(t):
+    return t.nation.groupBy("n_regionkey").agg(ag.json_agg("n_nationkey").alias("ids"), ag.json_object_agg("n_name", "n_nationkey").alias("obj"))
+
+
+@query("SELECT c_mktsegment, bool_and(c_acctbal > -990) AS every_one, bool_or(c_acctbal > 9900) AS any_one FROM customer GROUP BY c_mktsegment")
+def agg_bool(t):
+    return t.customer.groupBy("c_mktsegment").agg(ag.bool_and(F.col("c_acctbal") > -990).alias("every_one"), ag.bool_or(F.col("c_acctbal") > 9900).alias("any_one"))
+
+
+@query("SELECT label, list(round(m, 5) ORDER BY i) AS centroid FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, unnest(range(1, 65)) u(i) GROUP BY label, i) GROUP BY label")
+def agg_vector_centroid(t):
+    return ag.vector_avg(t.embeddings, ["label"], "embedding").select("label", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def distinct_rows(t):
+    return t.orders.select("o_orderstatus", "o_orderpriority").distinct()
+
+
+@query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+def distinct_on(t):
+    return sorting.distinct_on(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], F.desc("o_totalprice"), F.asc("o_orderkey"))
+
+
+# Sorts and limits
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 20")
+def sort_top_k(t):
+    return t.customer.select("c_custkey", "c_acctbal").orderBy(sorting.sort_key("c_acctbal", True), sorting.sort_key("c_custkey")).limit(20)
+
+
+@query("SELECT c_custkey FROM customer ORDER BY nullif(c_mktsegment, 'BUILDING') NULLS LAST, c_custkey LIMIT 15 OFFSET 30")
+def sort_limit_offset(t):
+    keyed = t.customer.withColumn("k", F.nullif("c_mktsegment", F.lit("BUILDING")))
+    return sorting.page(keyed, 15, 30, sorting.sort_key("k"), sorting.sort_key("c_custkey")).select("c_custkey")
+
+
+@query("SELECT c_custkey, c_nationkey FROM (SELECT *, rank() OVER (ORDER BY c_nationkey) AS r FROM customer) WHERE r <= 10")
+def limit_with_ties(t):
+    return sorting.limit_with_ties(t.customer.select("c_custkey", "c_nationkey"), 10, [("c_nationkey", False)])
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r FROM orders) WHERE r <= 2")
+def limit_with_ties_by_group(t):
+    return sorting.limit_with_ties(t.orders.select("o_custkey", "o_orderkey", "o_orderpriority"), 2, [("o_orderpriority", False)], by=["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+# Set operations
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def set_union_all(t):
+    return t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def set_union(t):
+    return t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct()
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def set_intersect(t):
+    return t.customer.select(F.col("c_nationkey").alias("k")).intersect(t.supplier.select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def set_intersect_all(t):
+    return t.customer.select(F.col("c_nationkey").alias("k")).intersectAll(t.supplier.select("s_nationkey"))
+
+
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+def set_except(t):
+    return t.nation.select(F.col("n_nationkey").alias("k")).subtract(t.supplier.select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def set_except_all(t):
+    return t.customer.select(F.col("c_nationkey").alias("k")).exceptAll(t.supplier.select("s_nationkey"))
+
+
+@query("(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT (SELECT n_nationkey FROM nation WHERE n_regionkey = 1 INTERSECT SELECT n_nationkey FROM nation)")
+def set_nested(t):
+    either = t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey"))
+    return either.subtract(t.nation.where("n_regionkey = 1").select("n_nationkey").intersect(t.nation.select("n_nationkey")))
+
+
+@query("SELECT id, name, NULL AS extra FROM (VALUES (1, 'a')) a(id, name) UNION ALL SELECT id, NULL, extra FROM (VALUES (2, 'x')) b(id, extra)")
+def set_union_sparse_columns(t):
+    return t.spark.createDataFrame([(1, "a")], "id int, name string").unionByName(t.spark.createDataFrame([(2, "x")], "id int, extra string"), allowMissingColumns=True)
+
+
+# Subqueries and CTEs
+
+
+@query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
+def subquery_exists(t):
+    return t.sql("SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
+
+
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def subquery_not_exists(t):
+    return t.sql("SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND p_size NOT IN (SELECT n_nationkey FROM nation)")
+def subquery_in(t):
+    return t.sql("SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 49) AND p_size NOT IN (SELECT n_nationkey FROM {nation})")
+
+
+@query("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(i.o_totalprice) * 1.5 FROM orders i WHERE i.o_custkey = o.o_custkey)")
+def subquery_scalar_correlated(t):
+    return t.sql("SELECT o_orderkey FROM {orders} o WHERE o_totalprice > (SELECT avg(i.o_totalprice) * 1.5 FROM {orders} i WHERE i.o_custkey = o.o_custkey)")
+
+
+@query("SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS best FROM customer")
+def subquery_scalar_select(t):
+    return t.sql("SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} WHERE o_custkey = c_custkey) AS best FROM {customer}")
+
+
+@query("WITH a AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1), b AS (SELECT avg(s) AS m FROM a) SELECT o_custkey, round(s, 2) AS s FROM a, b WHERE s > m * 1.4")
+def cte_chained(t):
+    return t.sql("WITH a AS (SELECT o_custkey, sum(o_totalprice) AS s FROM {orders} GROUP BY o_custkey), b AS (SELECT avg(s) AS m FROM a) SELECT o_custkey, round(s, 2) AS s FROM a, b WHERE s > m * 1.4")
+
+
+@query("WITH RECURSIVE r(n, f) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT * FROM r")
+def cte_recursive_all(t):
+    seed = t.spark.createDataFrame([(1, 1)], "n int, f long")
+    return recursive.recursive(seed, lambda r: r.where("n < 12").select((F.col("n") + 1).alias("n"), (F.col("f") * (F.col("n") + 1)).alias("f")), distinct=False)
+
+
+def _links(t):
+    return t.orders.select((F.col("o_custkey") % 40).alias("a"), (F.col("o_orderkey") % 41).alias("b")).distinct()
+
+
+LINKS = "(SELECT DISTINCT o_custkey % 40 AS a, o_orderkey % 41 AS b FROM orders WHERE o_orderkey <= 60)"
+
+
+@query(f"WITH RECURSIVE r(x) AS (SELECT 1::BIGINT UNION SELECT b FROM r JOIN {LINKS} l ON a = x) SELECT * FROM r")
+def cte_recursive_union(t):
+    edges = _links(type("T", (), {"orders": t.orders.where("o_orderkey <= 60")}))
+    seed = t.spark.createDataFrame([(1,)], "x long")
+    return recursive.recursive(seed, lambda r: r.join(edges, F.expr("a = x")).select(F.col("b").alias("x")))
+
+
+@query("WITH RECURSIVE r(k, path) AS (SELECT 1::BIGINT, [1::BIGINT] UNION ALL SELECT c, list_append(path, c) FROM r, LATERAL (SELECT unnest([k * 2, k * 2 + 1]) AS c) WHERE c < 16) SELECT k, path AS ord FROM r")
+def cte_search_depth_first(t):
+    seed = t.spark.createDataFrame([(1,)], "k long")
+    step = lambda r: r.select(F.explode(F.array(F.col("k") * 2, F.col("k") * 2 + 1)).alias("k"), "__path").where("k < 16")
+    return recursive.with_search(seed, step, "k", "ord")
+
+
+@query("WITH RECURSIVE r(k, d) AS (SELECT 1::BIGINT, 1 UNION ALL SELECT c, d + 1 FROM r, LATERAL (SELECT unnest([k * 2, k * 2 + 1]) AS c) WHERE c < 16) SELECT k, row_number() OVER (ORDER BY d, k) AS place FROM r")
+def cte_search_breadth_first(t):
+    seed = t.spark.createDataFrame([(1,)], "k long")
+    step = lambda r: r.select(F.explode(F.array(F.col("k") * 2, F.col("k") * 2 + 1)).alias("k"), "__path").where("k < 16")
+    return recursive.with_search(seed, step, "k", "ord", depth_first=False).select("k", F.row_number().over(Window.orderBy("ord")).alias("place"))
+
+
+@query("""WITH RECURSIVE e(a, b) AS (VALUES (1, 2), (2, 3), (3, 1), (3, 4)), r(k, path, is_cycle) AS (SELECT 1, [1], false UNION ALL SELECT b, list_append(path, b), list_contains(path, b) FROM r JOIN e ON a = k WHERE NOT is_cycle) SELECT * FROM r""")
+def cte_cycle(t):
+    edges = t.spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "a int, b int")
+    seed = t.spark.createDataFrame([(1,)], "k int")
+    return recursive.with_cycle(seed, lambda r: r.join(F.broadcast(edges), F.expr("a = k")).select(F.col("b").alias("k"), "path", "is_cycle"), "k")
+
+
+@query("SELECT doc_id, w FROM (SELECT doc_id, unnest(string_split(lang || ',' || source, ',')) AS w FROM documents)")
+def unwind_list(t):
+    return recursive.unwind(t.documents.select("doc_id", F.split(F.concat_ws(",", "lang", "source"), ",").alias("l")), "l", "w").select("doc_id", "w")
+
+
+@query("SELECT label AS name, count(*) AS n FROM (SELECT 'Customer' AS label FROM customer UNION ALL SELECT 'Order' FROM orders) GROUP BY label")
+def catalog_statistics(t):
+    from spandrel.sources.catalog import label_counts
+
+    nodes = t.customer.select(F.array(F.lit("Customer")).alias("labels")).union(t.orders.select(F.array(F.lit("Order"))))
+    return label_counts(nodes)
