@@ -178,11 +178,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", trai
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score added; statistics are computed once, below the rules."""
+    """``docs`` with the score added.
+
+    The statistics pass through a generator of one row, which keeps filters on
+    the score from being pushed into them and computing them once for each rule.
+    """
     used = sorted({test[0] for rule, _ in model.rules for test in rule.tests})
-    stats = {f: c for f, c in statistics(F.col(text_col)).items() if f in used}
-    below = docs.withColumns({f"__{f}": c.cast("double") for f, c in stats.items()}) if stats else docs
-    return below.withColumn(name, model.score({f: F.col(f"__{f}") for f in stats})).drop(*[f"__{f}" for f in stats])
+    if not used:
+        return docs.withColumn(name, model.score({}))
+    stats = statistics(F.col(text_col))
+    below = docs.select("*", F.inline(F.array(F.struct(*[stats[f].cast("double").alias(f"__{f}") for f in used]))))
+    return below.withColumn(name, model.score({f: F.col(f"__{f}") for f in used})).drop(*[f"__{f}" for f in used])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
