@@ -6,8 +6,11 @@ holds. Equal strings have equal minimizers, so suffixes only meet in the bucket
 of their minimizer, and each bucket gets a suffix order of its own:
 
 1. Documents are packed, compressed, into rows of a few MB (``packs``).
-2. Each pack sends its distinct minimizer hashes to buckets; a bucket returns
-   those that several documents hold. Only they are looked at further.
+2. A 50-byte string reaches at least 17 bytes past its minimizer on one side. So
+   a pack sends for each minimizer the hash of the gram with its 17 bytes to the
+   left, and that with those to the right; a bucket returns the hashes that
+   several documents hold. Only minimizers with such a hash are looked at
+   further. (The hash only filters; its width grows with the input.)
 3. For these, a pack sends each distinct context (the union of the 50-byte
    strings of one minimizer) once, with its smallest document id.
 4. A bucket sorts the strings of its contexts in suffix order and computes
@@ -39,7 +42,8 @@ from pyspark.sql import functions as F
 
 from spandrel.session import materialize
 
-MIN_BYTES, GRAM = 50, 16
+MIN_BYTES, GRAM, SIDE = 50, 16, 17
+SPARE_BITS = 14
 PACK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
 SLICE = 1 << 22
 POSITION_BITS = 23
@@ -51,11 +55,11 @@ def _words(data: np.ndarray, order: str = "<u8") -> np.ndarray:
     return np.ndarray((len(data) - 7,), dtype=order, buffer=data, strides=(1,)).astype(np.uint64)
 
 
-def minimizer_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last) of each run of 50-byte strings, by start, that share a minimizer."""
+def minimizer_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, place, first, last) of each run of 50-byte strings, by start, that share a minimizer."""
     empty = np.empty(0, dtype=np.int64)
     if len(data) < MIN_BYTES:
-        return empty.astype(np.uint64), empty, empty
+        return empty.astype(np.uint64), empty, empty, empty
     parts = []
     for at in range(0, len(data) - MIN_BYTES + 1, SLICE):
         piece = np.ascontiguousarray(data[at : at + SLICE + MIN_BYTES - 1])
@@ -72,10 +76,39 @@ def minimizer_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
         low = np.minimum(low[:-rest], low[rest:])
         place = (low & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        parts.append((mixed[place[first]], first + at, np.r_[first[1:], len(place)] - 1 + at))
+        parts.append((mixed[place[first]], place[first] + at, first + at, np.r_[first[1:], len(place)] - 1 + at))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def side_keys(data: np.ndarray, gram: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``bits`` bits of each gram with its ``SIDE`` bytes to the left and to the right; where those are missing, 0."""
+    padded = np.concatenate([np.zeros(24, dtype=np.uint8), data, np.zeros(24 + GRAM, dtype=np.uint8)])
+    view = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    sides = []
+    for salt, offsets in ((0x8CB92BA72F3D8DD7, (-8, -16, -SIDE)), (0xA24BAED4963EE407, (GRAM, GRAM + 8, GRAM + SIDE - 8))):
+        key = gram + np.uint64(salt)
+        for offset in offsets:
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + view[place + 24 + offset]
+        key = (key ^ (key >> np.uint64(28))) * np.uint64(0xD6E8FEB86659FD93)
+        sides.append(np.maximum((key ^ (key >> np.uint64(32))) >> np.uint64(64 - bits), np.uint64(1)))
+    return np.where(place >= SIDE, sides[0], np.uint64(0)), np.where(place + GRAM + SIDE <= len(data), sides[1], np.uint64(0))
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Sorted whole numbers as compressed byte planes of their differences."""
+    gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    planes = gaps.view(np.uint8).reshape(-1, 8).T
+    kept = max(1, int(np.flatnonzero(planes.any(axis=1))[-1]) + 1) if planes.any() else 1
+    return bytes([kept]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes[:kept]).tobytes())
+
+
+def _unsqueeze(blob: bytes) -> np.ndarray:
+    kept, raw = blob[0], np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), dtype=np.uint8)
+    planes = np.zeros((len(raw) // kept, 8), dtype=np.uint8)
+    planes[:, :kept] = raw.reshape(kept, -1).T
+    return np.cumsum(planes.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["batch", "ids", "sizes", "data", "n"]
     press, seen = zstandard.ZstdCompressor(level=3), 0
@@ -109,46 +142,53 @@ def _documents(ids: list, sizes: list, data: bytes) -> Iterator[tuple]:
         at += size
 
 
-def _key_rows(buckets: int):
+def _key_rows(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 keys, owners = [], []
-                for n, (doc, data) in enumerate(_documents(row["ids"], row["sizes"], row["data"])):
-                    if doc is not None:
-                        own = np.unique(minimizer_runs(data)[0])
+                for doc, data in _documents(row["ids"], row["sizes"], row["data"]):
+                    if doc is not None and len(data) >= MIN_BYTES:
+                        gram, place, _, _ = minimizer_runs(data)
+                        own = np.concatenate(side_keys(data, gram, place, bits))
                         keys.append(own)
                         owners.append(np.full(len(own), doc, dtype=np.int64))
                 if not keys:
                     continue
                 key, owner = np.concatenate(keys), np.concatenate(owners)
-                order = np.lexsort((owner, key))
+                real = key > 0
+                key, owner = key[real], owner[real]
+                order = np.argsort(key)
                 key, owner = key[order], owner[order]
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
-                last = np.r_[first[1:], len(key)] - 1 if len(key) else first
-                many, key, owner = owner[first] != owner[last], key[first], owner[first]
-                # The lowest bit of a key says whether several documents of the pack hold it.
-                sent = (key >> np.uint64(1) << np.uint64(1)) | many.astype(np.uint64)
-                yield _by_bucket(row["batch"], (key >> np.uint64(1)) % np.uint64(buckets), sent)
+                if not len(first):
+                    continue
+                many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+                key = key[first]
+                # The lowest bit of what is sent says whether several documents of the pack hold the key.
+                cut = np.searchsorted(key, _starts(buckets, bits))
+                sent = key << np.uint64(1) | many.astype(np.uint64)
+                some = np.flatnonzero(np.diff(np.r_[cut, len(key)]))
+                ends = np.r_[cut[1:], len(key)]
+                low = _starts(buckets, bits) << np.uint64(1)
+                blobs = [_squeeze(sent[cut[k] : ends[k]] - low[k]) for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([row["batch"]] * len(some), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "batch", "blob"])
 
     return run
 
 
-def _by_bucket(batch: int, bucket: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
-    bucket, values = bucket[order], values[order]
-    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, dtype=np.int64)
-    blobs = [x.tobytes() for x in np.split(values, first[1:])] if len(first) else []
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), pa.array([batch] * len(first), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "batch", "blob"])
+def _starts(buckets: int, bits: int) -> np.ndarray:
+    """Smallest key of each bucket; buckets are ranges of keys, so that sorted keys lie close."""
+    return np.array([(k << bits) // buckets for k in range(buckets)], dtype=np.uint64)
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """For each pack of a bucket, its minimizer hashes (without the lowest bit) that several documents hold."""
-    blobs = [np.frombuffer(b, dtype=np.uint64) for b in table["blob"].to_pylist()]
+    """For each pack of a bucket, its keys that several documents hold, relative to the bucket's smallest."""
+    blobs = [_unsqueeze(b) for b in table["blob"].to_pylist()]
     key = np.concatenate(blobs)
     who = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])
     bare = key >> np.uint64(1)
-    order = np.argsort(bare, kind="stable")
+    order = np.argsort(bare)
     bare, who, many = bare[order], who[order], (key[order] & np.uint64(1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, bare[1:] != bare[:-1]])
     sizes = np.diff(np.r_[first, len(bare)])
@@ -158,27 +198,30 @@ def _repeated(table: pa.Table) -> pa.Table:
     bare, who = bare[order], who[order]
     cut = np.searchsorted(who, np.arange(len(blobs) + 1))
     some = np.flatnonzero(np.diff(cut))
-    return pa.table({"batch": pa.array(table["batch"].to_numpy()[some]), "blob": pa.array([bare[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())})
+    return pa.table({"batch": pa.array(table["batch"].to_numpy()[some]), "bucket": pa.array(table["bucket"].to_numpy()[some]), "blob": pa.array([_squeeze(bare[cut[i] : cut[i + 1]]) for i in some], pa.binary())})
 
 
-def _contexts(row: dict, buckets: int):
+def _contexts(row: dict, buckets: int, bits: int):
     """The pack's distinct contexts with repeated minimizers, in a fixed order, and the runs that use them.
 
     Returns (documents, runs, contexts): runs are (document number, first, last, context number);
     contexts are (bucket, smallest id, bytes).
     """
-    wanted = np.sort(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in row["blobs"]])) if row["blobs"] else np.empty(0, dtype=np.uint64)
+    low = _starts(buckets, bits)
+    held = sorted(row["blobs"] or [], key=lambda x: x["bucket"])
+    wanted = np.concatenate([_unsqueeze(x["blob"]) + low[x["bucket"]] for x in held]) if held else np.empty(0, dtype=np.uint64)
     docs, runs, found, contexts = [], [], {}, []
     for n, (doc, data) in enumerate(_documents(row["ids"], row["sizes"], row["data"])):
         docs.append((doc, data))
-        if doc is None or not len(wanted):
+        if doc is None or not len(wanted) or len(data) < MIN_BYTES:
             continue
-        key, first, last = minimizer_runs(data)
-        bare = key >> np.uint64(1)
-        at = np.minimum(np.searchsorted(wanted, bare), len(wanted) - 1)
-        hit = np.flatnonzero(wanted[at] == bare)
+        gram, place, first, last = minimizer_runs(data)
+        found_here = np.zeros(len(gram), dtype=bool)
+        for key in side_keys(data, gram, place, bits):
+            found_here |= wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+        hit = np.flatnonzero(found_here)
         raw = data.tobytes()
-        for k, a, b in zip((bare[hit] % np.uint64(buckets)).tolist(), first[hit].tolist(), last[hit].tolist()):
+        for k, a, b in zip((gram[hit] % np.uint64(buckets)).tolist(), first[hit].tolist(), last[hit].tolist()):
             text = raw[a : b + MIN_BYTES]
             number = found.get(text)
             if number is None:
@@ -188,12 +231,12 @@ def _contexts(row: dict, buckets: int):
     return docs, runs, contexts
 
 
-def _context_rows(buckets: int):
+def _context_rows(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, contexts = _contexts(row, buckets)
+                _, _, contexts = _contexts(row, buckets, bits)
                 by: dict[int, list] = {}
                 for k, doc, text in contexts:
                     by.setdefault(k, []).append((doc, text))
@@ -209,17 +252,26 @@ def _context_rows(buckets: int):
     return run
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Dense ranks of whole numbers."""
+    order = np.argsort(values)
+    ordered = values[order]
+    out = np.empty(len(values), dtype=np.uint64)
+    out[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]) if len(values) else 0
+    return out
+
+
 def suffix_classes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Rank of the ``MIN_BYTES``-byte prefixes of the suffixes at ``starts``, in suffix order; equal prefixes share a rank.
 
     Prefix doubling: ranks of 8, 16 and 32 bytes, then two overlapping ones of 32.
     """
     padded = np.r_[text, np.zeros(MIN_BYTES, dtype=np.uint8)]
-    rank = np.unique(_words(padded, ">u8")[: len(text)], return_inverse=True)[1].astype(np.uint64)
+    rank = _ranks(_words(padded, ">u8")[: len(text)])
     for step in (8, 16):
         ahead = np.r_[rank[step:], np.zeros(min(step, len(rank)), dtype=np.uint64)][: len(rank)]
-        rank = np.unique(rank << np.uint64(32) | ahead, return_inverse=True)[1].astype(np.uint64)
-    return np.unique(rank[starts] << np.uint64(32) | rank[starts + MIN_BYTES - 32], return_inverse=True)[1]
+        rank = _ranks(rank << np.uint64(32) | ahead)
+    return _ranks(rank[starts] << np.uint64(32) | rank[starts + MIN_BYTES - 32])
 
 
 def smallest_holder(classes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -277,17 +329,17 @@ def _judge(table: pa.Table) -> pa.Table:
     return pa.table({"batch": table["batch"], "bucket": table["bucket"], "words": pa.array(words, pa.binary())})
 
 
-def _remove(buckets: int):
+def _remove(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                docs, runs, contexts = _contexts(row, buckets)
+                docs, runs, contexts = _contexts(row, buckets, bits)
                 by = {x["bucket"]: iter(np.frombuffer(x["words"], dtype=np.uint64).tolist()) for x in row["judged"] or []}
-                bits = [next(by[k]) for k, _, _ in contexts]
+                flags = [next(by[k]) for k, _, _ in contexts]
                 whole = [(1 << (len(t) - MIN_BYTES + 1)) - 1 for _, _, t in contexts]
                 cover = [np.zeros(len(data) + 1, dtype=np.int32) if len(data) >= MIN_BYTES else None for _, data in docs]
                 for n, a, b, number in runs:
-                    mask = whole[number] if docs[n][0] > contexts[number][1] else bits[number]
+                    mask = whole[number] if docs[n][0] > contexts[number][1] else flags[number]
                     if mask == whole[number]:
                         cover[n][a] += 1
                         cover[n][b + MIN_BYTES] -= 1
@@ -317,11 +369,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packs = materialize(own.mapInArrow(_pack, "batch long, ids array<long>, sizes array<long>, data binary, n long"), "packs")
     total = packs.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    keys = packs.mapInArrow(_key_rows(buckets), "bucket long, batch long, blob binary")
-    repeated = keys.groupBy("bucket").applyInArrow(_repeated, "batch long, blob binary")
-    wanted = materialize(repeated.groupBy("batch").agg(F.collect_list("blob").alias("blobs")), "repeats")
+    bits = min(62, max(32, int(total).bit_length() + SPARE_BITS))
+    keys = packs.mapInArrow(_key_rows(buckets, bits), "bucket long, batch long, blob binary")
+    repeated = keys.groupBy("bucket").applyInArrow(_repeated, "batch long, bucket long, blob binary")
+    wanted = materialize(repeated.groupBy("batch").agg(F.collect_list(F.struct("bucket", "blob")).alias("blobs")), "repeats")
     joined = packs.join(wanted, "batch", "left")
-    sent = joined.where("blobs is not null").mapInArrow(_context_rows(buckets), "bucket long, batch long, ids binary, sizes binary, texts binary")
+    sent = joined.where("blobs is not null").mapInArrow(_context_rows(buckets, bits), "bucket long, batch long, ids binary, sizes binary, texts binary")
     judged = sent.groupBy("bucket").applyInArrow(_judge, "batch long, bucket long, words binary")
     told = judged.groupBy("batch").agg(F.collect_list(F.struct("bucket", "words")).alias("judged"))
-    return joined.join(told, "batch", "left").mapInArrow(_remove(buckets), RESULT)
+    return joined.join(told, "batch", "left").mapInArrow(_remove(buckets, bits), RESULT)
