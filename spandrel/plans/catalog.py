@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spandrel.plans import relational, scalar, windows
+from spandrel.plans import changes, graphs, relational, scalar, vectors, windows
 
-MODULES = (relational, windows, scalar)
+MODULES = (relational, windows, scalar, vectors, graphs, changes)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

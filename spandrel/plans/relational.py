@@ -356,17 +356,14 @@ def cte_recursive_all(t):
     return recursive.recursive(seed, lambda r: r.where("n < 12").select((F.col("n") + 1).alias("n"), (F.col("f") * (F.col("n") + 1)).alias("f")), distinct=False)
 
 
-def _links(t):
-    return t.orders.select((F.col("o_custkey") % 40).alias("a"), (F.col("o_orderkey") % 41).alias("b")).distinct()
+LINKS = "(SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount = 0.1)"
 
 
-LINKS = "(SELECT DISTINCT o_custkey % 40 AS a, o_orderkey % 41 AS b FROM orders WHERE o_orderkey <= 60)"
-
-
-@query(f"WITH RECURSIVE r(x) AS (SELECT 1::BIGINT UNION SELECT b FROM r JOIN {LINKS} l ON a = x) SELECT * FROM r")
+@query(f"WITH RECURSIVE r(x) AS (SELECT 1 UNION SELECT b FROM r JOIN {LINKS} l ON a = x) SELECT * FROM r")
 def cte_recursive_union(t):
-    edges = _links(type("T", (), {"orders": t.orders.where("o_orderkey <= 60")}))
-    seed = t.spark.createDataFrame([(1,)], "x long")
+    sold = t.lineitem.where("l_quantity = 50 and l_discount = 0.1").join(t.orders, F.expr("l_orderkey = o_orderkey")).join(t.customer, F.expr("o_custkey = c_custkey")).join(t.supplier, F.expr("l_suppkey = s_suppkey"))
+    edges = sold.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
+    seed = t.spark.createDataFrame([(1,)], "x int")
     return recursive.recursive(seed, lambda r: r.join(edges, F.expr("a = x")).select(F.col("b").alias("x")))
 
 
