@@ -67,14 +67,17 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 WIDE_WORDS, SEGMENTS, SEGMENT_BITS = 8, 18, 21
-NEAR_BITS, SAME_BITS = 22, 6
+NEAR_BITS, SAME_BITS = 18, 14
 MARGIN = 0.02
 
 
 def wide_fingerprint(text: str | None, width: int) -> bytes:
-    """``WIDE_WORDS`` SimHash words: each takes its own mix of the shingle hash. A text without words has zero bits."""
+    """``WIDE_WORDS`` SimHash words over the distinct shingles: each takes its own mix of the shingle hash.
+
+    A text without words has zero bits.
+    """
     digest = xxhash.xxh64_intdigest
-    base = np.array([digest(s, SEED) for s in shingles(text, width)], dtype="<u8")
+    base = np.array(list({digest(s, SEED) for s in shingles(text, width)}), dtype="<u8")
     if not len(base):
         return bytes(8 * WIDE_WORDS)
     salt = np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -111,63 +114,82 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     prints = materialize(map_rows(own, make, "doc_id long, same binary, fp binary"), "wide")
     nodes = materialize(prints.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "wide")
-    pairs = nodes.select("rep", "fp").mapInArrow(_wide_keys, "key int, rep long, word long, own boolean").repartition("key").mapInArrow(_wide_pairs, "a long, b long").distinct()
-    sides = nodes.select(F.col("rep").alias("a"), F.col("fp").alias("fa")), nodes.select(F.col("rep").alias("b"), F.col("fp").alias("fb"))
-    word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
-    distance = sum((F.bit_count(word("fa", k).bitwiseXOR(word("fb", k))) for k in range(1, WIDE_WORDS)), F.bit_count(word("fa", 0).bitwiseXOR(word("fb", 0))))
-    near = pairs.join(sides[0], "a").join(sides[1], "b").where(distance <= allowed)
-    parts = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "rep")
-    named = nodes.join(parts, "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    near = _verified(nodes.withColumn("cls", F.col("rep")), False, allowed)
+    classes = connected_components(near.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))).withColumnRenamed("node", "rep")
+    nodes = materialize(nodes.join(classes, "rep", "left").withColumn("cls", F.coalesce("component", "rep")).select("same", "rep", "fp", "cls"), "wide")
+    near = _verified(nodes, True, allowed)
+    parts = connected_components(near.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))).withColumnRenamed("node", "cls")
+    named = nodes.join(parts, "cls", "left").select("same", F.coalesce("component", "cls").alias("component_id"))
     out = prints.select("doc_id", "same").join(named, "same", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each segment's value (own) and its radius-one probes that clear a set bit."""
+def _verified(nodes: DataFrame, probe: bool, allowed: int) -> DataFrame:
+    """Links (classes ca, cb) between nodes of different classes that are at most ``allowed`` bits apart.
+
+    Equal segments link first; the balls around them are then probed between the classes that are left, so a
+    dense group of near copies is one class by then and sends few pairs.
+    """
+    pairs = nodes.select("rep", "fp", "cls").mapInArrow(_wide_keys(probe), "key int, rep long, cls long, word long, own boolean").repartition("key").mapInArrow(_wide_pairs, "a long, b long").distinct()
+    sides = nodes.select(F.col("rep").alias("a"), F.col("fp").alias("fa"), F.col("cls").alias("ca")), nodes.select(F.col("rep").alias("b"), F.col("fp").alias("fb"), F.col("cls").alias("cb"))
+    word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
+    distance = sum((F.bit_count(word("fa", k).bitwiseXOR(word("fb", k))) for k in range(1, WIDE_WORDS)), F.bit_count(word("fa", 0).bitwiseXOR(word("fb", 0))))
+    return materialize(pairs.join(sides[0], "a").join(sides[1], "b").where(distance <= allowed).select("ca", "cb").distinct(), "links")
+
+
+def _wide_keys(probe: bool):
+    """Each segment's value (own) and, if ``probe``, its radius-one probes that clear a set bit."""
     masks = np.uint32(1) << np.arange(SEGMENT_BITS, dtype=np.uint32)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            rep = part.column(0).to_numpy()
-            octets = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
-            bits = np.unpackbits(octets, axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT_BITS].reshape(part.num_rows, SEGMENTS, SEGMENT_BITS)
-            value = (bits * masks).sum(axis=2, dtype=np.uint32)
-            flips = value[:, :, None] ^ masks
-            row, seg, bit = np.nonzero(bits)
-            word = octets[:, -8:].copy().view("<i8").ravel()
-            n, own_row, own_seg = value.size, *(x.ravel() for x in np.indices(value.shape))
-            key = np.concatenate([own_seg.astype(np.uint32) << SEGMENT_BITS | value.ravel(), seg.astype(np.uint32) << SEGMENT_BITS | flips[row, seg, bit]]).astype(np.int32)
-            who = np.concatenate([own_row, row])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep[who]), pa.array(word[who]), pa.array(np.arange(len(key)) < n)], names=["key", "rep", "word", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                rep, cls = part.column(0).to_numpy(), part.column(2).to_numpy()
+                octets = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(octets, axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT_BITS].reshape(part.num_rows, SEGMENTS, SEGMENT_BITS)
+                value = (bits * masks).sum(axis=2, dtype=np.uint32)
+                word = octets[:, -8:].copy().view("<i8").ravel()
+                row, seg = (x.ravel() for x in np.indices(value.shape))
+                key, n = seg.astype(np.uint32) << SEGMENT_BITS | value.ravel(), value.size
+                if probe:
+                    flips = value[:, :, None] ^ masks
+                    near_row, near_seg, bit = np.nonzero(bits)
+                    key = np.concatenate([key, near_seg.astype(np.uint32) << SEGMENT_BITS | flips[near_row, near_seg, bit]])
+                    row = np.concatenate([row, near_row])
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(rep[row]), pa.array(cls[row]), pa.array(word[row]), pa.array(np.arange(len(key)) < n)], names=["key", "rep", "cls", "word", "own"])
+
+    return run
 
 
 def _wide_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each bucket: every row with the bucket's leaders near it.
+    """Candidate pairs of each bucket: every row with the bucket's leaders of other classes near it.
 
-    A row is taken off the list once it is all but equal to a leader; others lead in turn.
+    A row that is clearly similar to a leader is taken off the list; the others lead in turn.
     """
     parts = [pa.Table.from_batches([b]) for b in batches]
     if not parts:
         return
     rows = pa.concat_tables(parts)
-    key, rep, word = rows["key"].to_numpy(), rows["rep"].to_numpy(), rows["word"].to_numpy().view(np.uint64)
+    key, rep, cls, word = rows["key"].to_numpy(), rows["rep"].to_numpy(), rows["cls"].to_numpy(), rows["word"].to_numpy().view(np.uint64)
     own = rows["own"].to_numpy(zero_copy_only=False)
     order = np.lexsort((rep, key))
-    key, rep, word, own = key[order], rep[order], word[order], own[order]
+    key, rep, cls, word, own = key[order], rep[order], cls[order], word[order], own[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     held = np.add.reduceat(own.astype(np.int64), starts)
     out: set[tuple[int, int]] = set()
     two = starts[(sizes == 2) & (held > 0)]
-    near = two[np.bitwise_count(word[two] ^ word[two + 1]) <= NEAR_BITS]
+    near = two[(np.bitwise_count(word[two] ^ word[two + 1]) <= NEAR_BITS) & (cls[two] != cls[two + 1])]
     out.update(zip(rep[near].tolist(), rep[near + 1].tolist()))
     for i in np.flatnonzero((sizes > 2) & (held > 0)):
-        r, w = rep[starts[i] : starts[i] + sizes[i]], word[starts[i] : starts[i] + sizes[i]]
+        span = slice(starts[i], starts[i] + sizes[i])
+        r, c, w = rep[span], cls[span], word[span]
         while len(r) > 1:
             apart = np.bitwise_count(w[1:] ^ w[0])
-            out.update((int(r[0]), x) for x in r[1:][apart <= NEAR_BITS].tolist())
+            out.update((int(r[0]), x) for x in r[1:][(apart <= NEAR_BITS) & (c[1:] != c[0])].tolist())
             left = apart > SAME_BITS
-            r, w = r[1:][left], w[1:][left]
+            r, c, w = r[1:][left], c[1:][left], w[1:][left]
         if len(out) > 500_000:
             yield _pair_batch(out)
             out = set()
