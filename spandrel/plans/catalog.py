@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spandrel.plans import changes, graphs, relational, scalar, vectors, windows
+from spandrel.plans import changes, graphs, languages, relational, scalar, vectors, windows
 
-MODULES = (relational, windows, scalar, vectors, graphs, changes)
+MODULES = (relational, windows, scalar, vectors, graphs, changes, languages)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
