@@ -116,5 +116,6 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = SEED) -> DataFrame:
-    """The documents that the calibrated draw keeps, with the columns of ``docs``."""
-    return mixing_probabilities(docs, targets, seed).where("kept").select(*docs.columns)
+    """The documents that the calibrated draw keeps, with the columns of ``docs`` as they were."""
+    own = docs.select("doc_id", "text", "source", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return mixing_probabilities(own, targets, seed).where("kept").select("__row.*")
