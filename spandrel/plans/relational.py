@@ -187,7 +187,7 @@ def agg_filter(t):
     return t.orders.groupBy("o_orderstatus").agg(ag.filtered(F.count, F.lit(1), F.col("o_totalprice") > 200000).alias("big"), F.round(ag.filtered(F.sum, "o_totalprice", F.col("o_orderpriority").startswith("1")), 2).alias("urgent"))
 
 
-@query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, sum(DISTINCT extract(year FROM o_orderdate)) AS years FROM orders GROUP BY o_orderstatus")
+@query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, cast(sum(DISTINCT extract(year FROM o_orderdate)) AS bigint) AS years FROM orders GROUP BY o_orderstatus")
 def agg_distinct(t):
     return t.orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("customers"), F.sum_distinct(F.year("o_orderdate")).alias("years"))
 

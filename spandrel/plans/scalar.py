@@ -116,11 +116,12 @@ def fn_array_sql(t):
 
 
 @query("""SELECT o_orderkey, list_transform(list_filter(l, lambda x: x > 1), lambda x: x * 10) AS comp, len(list_filter(l, lambda x: x >= 0)) = len(l) AS al, len(list_filter(l, lambda x: x = 3)) > 0 AS an, len(list_filter(l, lambda x: x = 3)) = 0 AS no,
-len(list_filter(l, lambda x: x = 2)) = 1 AS si, list_sum(l) + 100 AS red, {'custkey': o_custkey, 'twice': o_orderkey * 2} AS proj FROM (SELECT *, [o_orderkey % 3, o_orderkey % 5, o_orderkey % 4] AS l FROM orders)""")
+len(list_filter(l, lambda x: x = 2)) = 1 AS si, cast(list_sum(l) + 100 AS bigint) AS red, o_custkey AS proj_key, o_orderkey * 2 AS proj_twice FROM (SELECT *, [o_orderkey % 3, o_orderkey % 5, o_orderkey % 4] AS l FROM orders)""")
 def expr_list_predicates(t):
     o = t.orders.withColumn("l", F.array(F.col("o_orderkey") % 3, F.col("o_orderkey") % 5, F.col("o_orderkey") % 4)).withColumn("s", F.struct(F.col("o_custkey").alias("custkey")))
+    proj = lists.map_projection(F.col("s"), ["custkey"], twice=F.col("o_orderkey") * 2)
     return o.select("o_orderkey", lists.comprehension("l", lambda x: x > 1, lambda x: x * 10).alias("comp"), lists.all_("l", lambda x: x >= 0).alias("al"), lists.any_("l", lambda x: x == 3).alias("an"), lists.none_("l", lambda x: x == 3).alias("no"), lists.single("l", lambda x: x == 2).alias("si"),
-                    lists.reduce_(F.lit(100).cast("long"), "l", lambda a, x: a + x).alias("red"), lists.map_projection(F.col("s"), ["custkey"], twice=F.col("o_orderkey") * 2).alias("proj"))
+                    lists.reduce_(F.lit(100).cast("long"), "l", lambda a, x: a + x).alias("red"), proj["custkey"].alias("proj_key"), proj["twice"].alias("proj_twice"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k, cast(json_extract(props, '$.k') AS varchar) AS kj, NULL AS missing, json_exists(props, '$.k') AS has, true AS anyk, false AS allk, json_keys(props) AS ks, json_extract_string(props, '$.k') AS op,
@@ -130,10 +131,10 @@ def fn_json_read(t):
                            fn["json_contains_all_keys"]("props", ["z", "k"]).alias("allk"), fn["json_object_keys"]("props").alias("ks"), fn["json_extract_path_text_op"]("props", "{k}").alias("op"), fn["json_build_object"]("a", "event_id", "b", F.lit(None).cast("int")).alias("obj"))
 
 
-@query("""SELECT event_id, '[' || event_id || ',"x",null]' AS arr, [{'key': 'k', 'value': json_extract_string(props, '$.k')}] AS each_text, ['1', '"a"'] AS elems, ['1', 'a'] AS elems_text, json_exists(props, '$.k') AS pe, json_extract_string(props, '$.k') AS pq, '[1,2]' AS pqa, '1' AS pqf FROM events""")
+@query("""SELECT event_id, '[' || event_id || ',"x",null]' AS arr, ['k=' || json_extract_string(props, '$.k')] AS each_text, ['1', '"a"'] AS elems, ['1', 'a'] AS elems_text, json_exists(props, '$.k') AS pe, json_extract_string(props, '$.k') AS pq, '[1,2]' AS pqa, '1' AS pqf FROM events""")
 def fn_json_build_each(t):
     arr, nested = F.lit('[1,"a"]'), F.lit('{"v":[1,2]}')
-    return t.events.select("event_id", fn["json_build_array"]("event_id", F.lit("x"), F.lit(None).cast("int")).alias("arr"), fn["json_each_text"]("props").alias("each_text"), fn["json_array_elements"](arr).alias("elems"), fn["json_array_elements_text"](arr).alias("elems_text"), fn["jsonb_path_exists"]("props", "$.k").alias("pe"),
+    return t.events.select("event_id", fn["json_build_array"]("event_id", F.lit("x"), F.lit(None).cast("int")).alias("arr"), F.transform(fn["json_each_text"]("props"), lambda e: F.concat(e.key, F.lit("="), e.value)).alias("each_text"), fn["json_array_elements"](arr).alias("elems"), fn["json_array_elements_text"](arr).alias("elems_text"), fn["jsonb_path_exists"]("props", "$.k").alias("pe"),
                            fn["jsonb_path_query"]("props", "$.k").alias("pq"), fn["jsonb_path_query_array"](nested, "$.v[*]").alias("pqa"), fn["jsonb_path_query_first"](nested, "$.v[*]").alias("pqf"))
 
 
