@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.session import materialize
+
 K1, B = 1.2, 0.75
 
 
@@ -17,16 +17,20 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return sized.select(id_col, "size", F.explode("w").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
 
 
+def _equals(term: str):
+    return lambda word: word == term
+
+
 def bm25(docs: DataFrame, terms: list[str], k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of the ``k`` best documents; idf = ln(1 + (N - df + .5) / (df + .5)).
 
     Only postings of the asked terms are counted, in the scan, without a shuffle
-    of words.
+    of words; texts are read once.
     """
     asked = sorted({t.lower() for t in terms})
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    alone = lambda t: F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(t)}(?![\p{{L}}\p{{N}}])")
-    counted = docs.select(F.col(id_col), low.alias("t")).select(id_col, F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+")).alias("size"), *[F.regexp_count("t", alone(t)).alias(f"tf{i}") for i, t in enumerate(asked)])
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    counts = [F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(asked)]
+    counted = materialize(docs.select(F.col(id_col), F.explode(F.array(words)).alias("w")).select(id_col, F.size("w").alias("size"), *counts), "bm25")
     totals = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))]).first()
     score = F.lit(0.0)
     for i in range(len(asked)):
