@@ -315,6 +315,8 @@ class Expression:
         while True:
             if self.s.take("."):
                 out = f"{out}.{self.s.next().text}"
+            elif self.s.peek().text == "{" and self.s.peek(1).text == ".":
+                out = self.projection(out)
             elif self.s.take("["):
                 if self.s.take(".."):
                     start, end = "0", self.either()
@@ -330,6 +332,21 @@ class Expression:
             else:
                 return out
 
+    def projection(self, source: str) -> str:
+        """``n {.a, k: e}`` as a struct."""
+        parts = []
+        self.s.next()
+        while not self.s.take("}"):
+            if self.s.take("."):
+                key = self.s.next().text
+                parts.append(f"{source}.{key} AS {key}")
+            else:
+                key = self.s.next().text
+                self.s.need(":")
+                parts.append(f"{self.either()} AS {key}")
+            self.s.take(",")
+        return f"struct({', '.join(parts)})"
+
     def atom(self) -> str:
         t = self.s.next()
         if t.kind == "string":
