@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.llm.arrow import frugal, slices
+
 SEQUENCE_TOKENS = 1024
 SEQUENCE_SEGMENTS = 256
 WINDOW = 2048
@@ -149,7 +151,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(path)
         packer = _Packer(TaskContext.get().partitionId() << 36, tokens, segments, limit)
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encoder.encode_to_numpy(text or "", disallowed_special=()).astype("<u4"), np.uint32(END_ID))
                 packer.add(doc, ids, np.ones(len(ids), dtype=np.int32))
@@ -161,7 +163,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if packer.out:
             yield _rows(packer)
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(frugal(run), PIECES)
 
 
 def _rows(packer: _Packer) -> pa.RecordBatch:
@@ -181,7 +183,7 @@ def pack_conversations(turns: DataFrame, vocabulary: str | None = None, tokens:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(path)
         packer = _Packer(TaskContext.get().partitionId() << 36, tokens, segments, loss_tokens)
-        for batch in batches:
+        for batch in slices(batches):
             for conv, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = [encoder.encode_to_numpy(x["text"] or "", disallowed_special=()).astype("<u4") for x in said]
                 bears = [np.full(len(part), int(x["role"] == loss_role), dtype=np.int32) for part, x in zip(ids, said)]
@@ -194,4 +196,4 @@ def pack_conversations(turns: DataFrame, vocabulary: str | None = None, tokens:
         if packer.out:
             yield _rows(packer)
 
-    return told.mapInArrow(run, PIECES)
+    return told.mapInArrow(frugal(run), PIECES)

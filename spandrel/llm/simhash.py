@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.graph.components import connected_components
-from spandrel.llm.arrow import map_rows
+from spandrel.llm.arrow import frugal, map_rows
 from spandrel.session import materialize
 
 RADIUS = 3
@@ -130,7 +130,7 @@ def _verified(nodes: DataFrame, probe: bool, allowed: int) -> DataFrame:
     Equal segments link first; the balls around them are then probed between the classes that are left, so a
     dense group of near copies is one class by then and sends few pairs.
     """
-    pairs = nodes.select("rep", "fp", "cls").mapInArrow(_wide_keys(probe), "key int, rep long, cls long, word long, own boolean").repartition("key").mapInArrow(_wide_pairs, "a long, b long").distinct()
+    pairs = nodes.select("rep", "fp", "cls").mapInArrow(frugal(_wide_keys(probe)), "key int, rep long, cls long, word long, own boolean").repartition("key").mapInArrow(frugal(_wide_pairs), "a long, b long").distinct()
     sides = nodes.select(F.col("rep").alias("a"), F.col("fp").alias("fa"), F.col("cls").alias("ca")), nodes.select(F.col("rep").alias("b"), F.col("fp").alias("fb"), F.col("cls").alias("cb"))
     word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
     distance = sum((F.bit_count(word("fa", k).bitwiseXOR(word("fb", k))) for k in range(1, WIDE_WORDS)), F.bit_count(word("fa", 0).bitwiseXOR(word("fb", 0))))
@@ -270,7 +270,7 @@ def links(unique: DataFrame) -> DataFrame:
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col("fp"), 32)
 
     def ball(segment: int, value):
-        flips = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2.0), b).cast("long")), lambda m: value.bitwiseAND(m) != 0)
+        flips = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.pow(F.lit(2.0), b).cast("long")), lambda m: value.bitwiseAND(m) != 0)
         exact = F.array(F.struct(F.lit(segment).alias("seg"), value.alias("key"), F.lit(True).alias("own")))
         near = F.transform(flips, lambda m: F.struct(F.lit(segment).alias("seg"), value.bitwiseXOR(m).alias("key"), F.lit(False).alias("own")))
         return F.concat(exact, near)
@@ -280,7 +280,7 @@ def links(unique: DataFrame) -> DataFrame:
     other = F.when(F.col("seg") == 0, high).otherwise(low)
     subs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: j.cast("long") * 256 + F.pmod((other / F.pow(F.lit(256.0), j)).cast("long"), F.lit(256).cast("long")))
     dealt = rows.join(hot, ["seg", "key"], "left").select("seg", "key", "own", "rep", "fp", F.explode(F.when(F.col("hot") == 1, subs).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"))
-    return dealt.repartition("seg", "key", "sub").mapInArrow(_bucket_links, "src long, dst long")
+    return dealt.repartition("seg", "key", "sub").mapInArrow(frugal(_bucket_links), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
