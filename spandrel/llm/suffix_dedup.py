@@ -19,8 +19,11 @@ of their minimizer, and each bucket gets a suffix order of its own:
    common prefixes of 50 bytes, exists. It returns one bit a string.
 5. Packs delete what is covered.
 
-A group of copies costs one context for each pack, never a pair. Steps 3 and 5
-derive the same contexts again instead of storing them.
+A group of copies costs one context for each pack, never a pair. A passage that
+very many packs hold would gather the differing texts around it in the bucket of
+its minimizer; strings with such a hash (``HOT_PACKS``) go one by one to buckets
+by their own 50 bytes instead. Equal strings have equal hashes, so both ways
+agree. Steps 3 and 5 derive the same contexts again instead of storing them.
 
 Defined cases: a null text counts as an empty one; texts under 50 bytes lose
 nothing; rows that share an id never shorten each other, nor do parts of one
@@ -31,6 +34,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +44,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spandrel.llm.arrow import frugal, slices
 from spandrel.session import materialize
 
 MIN_BYTES, GRAM, SIDE = 50, 16, 17
-SPARE_BITS = 14
+SPARE_BITS, HOT_PACKS = 14, 192
 PACK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
 SLICE = 1 << 22
 POSITION_BITS = 23
@@ -122,7 +127,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     held, size = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             raw = (text or "").encode("utf-8", "surrogatepass")
             held.append((doc, raw))
@@ -144,7 +149,7 @@ def _documents(ids: list, sizes: list, data: bytes) -> Iterator[tuple]:
 
 def _key_rows(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 keys, owners = [], []
                 for doc, data in _documents(row["ids"], row["sizes"], row["data"]):
@@ -193,12 +198,15 @@ def _repeated(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.r_[True, bare[1:] != bare[:-1]])
     sizes = np.diff(np.r_[first, len(bare)])
     keep = np.repeat((sizes > 1) | (np.add.reduceat(many, first) > 0), sizes)
+    hot = np.repeat(sizes >= HOT_PACKS, sizes)[keep]
     bare, who = bare[keep], who[keep]
     order = np.argsort(who, kind="stable")
-    bare, who = bare[order], who[order]
+    bare, who, hot = bare[order], who[order], hot[order]
     cut = np.searchsorted(who, np.arange(len(blobs) + 1))
     some = np.flatnonzero(np.diff(cut))
-    return pa.table({"batch": pa.array(table["batch"].to_numpy()[some]), "bucket": pa.array(table["bucket"].to_numpy()[some]), "blob": pa.array([_squeeze(bare[cut[i] : cut[i + 1]]) for i in some], pa.binary())})
+    spans = [slice(cut[i], cut[i + 1]) for i in some]
+    hottest = [_squeeze(bare[s][hot[s]]) if hot[s].any() else b"" for s in spans]
+    return pa.table({"batch": pa.array(table["batch"].to_numpy()[some]), "bucket": pa.array(table["bucket"].to_numpy()[some]), "blob": pa.array([_squeeze(bare[s]) for s in spans], pa.binary()), "hot": pa.array(hottest, pa.binary())})
 
 
 def _contexts(row: dict, buckets: int, bits: int):
@@ -209,32 +217,51 @@ def _contexts(row: dict, buckets: int, bits: int):
     """
     low = _starts(buckets, bits)
     held = sorted(row["blobs"] or [], key=lambda x: x["bucket"])
-    wanted = np.concatenate([_unsqueeze(x["blob"]) + low[x["bucket"]] for x in held]) if held else np.empty(0, dtype=np.uint64)
+    none = np.empty(0, dtype=np.uint64)
+    wanted = np.concatenate([none, *[_unsqueeze(x["blob"]) + low[x["bucket"]] for x in held]])
+    hottest = np.concatenate([none, *[_unsqueeze(x["hot"]) + low[x["bucket"]] for x in held if x["hot"]]])
     docs, runs, found, contexts = [], [], {}, []
+
+    def use(n: int, bucket: int, doc: int, text: bytes, a: int, b: int) -> None:
+        number = found.get(text)
+        if number is None:
+            number = found[text] = len(contexts)
+            contexts.append((bucket, doc, text))
+        runs.append((n, a, b, number))
+
     for n, (doc, data) in enumerate(_documents(row["ids"], row["sizes"], row["data"])):
         docs.append((doc, data))
         if doc is None or not len(wanted) or len(data) < MIN_BYTES:
             continue
         gram, place, first, last = minimizer_runs(data)
-        found_here = np.zeros(len(gram), dtype=bool)
-        for key in side_keys(data, gram, place, bits):
-            found_here |= wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
-        hit = np.flatnonzero(found_here)
+        left, right = side_keys(data, gram, place, bits)
+        hit = np.flatnonzero(_among(left, wanted) | _among(right, wanted))
+        hot_left, hot_right = _among(left[hit], hottest), _among(right[hit], hottest)
         raw = data.tobytes()
-        for k, a, b in zip((gram[hit] % np.uint64(buckets)).tolist(), first[hit].tolist(), last[hit].tolist()):
-            text = raw[a : b + MIN_BYTES]
-            number = found.get(text)
-            if number is None:
-                number = found[text] = len(contexts)
-                contexts.append((k, doc, text))
-            runs.append((n, a, b, number))
+        for k, p, a, b, x, y in zip((gram[hit] % np.uint64(buckets)).tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), hot_left.tolist(), hot_right.tolist()):
+            if not (x or y):
+                use(n, k, doc, raw[a : b + MIN_BYTES], a, b)
+                continue
+            # Strings that reach SIDE bytes to the right belong to that side's hash, the others to the left one's.
+            for hot, start, end in ((x, a, min(b, p - SIDE - 1)), (y, max(a, p - SIDE), b)):
+                if hot:
+                    for s in range(start, end + 1):
+                        text = raw[s : s + MIN_BYTES]
+                        use(n, zlib.crc32(text) % buckets, doc, text, s, s)
+                elif start <= end:
+                    use(n, k, doc, raw[start : end + MIN_BYTES], start, end)
     return docs, runs, contexts
 
 
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+
+
 def _context_rows(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 _, _, contexts = _contexts(row, buckets, bits)
                 by: dict[int, list] = {}
@@ -331,7 +358,7 @@ def _judge(table: pa.Table) -> pa.Table:
 
 def _remove(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 docs, runs, contexts = _contexts(row, buckets, bits)
                 by = {x["bucket"]: iter(np.frombuffer(x["words"], dtype=np.uint64).tolist()) for x in row["judged"] or []}
@@ -366,15 +393,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document: bytes, removed bytes, maximal removed runs and the digest of what is left."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    packs = materialize(own.mapInArrow(_pack, "batch long, ids array<long>, sizes array<long>, data binary, n long"), "packs")
+    packs = materialize(own.mapInArrow(frugal(_pack), "batch long, ids array<long>, sizes array<long>, data binary, n long"), "packs")
     total = packs.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     bits = min(62, max(32, int(total).bit_length() + SPARE_BITS))
-    keys = packs.mapInArrow(_key_rows(buckets, bits), "bucket long, batch long, blob binary")
-    repeated = keys.groupBy("bucket").applyInArrow(_repeated, "batch long, bucket long, blob binary")
-    wanted = materialize(repeated.groupBy("batch").agg(F.collect_list(F.struct("bucket", "blob")).alias("blobs")), "repeats")
+    keys = packs.mapInArrow(frugal(_key_rows(buckets, bits)), "bucket long, batch long, blob binary")
+    repeated = keys.groupBy("bucket").applyInArrow(_repeated, "batch long, bucket long, blob binary, hot binary")
+    wanted = materialize(repeated.groupBy("batch").agg(F.collect_list(F.struct("bucket", "blob", "hot")).alias("blobs")), "repeats")
     joined = packs.join(wanted, "batch", "left")
-    sent = joined.where("blobs is not null").mapInArrow(_context_rows(buckets, bits), "bucket long, batch long, ids binary, sizes binary, texts binary")
+    sent = joined.where("blobs is not null").mapInArrow(frugal(_context_rows(buckets, bits)), "bucket long, batch long, ids binary, sizes binary, texts binary")
     judged = sent.groupBy("bucket").applyInArrow(_judge, "batch long, bucket long, words binary")
     told = judged.groupBy("batch").agg(F.collect_list(F.struct("bucket", "words")).alias("judged"))
-    return joined.join(told, "batch", "left").mapInArrow(_remove(buckets, bits), RESULT)
+    return joined.join(told, "batch", "left").mapInArrow(frugal(_remove(buckets, bits)), RESULT)

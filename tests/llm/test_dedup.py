@@ -120,13 +120,17 @@ def test_suffix_equals_brute_force(docs, corpus, clashing):
         assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).collect()) == want
 
 
-def test_suffix_small_packs_and_periodic_texts(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [2, 5, 10**6])
+def test_suffix_small_packs_and_periodic_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_PACKS", hot)
     monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 400)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 300)
     rng = random.Random(5)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 160)))) for i in range(25)]
     rows += [(30 + i, c * n) for i, (c, n) in enumerate([("ab", 60), ("ba", 40), ("x", 49), ("x", 50), ("x", 300), ("\0", 70), ("\0", 60), ("é", 40), ("é", 25)])]
     rows += [(i + 100, rows[i][1][5:120] + rows[i + 1][1]) for i in range(20)]
+    passage = "".join(rng.choice("abcdefgh") for _ in range(70))
+    rows += [(i + 200, "".join(rng.choice("xyz") for _ in range(60)) + passage + "".join(rng.choice("xyz") for _ in range(60))) for i in range(25)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).collect()) == brute_repeats(rows)
 
