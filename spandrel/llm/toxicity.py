@@ -1,9 +1,11 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick.
 
-Texts are folded first: lower case, homoglyphs (Cyrillic, Greek, full-width)
-to their Latin look-alikes, and digits or signs inside words to the letters
-they stand for. The folded lexicon is one automaton; a match counts if it
-begins a word. A match inside an exception phrase does not count. The score is
+Texts are folded first: lower case, homoglyphs (Cyrillic, Greek, full-width and
+mathematical letters) to their Latin look-alikes, and digits or signs inside
+words to the letters they stand for. The folded lexicon is one automaton; a
+match counts if it begins a word. A second automaton has the seed words alone
+and runs over a further fold, without accents and with l and i as one letter (1
+stands for either): learned terms may differ in just these. A match inside an exception phrase does not count. The score is
 a logistic function of the summed weights and of their density by length.
 
 The lexicon has seed words and word prefixes learned from at most
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spandrel.llm.arrow import map_rows
+from spandrel.llm.arrow import frugal, map_rows, slices
 from spandrel.llm.labels import HELD_OUT, fold_of, training_sample
 from spandrel.session import materialize, release
 
@@ -47,37 +50,46 @@ SEEDS = {"idiot": 4.0, "moron": 4.0, "scum": 4.0, "stupid": 3.0, "pathetic": 3.0
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish", "circus clown", "sore loser", "stupidly simple", "scum line")
 
 # Look-alike letters, in the order of their Latin counterparts below.
-LOOK_ALIKES = "аеорсухіјѕԁһκνοαε"
-LATIN = "aeopcyxijsdhkvoae"
+LOOK_ALIKES = "аеорсухіјѕԁһкмнтвгɡɑıκνοαειτρυβγ"
+LATIN = "aeopcyxijsdhkmhtbrgaikvoaeitpuby"
 
 # Signs that stand for letters inside a word.
-LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
 WORD = re.compile(r"[^\W\d_]{3,}")
-LEETED = re.compile(r"[\w@$]*[^\W\d_][\w@$]*")
+LEETED = re.compile(r"(?<![\w$!])(?:@+(?=[^\W\d_]))?([\w@$!]*[^\W\d_][\w@$!]*)")
 
 
-def _tables() -> tuple[dict, dict]:
+def _tables() -> tuple[dict, dict, dict]:
     letters = dict(zip(map(ord, LOOK_ALIKES), LATIN))
-    letters |= {0xFF41 + i: chr(97 + i) for i in range(26)} | {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF10 + i: chr(48 + i) for i in range(10)}
-    letters |= {0x200B: None, 0x200D: None, 0xAD: None}
-    return letters, {ord(k): v for k, v in LEET.items()}
+    accents = {ord("l"): "i"}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF5B), *range(0x1D400, 0x1D800)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if not unicodedata.combining(c))
+        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+            (letters if code > 0x2000 else accents)[code] = plain.replace("l", "i") if code < 0x2000 else plain
+    letters |= {code: None for code in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370))}
+    return letters, {ord(k): v for k, v in LEET.items()}, accents
 
 
 def fold(text: str | None) -> str:
     """Lower-cased text with look-alikes as Latin letters and stand-in signs inside words as letters."""
-    letters, leet = _FOLDS
+    letters, leet, _ = _FOLDS
     folded = (text or "").lower()
     if not folded.isascii():
         folded = folded.translate(letters)
     if any(sign in folded for sign in LEET):
-        folded = LEETED.sub(lambda m: m[0].translate(leet) if any(c in LEET for c in m[0].strip("$@")) else m[0], folded)
+        folded = LEETED.sub(lambda m: " " + m[1].translate(leet) if m[0] != m[1] else m[0].translate(leet), folded)
     return folded
 
 
 _FOLDS = _tables()
 
 
+def _merged(folded: str) -> str:
+    """A folded text without accents and with l and i as one letter; every character keeps its place."""
+    return folded.replace("l", "i") if folded.isascii() else folded.translate(_FOLDS[2])
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
@@ -88,24 +100,30 @@ class ToxicityModel:
         """Function from a text to (summed weight, matches, words)."""
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
-        for term, weight in self.weights.items():
-            automaton.add_word(term, (len(term), weight, None))
-        for phrase in self.exceptions:
-            automaton.add_word(phrase, (len(phrase), 0.0, phrase))
-        automaton.make_automaton()
+        def build(terms: dict[str, float], form):
+            automaton = ahocorasick.Automaton()
+            for term, weight in terms.items():
+                automaton.add_word(form(term), (len(term), weight, None))
+            for phrase in self.exceptions:
+                automaton.add_word(form(phrase), (len(phrase), 0.0, phrase))
+            automaton.make_automaton()
+            return automaton
+
+        plain = build(self.weights, str)
+        seeds = build({t: w for t, w in self.weights.items() if t in SEEDS} or {"\0": 0.0}, _merged)
 
         def measure(text: str | None) -> tuple[float, int, int]:
             folded = fold(text)
             hits, free = {}, []
-            for end, (size, weight, phrase) in automaton.iter(folded):
-                start = end - size + 1
-                if start and folded[start - 1].isalpha():
-                    continue
-                if phrase is not None:
-                    free.append((start, end))
-                else:
-                    hits[start] = max(weight, hits.get(start, 0.0))
+            for automaton, form in ((plain, folded), (seeds, _merged(folded))):
+                for end, (size, weight, phrase) in automaton.iter(form):
+                    start = end - size + 1
+                    if start and form[start - 1].isalpha():
+                        continue
+                    if phrase is not None:
+                        free.append((start, end))
+                    else:
+                        hits[start] = max(weight, hits.get(start, 0.0))
             counted = [w for at, w in hits.items() if not any(a <= at <= b for a, b in free)]
             return float(sum(counted)), len(counted), folded.count(" ") + folded.count("\n") + 1
 
@@ -131,7 +149,7 @@ def _term_counts(model: ToxicityModel):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure, toxic, clean, words = model.matcher(), Counter(), Counter(), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if label and measure(text)[1]:
                     continue
@@ -152,7 +170,7 @@ def learn_terms(sample: DataFrame, known: ToxicityModel, least: float) -> dict[s
     A prefix needs several documents and several distinct words, so that a rare
     word of one copied text is none. At most ``TERMS`` rows are collected.
     """
-    counts = sample.select("text", "__label").mapInArrow(_term_counts(known), "term string, word string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_distinct("word").alias("words"))
+    counts = sample.select("text", "__label").mapInArrow(frugal(_term_counts(known)), "term string, word string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_distinct("word").alias("words"))
     ratio = F.log((F.col("toxic") + 0.5) / (F.col("t") + 1)) - F.log((F.col("clean") + 0.5) / (F.col("c") + 1))
     size = sample.agg(F.sum("__label").alias("t"), F.sum(1 - F.col("__label")).alias("c")).first()
     scored = counts.withColumns({"t": F.lit(float(size["t"] or 0)), "c": F.lit(float(size["c"] or 0))}).withColumn("ratio", ratio).withColumn("gain", F.col("ratio") * F.col("toxic"))

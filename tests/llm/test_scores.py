@@ -69,9 +69,9 @@ def test_rules_compile_to_what_they_mean(spark):
 def test_toxicity_folds_disguises_and_exceptions():
     model = toxicity.ToxicityModel(dict(toxicity.SEEDS), (-4.0, 3.0, 0.5, 0.5))
     measure = model.matcher()
-    for text in ("you idiot", "you 1d10t", "you ｉｄｉｏｔ", "you іdіоt", "IDIOT!"):
+    for text in ("you idiot", "you 1d10t", "you ｉｄｉｏｔ", "you іdіоt", "IDIOT!", "@idiot", "$tupid", "$tup1d!!", "c1own", "worth1ess", "id!ot", "ïdíot", "𝐢𝐝𝐢𝐨𝐭", "i\u200bdiot", "mor0n$$$", "(1oser)"):
         assert measure(text)[1] == 1, text
-    for text in ("take out the trash can", "a clownfish", "overtrash", "", None, "2 7 5"):
+    for text in ("take out the trash can", "a clownfish", "overtrash", "", None, "2 7 5", "$100", "cat!!", "a@b.c"):
         assert measure(text)[1] == 0, text
     assert measure("trash and a trash can")[1] == 1
 
