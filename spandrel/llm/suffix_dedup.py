@@ -34,7 +34,6 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,8 +59,11 @@ def _words(data: np.ndarray, order: str = "<u8") -> np.ndarray:
     return np.ndarray((len(data) - 7,), dtype=order, buffer=data, strides=(1,)).astype(np.uint64)
 
 
-def minimizer_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, place, first, last) of each run of 50-byte strings, by start, that share a minimizer."""
+def minimizer_runs(data: np.ndarray, valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, place, first, last) of each run of 50-byte strings, by start, that share a minimizer.
+
+    ``valid`` tells which starts count, such as those of strings inside one document.
+    """
     empty = np.empty(0, dtype=np.int64)
     if len(data) < MIN_BYTES:
         return empty.astype(np.uint64), empty, empty, empty
@@ -80,13 +82,21 @@ def minimizer_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
         rest = MIN_BYTES - GRAM + 1 - 32
         low = np.minimum(low[:-rest], low[rest:])
         place = (low & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        parts.append((mixed[place[first]], place[first] + at, first + at, np.r_[first[1:], len(place)] - 1 + at))
+        new = place[1:] != place[:-1]
+        counts = None if valid is None else valid[at : at + len(place)]
+        first = np.flatnonzero(np.r_[True, new if counts is None else new | (counts[1:] != counts[:-1])])
+        last = np.r_[first[1:], len(place)] - 1
+        if counts is not None:
+            first, last = first[counts[first]], last[counts[first]]
+        parts.append((mixed[place[first]], place[first] + at, first + at, last + at))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def side_keys(data: np.ndarray, gram: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``bits`` bits of each gram with its ``SIDE`` bytes to the left and to the right; where those are missing, 0."""
+def side_keys(data: np.ndarray, gram: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``bits`` bits of each gram with its ``SIDE`` bytes to the left and to the right.
+
+    0 where those are missing in the gram's document, which goes from ``low`` to ``high``.
+    """
     padded = np.concatenate([np.zeros(24, dtype=np.uint8), data, np.zeros(24 + GRAM, dtype=np.uint8)])
     view = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
     sides = []
@@ -96,7 +106,27 @@ def side_keys(data: np.ndarray, gram: np.ndarray, place: np.ndarray, bits: int)
             key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25) + view[place + 24 + offset]
         key = (key ^ (key >> np.uint64(28))) * np.uint64(0xD6E8FEB86659FD93)
         sides.append(np.maximum((key ^ (key >> np.uint64(32))) >> np.uint64(64 - bits), np.uint64(1)))
-    return np.where(place >= SIDE, sides[0], np.uint64(0)), np.where(place + GRAM + SIDE <= len(data), sides[1], np.uint64(0))
+    return np.where(place - SIDE >= low, sides[0], np.uint64(0)), np.where(place + GRAM + SIDE <= high, sides[1], np.uint64(0))
+
+
+class _Pack:
+    """A pack's text and the minimizers of its documents with ids; ``owner`` is the document's number."""
+
+    def __init__(self, row: dict):
+        self.ids, self.sizes = row["ids"], np.array(row["sizes"], dtype=np.int64)
+        self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), dtype=np.uint8)
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.known = np.array([-1 if i is None else i for i in self.ids], dtype=np.int64)
+        used = np.flatnonzero((self.sizes >= MIN_BYTES) & np.array([i is not None for i in self.ids], dtype=bool))
+        size = max(1, len(self.text) - MIN_BYTES + 2)
+        edges = np.bincount(self.at[used], minlength=size) - np.bincount(self.at[used] + self.sizes[used] - MIN_BYTES + 1, minlength=size)
+        valid = np.cumsum(edges)[: size - 1] > 0
+        self.gram, self.place, self.first, self.last = minimizer_runs(self.text, valid)
+        self.owner = np.searchsorted(self.at, self.first, side="right") - 1 if len(self.at) else self.first
+
+    def sides(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        low = self.at[self.owner]
+        return side_keys(self.text, self.gram, self.place, low, low + self.sizes[self.owner], bits)
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -139,28 +169,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(held)
 
 
-def _documents(ids: list, sizes: list, data: bytes) -> Iterator[tuple]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    at = 0
-    for doc, size in zip(ids, sizes):
-        yield doc, raw[at : at + size]
-        at += size
-
-
 def _key_rows(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             for row in batch.to_pylist():
-                keys, owners = [], []
-                for doc, data in _documents(row["ids"], row["sizes"], row["data"]):
-                    if doc is not None and len(data) >= MIN_BYTES:
-                        gram, place, _, _ = minimizer_runs(data)
-                        own = np.concatenate(side_keys(data, gram, place, bits))
-                        keys.append(own)
-                        owners.append(np.full(len(own), doc, dtype=np.int64))
-                if not keys:
-                    continue
-                key, owner = np.concatenate(keys), np.concatenate(owners)
+                pack = _Pack(row)
+                key, owner = np.concatenate(pack.sides(bits)), np.tile(pack.known[pack.owner], 2)
                 real = key > 0
                 key, owner = key[real], owner[real]
                 order = np.argsort(key)
@@ -209,53 +223,107 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array(table["batch"].to_numpy()[some]), "bucket": pa.array(table["bucket"].to_numpy()[some]), "blob": pa.array([_squeeze(bare[s]) for s in spans], pa.binary()), "hot": pa.array(hottest, pa.binary())})
 
 
-def _contexts(row: dict, buckets: int, bits: int):
-    """The pack's distinct contexts with repeated minimizers, in a fixed order, and the runs that use them.
+class _Pieces:
+    """The runs of a pack whose minimizers are repeated, as arrays, and the distinct contexts among them.
 
-    Returns (documents, runs, contexts): runs are (document number, first, last, context number);
-    contexts are (bucket, smallest id, bytes).
+    A piece covers the 50-byte strings that start from ``start`` to ``last`` in
+    the pack's text. ``rep`` is the first piece of equal bytes. ``order`` lists
+    those first pieces by bucket, which is the order they are sent and judged in.
     """
-    low = _starts(buckets, bits)
-    held = sorted(row["blobs"] or [], key=lambda x: x["bucket"])
-    none = np.empty(0, dtype=np.uint64)
-    wanted = np.concatenate([none, *[_unsqueeze(x["blob"]) + low[x["bucket"]] for x in held]])
-    hottest = np.concatenate([none, *[_unsqueeze(x["hot"]) + low[x["bucket"]] for x in held if x["hot"]]])
-    docs, runs, found, contexts = [], [], {}, []
-
-    def use(n: int, bucket: int, doc: int, text: bytes, a: int, b: int) -> None:
-        number = found.get(text)
-        if number is None:
-            number = found[text] = len(contexts)
-            contexts.append((bucket, doc, text))
-        runs.append((n, a, b, number))
-
-    for n, (doc, data) in enumerate(_documents(row["ids"], row["sizes"], row["data"])):
-        docs.append((doc, data))
-        if doc is None or not len(wanted) or len(data) < MIN_BYTES:
-            continue
-        gram, place, first, last = minimizer_runs(data)
-        left, right = side_keys(data, gram, place, bits)
+
+    def __init__(self, row: dict, buckets: int, bits: int):
+        low = _starts(buckets, bits)
+        held = sorted(row["blobs"] or [], key=lambda x: x["bucket"])
+        none = np.empty(0, dtype=np.uint64)
+        wanted = np.concatenate([none, *[_unsqueeze(x["blob"]) + low[x["bucket"]] for x in held]])
+        hottest = np.concatenate([none, *[_unsqueeze(x["hot"]) + low[x["bucket"]] for x in held if x["hot"]]])
+        pack = _Pack(row)
+        self.ids, self.sizes, self.text, self.at = pack.ids, pack.sizes, pack.text, pack.at
+        left, right = pack.sides(bits)
         hit = np.flatnonzero(_among(left, wanted) | _among(right, wanted))
-        hot_left, hot_right = _among(left[hit], hottest), _among(right[hit], hottest)
-        raw = data.tobytes()
-        for k, p, a, b, x, y in zip((gram[hit] % np.uint64(buckets)).tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), hot_left.tolist(), hot_right.tolist()):
-            if not (x or y):
-                use(n, k, doc, raw[a : b + MIN_BYTES], a, b)
-                continue
+        gram, place, first, last, doc = pack.gram[hit], pack.place[hit], pack.first[hit], pack.last[hit], pack.known[pack.owner[hit]]
+        x, y = _among(left[hit], hottest), _among(right[hit], hottest)
+        cool = ~(x | y)
+        found = [(first[cool], last[cool], gram[cool] % np.uint64(buckets), doc[cool])]
+        if not cool.all():
             # Strings that reach SIDE bytes to the right belong to that side's hash, the others to the left one's.
-            for hot, start, end in ((x, a, min(b, p - SIDE - 1)), (y, max(a, p - SIDE), b)):
-                if hot:
-                    for s in range(start, end + 1):
-                        text = raw[s : s + MIN_BYTES]
-                        use(n, zlib.crc32(text) % buckets, doc, text, s, s)
-                elif start <= end:
-                    use(n, k, doc, raw[start : end + MIN_BYTES], start, end)
-    return docs, runs, contexts
+            gram, place, first, last, doc, x, y = (v[~cool] for v in (gram, place, first, last, doc, x, y))
+            for hot, start, end in ((x, first, np.minimum(last, place - SIDE - 1)), (y, np.maximum(first, place - SIDE), last)):
+                some = start <= end
+                calm = some & ~hot
+                found.append((start[calm], end[calm], gram[calm] % np.uint64(buckets), doc[calm]))
+                warm = some & hot
+                each = _spread(start[warm], end[warm] - start[warm] + 1)
+                found.append((each, each, self.digest(each, each) % np.uint64(buckets), np.repeat(doc[warm], end[warm] - start[warm] + 1)))
+        self.start, self.last, bucket, self.doc = (np.concatenate(p) for p in zip(*found))
+        self.bucket = bucket.astype(np.int64)
+        self.rep = self.equal()
+        self.order = np.flatnonzero(self.rep == np.arange(len(self.rep)))
+        self.order = self.order[np.argsort(self.bucket[self.order], kind="stable")]
+
+    def digest(self, start: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hash of each piece's bytes: of its first 50 and its last 50, which cover it."""
+        view = np.ndarray((max(0, len(self.text) - 7),), dtype="<u8", buffer=self.text, strides=(1,))
+        out = (last - start).astype(np.uint64)
+        for base in (start, last):
+            for offset in (0, 8, 16, 24, 32, 40, MIN_BYTES - 8):
+                out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + view[base + offset]
+        return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(1)
+
+    def equal(self) -> np.ndarray:
+        """First piece with the same bytes; the hash only says where to compare them."""
+        rep = np.arange(len(self.start))
+        if not len(rep):
+            return rep
+        key = self.digest(self.start, self.last)
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        raw = self.text.tobytes()
+        seen: dict[bytes, int] = {}
+        for i in np.sort(order[np.r_[same, False] | np.r_[False, same]]).tolist():
+            rep[i] = seen.setdefault(raw[self.start[i] : self.last[i] + MIN_BYTES], i)
+        return rep
+
+    def rows(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """(bucket, ids, sizes, bytes) of the distinct contexts of each bucket."""
+        start, size = self.start[self.order], self.last[self.order] - self.start[self.order] + MIN_BYTES
+        bucket, doc = self.bucket[self.order], self.doc[self.order]
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, dtype=np.int64)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)]):
+            yield int(bucket[a]), doc[a:b].astype("<i8").tobytes(), size[a:b].astype(np.uint8).tobytes(), self.text[_spread(start[a:b], size[a:b])].tobytes()
+
+    def gone(self, words: np.ndarray) -> np.ndarray:
+        """Which bytes of the pack's text go; ``words`` has a bit a string for each distinct context in order."""
+        mask = np.zeros(len(self.rep), dtype=np.uint64)
+        mask[self.order] = words
+        count = self.last - self.start + 1
+        whole = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
+        mask = np.where(self.doc > self.doc[self.rep], whole, mask[self.rep])
+        full, part = mask == whole, (mask != whole) & (mask > 0)
+        one = _spread(self.start[part], count[part])
+        bit = one - np.repeat(self.start[part], count[part])
+        one = one[(np.repeat(mask[part], count[part]) >> bit.astype(np.uint64) & np.uint64(1)) > 0]
+        size = len(self.text) + 1
+        up = np.bincount(np.concatenate([self.start[full], one]), minlength=size)
+        down = np.bincount(np.concatenate([self.last[full], one]) + MIN_BYTES, minlength=size)
+        return np.cumsum(up - down)[:-1] > 0
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, … for each start, ``count`` of them."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which keys are in the sorted ``known``."""
-    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+    """Which keys are in the sorted ``known``; a table of their lowest bits rules most others out first."""
+    out = np.zeros(len(keys), dtype=bool)
+    if len(known):
+        low = np.uint64((1 << 21) - 1)
+        table = np.zeros(1 << 21, dtype=bool)
+        table[known & low] = True
+        some = np.flatnonzero(table[keys & low])
+        out[some] = known[np.minimum(np.searchsorted(known, keys[some]), len(known) - 1)] == keys[some]
+    return out
 
 
 def _context_rows(buckets: int, bits: int):
@@ -263,18 +331,10 @@ def _context_rows(buckets: int, bits: int):
         press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, 1):
             for row in batch.to_pylist():
-                _, _, contexts = _contexts(row, buckets, bits)
-                by: dict[int, list] = {}
-                for k, doc, text in contexts:
-                    by.setdefault(k, []).append((doc, text))
-                keys = sorted(by)
-                ids = [np.array([x[0] for x in by[k]], dtype="<i8").tobytes() for k in keys]
-                sizes = [np.array([len(x[1]) for x in by[k]], dtype=np.uint8).tobytes() for k in keys]
-                texts = [press.compress(b"".join(x[1] for x in by[k])) for k in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array([row["batch"]] * len(keys), pa.int64()), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary()), pa.array(texts, pa.binary())],
-                    names=["bucket", "batch", "ids", "sizes", "texts"],
-                )
+                made = [(k, row["batch"], ids, sizes, press.compress(texts)) for k, ids, sizes, texts in _Pieces(row, buckets, bits).rows()]
+                if made:
+                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=["bucket", "batch", "ids", "sizes", "texts"])
 
     return run
 
@@ -360,29 +420,15 @@ def _remove(buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             for row in batch.to_pylist():
-                docs, runs, contexts = _contexts(row, buckets, bits)
-                by = {x["bucket"]: iter(np.frombuffer(x["words"], dtype=np.uint64).tolist()) for x in row["judged"] or []}
-                flags = [next(by[k]) for k, _, _ in contexts]
-                whole = [(1 << (len(t) - MIN_BYTES + 1)) - 1 for _, _, t in contexts]
-                cover = [np.zeros(len(data) + 1, dtype=np.int32) if len(data) >= MIN_BYTES else None for _, data in docs]
-                for n, a, b, number in runs:
-                    mask = whole[number] if docs[n][0] > contexts[number][1] else flags[number]
-                    if mask == whole[number]:
-                        cover[n][a] += 1
-                        cover[n][b + MIN_BYTES] -= 1
-                    else:
-                        while mask:
-                            low = (mask & -mask).bit_length() - 1
-                            mask &= mask - 1
-                            cover[n][a + low] += 1
-                            cover[n][a + low + MIN_BYTES] -= 1
+                pieces = _Pieces(row, buckets, bits)
+                judged = sorted(row["judged"] or [], key=lambda x: x["bucket"])
+                gone = pieces.gone(np.concatenate([np.empty(0, dtype=np.uint64), *[np.frombuffer(x["words"], dtype=np.uint64) for x in judged]]))
                 out = []
-                for (doc, data), marks in zip(docs, cover):
-                    gone = np.cumsum(marks[:-1]) > 0 if marks is not None else np.zeros(len(data), dtype=bool)
-                    removed = int(gone.sum())
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                    kept = data[~gone] if removed else data
-                    out.append((doc, len(data), removed, spans, hashlib.sha256(kept.tobytes()).hexdigest()))
+                for doc, at, size in zip(pieces.ids, pieces.at.tolist(), pieces.sizes.tolist()):
+                    data, lost = pieces.text[at : at + size], gone[at : at + size]
+                    removed = int(np.count_nonzero(lost))
+                    spans = int(lost[0]) + int(np.count_nonzero(lost[1:] & ~lost[:-1])) if removed else 0
+                    out.append((doc, size, removed, spans, hashlib.sha256(data[~lost].tobytes() if removed else data.tobytes()).hexdigest()))
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (*[pa.int64()] * 4, pa.string()))], names=names)
 
