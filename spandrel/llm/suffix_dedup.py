@@ -339,41 +339,48 @@ def _context_rows(buckets: int, bits: int):
     return run
 
 
-def _ranks(values: np.ndarray) -> np.ndarray:
-    """Dense ranks of whole numbers."""
+def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ranks of whole numbers, and the order that sorts them."""
     order = np.argsort(values)
     ordered = values[order]
     out = np.empty(len(values), dtype=np.uint64)
     out[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]) if len(values) else 0
-    return out
+    return out, order
 
 
-def suffix_classes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rank of the ``MIN_BYTES``-byte prefixes of the suffixes at ``starts``, in suffix order; equal prefixes share a rank.
+def suffix_order(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``starts`` in the order of their first ``MIN_BYTES`` bytes, and the rank of each; equal prefixes
+    share a rank.
 
     Prefix doubling: ranks of 8, 16 and 32 bytes, then two overlapping ones of 32.
     """
     padded = np.r_[text, np.zeros(MIN_BYTES, dtype=np.uint8)]
-    rank = _ranks(_words(padded, ">u8")[: len(text)])
+    rank, _ = _ranks(_words(padded, ">u8")[: len(text)])
     for step in (8, 16):
         ahead = np.r_[rank[step:], np.zeros(min(step, len(rank)), dtype=np.uint64)][: len(rank)]
-        rank = _ranks(rank << np.uint64(32) | ahead)
-    return _ranks(rank[starts] << np.uint64(32) | rank[starts + MIN_BYTES - 32])
+        rank, _ = _ranks(rank << np.uint64(32) | ahead)
+    ranks, order = _ranks(rank[starts] << np.uint64(32) | rank[starts + MIN_BYTES - 32])
+    return order, ranks
+
+
+def suffix_classes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return suffix_order(text, starts)[1]
 
 
-def smallest_holder(classes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each suffix, the smallest owner within its run of common prefixes, by previous and next smaller values.
+def smallest_holder(classes: np.ndarray, owner: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """For each suffix, the smallest owner (a small whole number) within its run of common prefixes, by previous and
+    next smaller values.
 
     In suffix order, the minimum over the previous suffixes of the run and that
     over the next ones; a suffix has an earlier match if either is below its own.
     """
-    order = np.argsort(classes, kind="stable")
-    rank, ids = classes[order].astype(np.int64), np.unique(owner, return_inverse=True)
-    value, span = ids[1][order].astype(np.int64), len(ids[0]) + 1
+    order = np.argsort(classes) if order is None else order
+    rank, value = classes[order].astype(np.int64), owner[order].astype(np.int64)
+    span = int(value.max(initial=0)) + 1
     before = np.minimum.accumulate(value - rank * span) + rank * span
     after = (np.minimum.accumulate((value + rank * span - rank[-1] * span)[::-1])[::-1] - rank * span + rank[-1] * span) if len(rank) else value
     out = np.empty(len(owner), dtype=np.int64)
-    out[order] = ids[0][np.minimum(before, after)]
+    out[order] = np.minimum(before, after)
     return out
 
 
@@ -404,7 +411,9 @@ def _judge(table: pa.Table) -> pa.Table:
     number = np.repeat(np.arange(len(texts)), count)
     within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     block = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    holder = smallest_holder(suffix_classes(block, start[number] + within), np.array(least, dtype=np.int64)[number])
+    ids, owner = np.unique(np.array(least, dtype=np.int64), return_inverse=True)
+    order, classes = suffix_order(block, start[number] + within)
+    holder = ids[smallest_holder(classes, owner[number], order)]
     first = np.cumsum(count) - count
     words = []
     for docs, own in sent:
