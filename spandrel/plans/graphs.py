@@ -112,12 +112,15 @@ def graph_all_paths(t):
     return traverse.paths(g, g.nodes, 1, 2).select("source", "nodes")
 
 
-@query(f"WITH RECURSIVE {TRADE}, r(node, depth, path) AS (SELECT 0::BIGINT, 0, [0::BIGINT] UNION ALL SELECT dst::BIGINT, depth + 1, list_append(path, dst::BIGINT) FROM r JOIN trade ON node = src WHERE depth < 4 AND NOT list_contains(path, dst)) SELECT node, min(depth) AS depth, arg_min(path, (depth, path)) AS path FROM r GROUP BY node")
+BFS = f"WITH RECURSIVE {TRADE}, r(node, depth, path) AS (SELECT 0::BIGINT, 0, [0::BIGINT] UNION ALL SELECT dst::BIGINT, depth + 1, list_append(path, dst::BIGINT) FROM r JOIN trade ON node = src WHERE depth < 4 AND NOT list_contains(path, dst)) SELECT node, min(depth) AS depth, arg_min(path, (depth, path)) AS path FROM r GROUP BY node"
+
+
+@query(BFS)
 def graph_bfs(t):
     return traverse.bfs(trade(t), 0, max_depth=4)
 
 
-@query()
+@query(f"SELECT node, depth, path, row_number() OVER (ORDER BY path) AS place FROM ({BFS})")
 def graph_dfs(t):
     return traverse.dfs(trade(t), 0, max_depth=4)
 
