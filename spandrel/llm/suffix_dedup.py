@@ -146,7 +146,7 @@ def _unsqueeze(blob: bytes) -> np.ndarray:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["batch", "ids", "sizes", "data", "n"]
-    press, seen = zstandard.ZstdCompressor(level=3), 0
+    press, seen = zstandard.ZstdCompressor(level=6), 0
     task = TaskContext.get().partitionId()
 
     def row(held):
@@ -331,7 +331,7 @@ def _context_rows(buckets: int, bits: int):
         press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, 1):
             for row in batch.to_pylist():
-                made = [(k, row["batch"], ids, sizes, press.compress(texts)) for k, ids, sizes, texts in _Pieces(row, buckets, bits).rows()]
+                made = [(k, row["batch"], press.compress(ids), sizes, press.compress(texts)) for k, ids, sizes, texts in _Pieces(row, buckets, bits).rows()]
                 if made:
                     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=["bucket", "batch", "ids", "sizes", "texts"])
@@ -392,7 +392,7 @@ def _judge(table: pa.Table) -> pa.Table:
     sent = []
     for ids, sizes, pressed in zip(table["ids"].to_pylist(), table["sizes"].to_pylist(), table["texts"].to_pylist()):
         raw, at, own = zstandard.ZstdDecompressor().decompress(pressed), 0, []
-        docs = np.frombuffer(ids, dtype="<i8")
+        docs = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), dtype="<i8")
         for doc, size in zip(docs.tolist(), np.frombuffer(sizes, dtype=np.uint8).tolist()):
             text = raw[at : at + size]
             at += size
