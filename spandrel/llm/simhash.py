@@ -16,15 +16,19 @@ in linking and have a null component; repeated ids and equal texts share one
 component; an empty table gives an empty result; other columns are ignored.
 
 ``similar_documents`` finds documents of a shingle similarity of 0.8 or more,
-which lie further apart than 3 bits: their fingerprints have ``WIDE_WORDS`` x 64
-bits, cut into 21-bit segments that are probed with the same radius-one balls.
-Candidates are verified on the complete wide fingerprint, whose distance
-estimates the similarity with a deviation of about 0.03.
+which lie further apart than 3 bits, so it uses no fingerprints. With all
+shingles in one order, two such texts have one of their first ones in common
+(n - ceil(0.8 n) + 1 of n), so each text goes to the buckets of these. Frequent
+shingles come last in the order; they are found in a sample, which changes the
+size of buckets but not the result. Every pair of a bucket that can still reach
+the similarity is compared on its shingles, unless its members are already
+known to be in one component; nothing leaves a bucket on an estimate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.graph.components import connected_components
-from spandrel.llm.arrow import frugal, map_rows
-from spandrel.session import materialize
+from spandrel.llm.arrow import frugal, map_rows, slices
+from spandrel.session import materialize, release
 
 RADIUS = 3
 SEED = 42
@@ -66,140 +70,183 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-WIDE_WORDS, SEGMENTS, SEGMENT_BITS = 8, 18, 21
-NEAR_BITS, SAME_BITS = 18, 14
-MARGIN = 0.02
-
-
-def wide_fingerprint(text: str | None, width: int) -> bytes:
-    """``WIDE_WORDS`` SimHash words over the distinct shingles: each takes its own mix of the shingle hash.
-
-    A text without words has zero bits.
-    """
-    digest = xxhash.xxh64_intdigest
-    base = np.array(list({digest(s, SEED) for s in shingles(text, width)}), dtype="<u8")
-    if not len(base):
-        return bytes(8 * WIDE_WORDS)
-    salt = np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = base[:, None] + salt
-    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    mixed ^= mixed >> np.uint64(31)
-    octets = np.ascontiguousarray(mixed, dtype="<u8").view(np.uint8).reshape(len(base), -1)
-    if len(base) < 64:
-        ones = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int32)
-        flat = octets.astype(np.int32) + np.arange(octets.shape[1], dtype=np.int32) * 256
-        counts = np.bincount(flat.ravel(), minlength=256 * octets.shape[1]).reshape(-1, 256).astype(np.int32)
-        ones = (counts @ table).ravel()
-    return np.packbits(ones * 2 > len(base), bitorder="little").tobytes()
+#: Texts whose shingles are counted to find the frequent ones, and how many of those are remembered at most.
+SAMPLE_TEXTS, FREQUENT = 20_000, 200_000
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of each row: components over links of estimated shingle similarity of at least ``similarity``.
+    """(doc_id, component_id) of each row: components over the links between texts of a shingle similarity of at least ``similarity``.
 
     Texts that are equal after lower-casing and white space are one node, so
     groups of copies cost one row each.
     """
-    allowed = int(64 * WIDE_WORDS * np.arccos(2 * (similarity - MARGIN) / (1 + similarity - MARGIN)) / np.pi)
+    num, den = Fraction(str(similarity)).as_integer_ratio()
 
     def make():
         def work(row):
             words = b" ".join((row["t"] or "").encode("utf-8", "surrogatepass").lower().split())
-            yield row["i"], xxhash.xxh3_128_digest(words), wide_fingerprint(row["t"], width)
+            yield row["i"], xxhash.xxh3_128_digest(words), row["t"]
 
         return work
 
     own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    prints = materialize(map_rows(own, make, "doc_id long, same binary, fp binary"), "wide")
-    nodes = materialize(prints.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "wide")
-    near = _verified(nodes.withColumn("cls", F.col("rep")), False, allowed)
-    classes = connected_components(near.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))).withColumnRenamed("node", "rep")
-    nodes = materialize(nodes.join(classes, "rep", "left").withColumn("cls", F.coalesce("component", "rep")).select("same", "rep", "fp", "cls"), "wide")
-    near = _verified(nodes, True, allowed)
-    parts = connected_components(near.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))).withColumnRenamed("node", "cls")
-    named = nodes.join(parts, "cls", "left").select("same", F.coalesce("component", "cls").alias("component_id"))
-    out = prints.select("doc_id", "same").join(named, "same", "left")
+    marked = map_rows(own, make, "doc_id long, same binary, t string", flush=512)
+    nodes = materialize(marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("t", ignorenulls=True).alias("t")), "texts")
+    nodes = nodes.select("same", "rep", F.xxhash64("same").alias("node"), "t")
+    # Texts that share their least id are linked by it.
+    shared = nodes.groupBy("rep").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").join(nodes.select("rep", F.col("node").alias("b")), "rep").select("a", "b")
+    parts = connected_components(_links(nodes, width, num, den).union(shared), "a", "b")
+    named = nodes.select("same", "rep", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    least = materialize(named.groupBy("part").agg(F.min("rep").alias("component_id")).join(named.select("part", "same"), "part").select("same", "component_id"), "named")
+    out = marked.select("doc_id", "same").join(least, "same", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _verified(nodes: DataFrame, probe: bool, allowed: int) -> DataFrame:
-    """Links (classes ca, cb) between nodes of different classes that are at most ``allowed`` bits apart.
+def _hashes(text: str | None, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of ``text``."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, SEED) for s in shingles(text, width)], dtype=np.uint64).view(np.int64))
+
+
+def _links(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Verified links (a, b) that connect whatever pairs of a similarity of ``num / den`` connect.
 
-    Equal segments link first; the balls around them are then probed between the classes that are left, so a
-    dense group of near copies is one class by then and sends few pairs.
+    Each round takes further members of each bucket as leaders and compares them with all later members that are not
+    yet known to be in the same component; a bucket goes when all its members are, or all have led.
     """
-    pairs = nodes.select("rep", "fp", "cls").mapInArrow(frugal(_wide_keys(probe)), "key int, rep long, cls long, word long, own boolean").repartition("key").mapInArrow(frugal(_wide_pairs), "a long, b long").distinct()
-    sides = nodes.select(F.col("rep").alias("a"), F.col("fp").alias("fa"), F.col("cls").alias("ca")), nodes.select(F.col("rep").alias("b"), F.col("fp").alias("fb"), F.col("cls").alias("cb"))
-    word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
-    distance = sum((F.bit_count(word("fa", k).bitwiseXOR(word("fb", k))) for k in range(1, WIDE_WORDS)), F.bit_count(word("fa", 0).bitwiseXOR(word("fb", 0))))
-    return materialize(pairs.join(sides[0], "a").join(sides[1], "b").where(distance <= allowed).select("ca", "cb").distinct(), "links")
+    spark = nodes.sparkSession
+    step = max(1, nodes.count() // SAMPLE_TEXTS)
+
+    def every():
+        def work(row):
+            for h in _hashes(row["t"], width).tolist():
+                yield (h,)
 
+        return work
 
-def _wide_keys(probe: bool):
-    """Each segment's value (own) and, if ``probe``, its radius-one probes that clear a set bit."""
-    masks = np.uint32(1) << np.arange(SEGMENT_BITS, dtype=np.uint32)
+    sample = map_rows(nodes.where(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("t"), every, "h long", flush=50_000)
+    often = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    often = often.sort_values("h")
+    table = spark.sparkContext.broadcast((often["h"].to_numpy(dtype=np.int64), often["n"].to_numpy(dtype=np.int64)))
+    keys = nodes.select("node", "t").mapInArrow(frugal(_prefixes(table, width, num, den)), "h long, node long, n int, pos int").withColumn("cls", F.col("node"))
+    keys = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(0)), _KEY_DDL), "keys")
+    found = spark.createDataFrame([], "a long, b long")
+    lo, hi = 0, 1
+    while not keys.isEmpty():
+        pairs = materialize(keys.repartition("h").mapInArrow(frugal(_bucket_pairs(lo, hi, num, den)), "a long, b long").distinct(), "pairs")
+        near = materialize(_verified(pairs, nodes, width, num, den), "links")
+        release(pairs)
+        if not near.isEmpty():
+            found = found.union(near)
+            classes = connected_components(found, "a", "b").withColumnRenamed("component", "now")
+            keys = keys.join(classes, "node", "left").withColumn("cls", F.coalesce("now", "node")).select("h", "node", "n", "pos", "cls")
+        keys = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(hi)), _KEY_DDL), "keys")
+        lo, hi = hi, 8 * hi
+    return found
+
+
+_KEY_DDL = "h long, node long, n int, pos int, cls long"
+
+
+def _prefixes(table, width: int, num: int, den: int):
+    """The rarest shingles of each text, as many as two texts of that similarity must have one of in common, and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                rep, cls = part.column(0).to_numpy(), part.column(2).to_numpy()
-                octets = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(octets, axis=1, bitorder="little")[:, : SEGMENTS * SEGMENT_BITS].reshape(part.num_rows, SEGMENTS, SEGMENT_BITS)
-                value = (bits * masks).sum(axis=2, dtype=np.uint32)
-                word = octets[:, -8:].copy().view("<i8").ravel()
-                row, seg = (x.ravel() for x in np.indices(value.shape))
-                key, n = seg.astype(np.uint32) << SEGMENT_BITS | value.ravel(), value.size
-                if probe:
-                    flips = value[:, :, None] ^ masks
-                    near_row, near_seg, bit = np.nonzero(bits)
-                    key = np.concatenate([key, near_seg.astype(np.uint32) << SEGMENT_BITS | flips[near_row, near_seg, bit]])
-                    row = np.concatenate([row, near_row])
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(rep[row]), pa.array(cls[row]), pa.array(word[row]), pa.array(np.arange(len(key)) < n)], names=["key", "rep", "cls", "word", "own"])
+        known, often = table.value
+        for part in slices(batches):
+            out = []
+            for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                own = _hashes(text, width)
+                if not len(own):
+                    continue
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                count = np.where(known[at] == own, often[at], 0) if len(known) else np.zeros(len(own), dtype=np.int64)
+                size = len(own) - -(-num * len(own) // den) + 1
+                first = own[np.lexsort((own, count))[:size]]
+                out.append((first, np.full(size, node), np.full(size, len(own), dtype=np.int32), np.arange(size, dtype=np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "node", "n", "pos"])
 
     return run
 
 
-def _wide_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each bucket: every row with the bucket's leaders of other classes near it.
-
-    A row that is clearly similar to a leader is taken off the list; the others lead in turn.
-    """
-    parts = [pa.Table.from_batches([b]) for b in batches]
+def _buckets(batches: Iterator[pa.RecordBatch]):
+    """Columns of a partition's rows by bucket and node, with each bucket's start and size, and each row's bucket; None without rows."""
+    parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if not parts:
-        return
+        return None
     rows = pa.concat_tables(parts)
-    key, rep, cls, word = rows["key"].to_numpy(), rows["rep"].to_numpy(), rows["cls"].to_numpy(), rows["word"].to_numpy().view(np.uint64)
-    own = rows["own"].to_numpy(zero_copy_only=False)
-    order = np.lexsort((rep, key))
-    key, rep, cls, word, own = key[order], rep[order], cls[order], word[order], own[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    held = np.add.reduceat(own.astype(np.int64), starts)
-    out: set[tuple[int, int]] = set()
-    two = starts[(sizes == 2) & (held > 0)]
-    near = two[(np.bitwise_count(word[two] ^ word[two + 1]) <= NEAR_BITS) & (cls[two] != cls[two + 1])]
-    out.update(zip(rep[near].tolist(), rep[near + 1].tolist()))
-    for i in np.flatnonzero((sizes > 2) & (held > 0)):
-        span = slice(starts[i], starts[i] + sizes[i])
-        r, c, w = rep[span], cls[span], word[span]
-        while len(r) > 1:
-            apart = np.bitwise_count(w[1:] ^ w[0])
-            out.update((int(r[0]), x) for x in r[1:][(apart <= NEAR_BITS) & (c[1:] != c[0])].tolist())
-            left = apart > SAME_BITS
-            r, c, w = r[1:][left], c[1:][left], w[1:][left]
-        if len(out) > 500_000:
-            yield _pair_batch(out)
-            out = set()
-    if out:
-        yield _pair_batch(out)
-
-
-def _pair_batch(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*(p for p in pairs if p[0] != p[1])) if any(p[0] != p[1] for p in pairs) else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    h, node, n, pos, cls = (rows[c].to_numpy() for c in ("h", "node", "n", "pos", "cls"))
+    order = np.lexsort((node, h))
+    h, node, n, pos, cls = (x[order] for x in (h, node, n, pos, cls))
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    sizes = np.diff(np.r_[starts, len(h)])
+    return h, node, n.astype(np.int64), pos.astype(np.int64), cls, starts, sizes, np.repeat(np.arange(len(starts)), sizes)
+
+
+def _open_buckets(led: int):
+    """Rows of the buckets with members of several classes, of which more than the first ``led`` have still to lead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _buckets(batches)
+        if held is None:
+            return
+        h, node, n, pos, cls, starts, sizes, bucket = held
+        mixed = np.minimum.reduceat(cls, starts) != np.maximum.reduceat(cls, starts)
+        keep = np.flatnonzero((mixed & (sizes > led + 1))[bucket])
+        for at in range(0, len(keep), 100_000):
+            k = keep[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(node[k]), pa.array(n[k].astype(np.int32)), pa.array(pos[k].astype(np.int32)), pa.array(cls[k])], names=["h", "node", "n", "pos", "cls"])
+
+    return run
+
+
+def _bucket_pairs(lo: int, hi: int, num: int, den: int):
+    """Pairs of the ``lo``-th to ``hi``-th member of each bucket with its later members of other classes.
+
+    If the bucket is that of the first shingle that a pair has in common, no more can be common than follow on either side.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _buckets(batches)
+        if held is None:
+            return
+        _, node, n, pos, cls, starts, sizes, bucket = held
+        rank = np.arange(len(node)) - starts[bucket]
+        for i in range(lo, min(hi, int(sizes.max()) - 1)):
+            later = np.flatnonzero(rank > i)
+            lead = starts[bucket[later]] + i
+            most = np.minimum(n[lead] - pos[lead], n[later] - pos[later])
+            some = (cls[lead] != cls[later]) & (most * (num + den) >= num * (n[lead] + n[later]))
+            if some.any():
+                both = np.unique(np.stack([node[lead[some]], node[later[some]]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs whose texts have the similarity."""
+
+    def make():
+        last: dict[int, np.ndarray] = {}
+
+        def held(node, text):
+            if node not in last:
+                if len(last) > 64:
+                    last.clear()
+                last[node] = _hashes(text, width)
+            return last[node]
+
+        def work(row):
+            x, y = held(row["a"], row["ta"]), held(row["b"], row["tb"])
+            if len(np.intersect1d(x, y, assume_unique=True)) * (num + den) >= num * (len(x) + len(y)):
+                yield row["a"], row["b"]
+
+        return work
+
+    sides = nodes.select(F.col("node").alias("a"), F.col("t").alias("ta")), nodes.select(F.col("node").alias("b"), F.col("t").alias("tb"))
+    return map_rows(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb"), make, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:

@@ -224,3 +224,33 @@ def test_longest_chain_is_longest(values):
     chain = line_dedup.longest_chain(list(enumerate(values)))
     assert len(chain) == max(best, default=0)
     assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:]))
+
+
+def brute_similar(rows):
+    """Components over all pairs whose sets of five-word shingles have a similarity of 0.8 or more."""
+    sets = [(i, set(simhash.shingles(t, 5))) for i, t in rows]
+    group = {i: i for i, _ in rows}
+    for at, (i, x) in enumerate(sets):
+        for j, y in sets[:at]:
+            if 10 * len(x & y) >= 8 * len(x | y):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    return group
+
+
+def test_similar_documents_compares_every_member_of_a_bucket(spark):
+    """Texts that share passages with a leader without being similar to it, but are similar to each other."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        base = words(120)
+        texts.append(base)
+        for cut in (14, 17, 20, 24):
+            changed = [*base[: 120 - cut], *words(cut)]
+            texts += [changed, [*changed[:60], *words(rng.randint(1, 9)), *changed[60:]], [*changed, *words(rng.randint(5, 25))]]
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_similar(rows)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+    assert len(set(want.values())) > 6
