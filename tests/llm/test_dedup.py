@@ -254,3 +254,17 @@ def test_similar_documents_compares_every_member_of_a_bucket(spark):
     want = brute_similar(rows)
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
     assert len(set(want.values())) > 6
+
+
+def test_similar_documents_of_few_words(spark):
+    """Copies of short texts with a word added: similarity 3/4 to 8/9, decided on the shingles."""
+    rng = random.Random(12)
+    rows = []
+    for n in (7, 8, 9, 10, 11, 12):
+        for _ in range(8):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            rows += [(len(rows) + 1, " ".join(base)), (len(rows) + 2, " ".join([*base, "more"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_similar(rows)
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
+    assert sum(i != g for i, g in want.items()) == 40
