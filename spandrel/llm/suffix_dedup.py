@@ -227,8 +227,8 @@ class _Pieces:
     """The runs of a pack whose minimizers are repeated, as arrays, and the distinct contexts among them.
 
     A piece covers the 50-byte strings that start from ``start`` to ``last`` in
-    the pack's text. ``rep`` is the first piece of equal bytes. ``order`` lists
-    those first pieces by bucket, which is the order they are sent and judged in.
+    the pack's text. ``rep`` is the piece of equal bytes with the smallest id. ``order`` lists
+    those pieces by bucket, which is the order they are sent and judged in.
     """
 
     def __init__(self, row: dict, buckets: int, bits: int):
@@ -271,7 +271,7 @@ class _Pieces:
         return (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(1)
 
     def equal(self) -> np.ndarray:
-        """First piece with the same bytes; the hash only says where to compare them."""
+        """Piece of the smallest document with the same bytes, the first of several; the hash only says where to compare them."""
         rep = np.arange(len(self.start))
         if not len(rep):
             return rep
@@ -280,7 +280,8 @@ class _Pieces:
         same = key[order][1:] == key[order][:-1]
         raw = self.text.tobytes()
         seen: dict[bytes, int] = {}
-        for i in np.sort(order[np.r_[same, False] | np.r_[False, same]]).tolist():
+        some = np.sort(order[np.r_[same, False] | np.r_[False, same]])
+        for i in some[np.argsort(self.doc[some], kind="stable")].tolist():
             rep[i] = seen.setdefault(raw[self.start[i] : self.last[i] + MIN_BYTES], i)
         return rep
 

@@ -268,3 +268,19 @@ def test_similar_documents_of_few_words(spark):
     want = brute_similar(rows)
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()} == want
     assert sum(i != g for i, g in want.items()) == 40
+
+
+def test_suffix_hot_passage_cut_short_in_one_pack(spark, monkeypatch):
+    """The start or end of a frequent passage, with its surroundings, in neighbours of which one ends or differs there."""
+    monkeypatch.setattr(suffix_dedup, "HOT_PACKS", 3)
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 600)
+    rng = random.Random(8)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    passage = some("abcdefgh", 90)
+    rows = [(i, some("uvwxyz", 40) + passage + some("uvwxyz", 40)) for i in range(0, 20)]
+    for k in range(10, 88):
+        head = some("uvwxyz", 60)
+        texts = [head + passage + some("uvwxyz", 30), head + passage[:k], some("uvwxyz", 30) + passage + head[::-1], passage[-k:] + head[::-1]]
+        rows += list(zip(range(4 * k + 100, 4 * k + 104), texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).collect()) == brute_repeats(rows)
