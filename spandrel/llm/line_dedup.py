@@ -1,13 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared line hashes: every line of at
-least ``MIN_CHARS`` characters that several documents hold pairs each later
-document with the line's earliest holder. That is one pair a shared line and
-document, however many hold the line, so no frequency cap is needed. The rarest
-shared lines come first in a pair. Each pair is aligned with patience diff
-(lines that occur once on either side, longest increasing chain, recursion into
-the gaps, then growth to equal neighbours), and the aligned blocks are deleted
-from the later document. A group is never larger than one document's lines.
+Overlapping documents are found through the hashes of what they share: lines of
+at least ``MIN_CHARS`` characters, windows of neighbouring shorter ones, and
+short lines with what lies up to the nearest of these. Each pair is aligned
+with patience diff (lines that occur once on either side, longest increasing
+chain, recursion into the gaps, then growth to equal neighbours, short and
+blank ones too), and the aligned blocks are deleted from the later document.
+A first round pairs each document with the earliest holder of each hash; while
+lines are left that later holders share, further rounds try these in order. So
+the result is that of alignment with every earlier document, but what is gone
+already makes no more pairs. (``dedup_lines`` without ``complete`` does the
+first round over long lines alone.)
 
 Defined cases: documents are ordered by id, those that share an id by a hash of
 their text; identical rows count as one document; rows with a null id and null
@@ -20,8 +23,9 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -52,15 +56,20 @@ def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def align(shared: list[tuple[list[int], list[int]]]) -> set[int]:
+def align(shared: list[tuple[list[int], list[int]]], short: list[tuple[list[int], list[int]]] | None = None) -> set[int]:
     """Positions of the later document that patience diff aligns with the earlier one.
 
-    ``shared`` has, for each line they share, its positions in the later and in the earlier document.
+    ``shared`` has, for each line they share, its positions in the later and in the earlier document; so has ``short``
+    for lines that blocks grow over but do not start from.
     """
     equal: dict[int, set[int]] = {}
     for late, early in shared:
         for p in late:
             equal.setdefault(p, set()).update(early)
+    solid = set(equal)
+    for late, early in short or ():
+        for p in late:
+            equal.setdefault(p, set()).update(early)
     taken: dict[int, int] = {}
     top = (max((p for late, _ in shared for p in late), default=-1) + 1, max((p for _, early in shared for p in early), default=-1) + 1)
     todo = [((0, top[0]), (0, top[1]), shared)]
@@ -73,10 +82,12 @@ def align(shared: list[tuple[list[int], list[int]]]) -> set[int]:
                 inside.append((x, y))
         anchors = longest_chain(sorted((x[0], y[0]) for x, y in inside if len(x) == 1 and len(y) == 1))
         if not anchors:
-            i, j = a0, b0
+            i, j, run = a0, b0, {}
             while i < a1 and j < b1 and j in equal.get(i, ()):
-                taken[i] = j
+                run[i] = j
                 i, j = i + 1, j + 1
+            if not solid.isdisjoint(run):
+                taken.update(run)
             continue
         taken.update(anchors)
         if len(inside) > len(anchors):
@@ -136,20 +147,186 @@ def _shared_lines(own: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("df", "e_id", "e_tk", F.col("places").alias("late"), "early")).alias("shared"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` deduplicated and n_lines, n_removed, n_blocks added (columns of those names are replaced)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
+    """``docs`` with ``text_col`` deduplicated and n_lines, n_removed, n_blocks added (columns of those names are replaced).
+
+    ``complete`` aligns with every earlier document and over short lines; without it, long lines and their earliest holders count alone.
+    """
     added = ("n_lines", "n_removed", "n_blocks")
     rest = [c for c in docs.columns if c not in (id_col, text_col, *added)]
     carried = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("struct<none:int>")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("rest")).withColumn("tk", F.xxhash64("text"))
-    joined = own.join(_shared_lines(own), ["doc_id", "tk"], "left").select("doc_id", "text", "rest", "shared")
+    found, column, make = (_gone_lines(own), "gone", _delete_gone) if complete else (_shared_lines(own), "shared", _delete)
+    joined = own.join(found, ["doc_id", "tk"], "left").select("doc_id", "text", "rest", column)
     target = StructType([*joined.select("doc_id", "text", "rest").schema.fields, *[StructField(c, LongType()) for c in added]])
-    out = map_rows(joined, _delete, target, flush=512)
+    out = map_rows(joined, make, target, flush=512)
     return out.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col), *[F.col(f"rest.`{c}`") for c in rest], *added)
 
 
+def hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each line without white space at its ends, and its length up to ``MIN_CHARS``."""
+    digest = xxhash.xxh64_intdigest
+    bare = [line.strip() for line in (text or "").split("\n")]
+    keys = [digest(x.encode("utf-8", "surrogatepass"), SEED) - (1 << 63) for x in bare]
+    return np.array(keys, dtype="<i8"), np.array([min(len(x), MIN_CHARS) for x in bare], dtype=np.uint8)
+
+
+def windows(lengths: list[int]) -> dict[int, int]:
+    """Last line of each window of neighbouring short lines: from a line that is not blank to ``MIN_CHARS`` characters in all."""
+    out: dict[int, int] = {}
+    end, held = 0, 0
+    for start, size in enumerate(lengths):
+        if size >= MIN_CHARS:
+            end, held = start + 1, 0
+            continue
+        while end < len(lengths) and lengths[end] < MIN_CHARS and held < MIN_CHARS:
+            held += lengths[end]
+            end += 1
+        if size and held >= MIN_CHARS:
+            out[start] = end - 1
+        held -= size
+    return out
+
+
+def block_keys(keys: np.ndarray, lengths: np.ndarray) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """(anchors, links) of a document: positions by hash.
+
+    Blocks start from anchors: long lines, windows of short ones, or a whole document that has neither. Each short
+    line that can be in a block is in a link: the lines from the nearest anchor before it, or to the nearest one after
+    it. Whatever document a block of lines is shared with also has the links of all its lines.
+    """
+    raw, sizes = keys.tobytes(), lengths.tolist()
+    digest = xxhash.xxh64_intdigest
+    several = lambda a, b: digest(raw[8 * a : 8 * b + 8], SEED + b - a) - (1 << 63)
+    anchors: dict[int, list[int]] = {}
+    links: dict[int, list[int]] = {}
+    ends = windows(sizes)
+    for at, (key, size) in enumerate(zip(keys.tolist(), sizes)):
+        if size >= MIN_CHARS:
+            anchors.setdefault(key, []).append(at)
+        elif at in ends:
+            anchors.setdefault(several(at, ends[at]), []).append(at)
+    if not anchors:
+        if any(sizes):
+            anchors[several(0, len(sizes) - 1)] = [0]
+            links[several(0, len(sizes) - 1)] = list(range(len(sizes)))
+        return anchors, links
+    starts = {end: start for start, end in sorted(ends.items())}
+    last = None
+    for at, size in enumerate(sizes):
+        if size >= MIN_CHARS:
+            last = at
+            continue
+        last = starts.get(at, last)
+        if last is not None:
+            links.setdefault(several(last, at), []).append(at)
+    last = None
+    for at in range(len(sizes) - 1, -1, -1):
+        if sizes[at] >= MIN_CHARS:
+            last = at
+            continue
+        last = ends.get(at, last)
+        if last is not None:
+            links.setdefault(several(at, last), []).append(at)
+    return anchors, links
+
+
+def align_documents(late: tuple[np.ndarray, np.ndarray], early: tuple[np.ndarray, np.ndarray]) -> set[int]:
+    """Positions of the later document whose blocks of lines the earlier one has too."""
+    (a, _), (b, _) = block_keys(*late), block_keys(*early)
+    shared = sorted((len(a[h]) + len(b[h]), h) for h in a.keys() & b.keys())
+    if not shared:
+        return set()
+    sides = []
+    for keys, lengths in (late, early):
+        held: dict[int, list[int]] = {}
+        for at, (key, size) in enumerate(zip(keys.tolist(), lengths.tolist())):
+            if size < MIN_CHARS:
+                held.setdefault(key, []).append(at)
+        sides.append(held)
+    short = [(x, sides[1][h]) for h, x in sides[0].items() if h in sides[1]]
+    return align([(a[h], b[h]) for _, h in shared], short)
+
+
+def _document_hashes():
+    def work(row):
+        keys, lengths = hashes(row["text"])
+        yield row["doc_id"], row["tk"], keys.tobytes(), lengths.tobytes()
+
+    return work
+
+
+def _arrays(keys: bytes, lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, dtype="<i8"), np.frombuffer(lengths, dtype=np.uint8)
+
+
+def _document_keys():
+    def work(row):
+        keys, lengths = _arrays(row["keys"], row["lengths"])
+        anchors, links = block_keys(keys, lengths)
+        gone = set(row["gone"] or ())
+        found: dict[int, bool] = {}
+        for h, places in [*((h, p) for h, p in anchors.items() if lengths[p[0]] == MIN_CHARS), *links.items()]:
+            found[h] = found.get(h, False) or not gone.issuperset(places)
+        for h, wanted in found.items():
+            yield h, row["doc_id"], row["tk"], wanted
+
+    return work
+
+
+def _aligned():
+    def work(row):
+        yield row["doc_id"], row["tk"], sorted(align_documents(_arrays(row["keys"], row["lengths"]), _arrays(row["e_keys"], row["e_lengths"])))
+
+    return work
+
+
+def _gone_lines(own: DataFrame) -> DataFrame:
+    """(doc_id, tk, gone): positions of each document's lines that align with any earlier document.
+
+    Round by round, lines that are still there are tried against further documents that hold the same link, in order.
+    """
+    bare = map_rows(own.select("doc_id", "tk", "text").where("doc_id is not null and text is not null"), _document_hashes, "doc_id long, tk long, keys binary, lengths binary")
+    texts = materialize(bare.groupBy("doc_id", "tk").agg(F.first("keys").alias("keys"), F.first("lengths").alias("lengths")), "texts")
+    early = texts.select(F.col("doc_id").alias("e_id"), F.col("tk").alias("e_tk"), F.col("keys").alias("e_keys"), F.col("lengths").alias("e_lengths"))
+    place = Window.partitionBy("h").orderBy("doc_id", "tk")
+    lines = materialize(map_rows(texts.withColumn("gone", F.lit(None).cast("array<int>")), _document_keys, "h long, doc_id long, tk long, wanted boolean"), "lines")
+    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "tk")).alias("e"), F.count("*").alias("df")).where("df > 1")
+    pairs = lines.join(first, "h").select("doc_id", "tk", F.col("e.doc_id").alias("e_id"), F.col("e.tk").alias("e_tk")).where("doc_id > e_id or (doc_id = e_id and tk > e_tk)").distinct()
+    tried = materialize(pairs, "pairs")
+    news, gone, lo, hi = tried, None, 1, 2
+    while True:
+        found = map_rows(news.join(texts, ["doc_id", "tk"]).join(early, ["e_id", "e_tk"]).select("doc_id", "tk", "keys", "lengths", "e_keys", "e_lengths"), _aligned, "doc_id long, tk long, gone array<int>")
+        # A position a row: one document may have very many partners.
+        spots = found.select("doc_id", "tk", F.explode("gone").alias("at"))
+        if gone is not None:
+            spots = spots.union(gone.select("doc_id", "tk", F.explode("gone").alias("at")))
+        gone = materialize(spots.distinct().groupBy("doc_id", "tk").agg(F.collect_list("at").alias("gone")), "gone")
+        lines = map_rows(texts.join(gone, ["doc_id", "tk"], "left"), _document_keys, "h long, doc_id long, tk long, wanted boolean")
+        # Keys whose lines are still wanted by a document that is not among the first lo holders.
+        ranked = lines.withColumn("rank", F.row_number().over(place))
+        ranked = materialize(ranked.withColumn("last", F.max(F.when(F.col("wanted"), F.col("rank"))).over(Window.partitionBy("h"))).where(f"last > {lo + 1} and rank <= last").where(f"wanted or (rank > {lo} and rank <= {hi})"), "ranked")
+        if ranked.isEmpty():
+            return gone
+        heads = ranked.where(f"rank > {lo} and rank <= {hi}").select("h", F.col("doc_id").alias("e_id"), F.col("tk").alias("e_tk"), F.col("rank").alias("e_rank"))
+        pairs = ranked.where("wanted").join(heads, "h").where("rank > e_rank").select("doc_id", "tk", "e_id", "e_tk").distinct()
+        news = materialize(pairs.join(tried, ["doc_id", "tk", "e_id", "e_tk"], "left_anti"), "pairs")
+        tried = tried.union(news)
+        lo, hi = hi, 4 * hi
+
+
+def _delete_gone():
+    def work(row):
+        text, gone = row["text"], set(row["gone"] or ())
+        lines = (text or "").split("\n")
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
+        yield row["doc_id"], kept, row["rest"], len(lines), len(gone), sum(1 for p in gone if p - 1 not in gone)
+
+    return work
+
+
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """Per document: lines, removed lines and blocks, bytes and digest of what is kept (a null text counts as empty here)."""
     kept = F.coalesce("text", F.lit(""))
-    out = dedup_lines(docs.select("doc_id", "text"))
+    out = dedup_lines(docs.select("doc_id", "text"), complete=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_blocks", F.octet_length(kept).cast("long").alias("n_kept_bytes"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

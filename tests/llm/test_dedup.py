@@ -284,3 +284,27 @@ def test_suffix_hot_passage_cut_short_in_one_pack(spark, monkeypatch):
         rows += list(zip(range(4 * k + 100, 4 * k + 104), texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).collect()) == brute_repeats(rows)
+
+
+def brute_alignment(rows):
+    """Every document aligned with every earlier one."""
+    docs, out = sorted(set(rows)), {}
+    for at, (i, t) in enumerate(docs):
+        gone = set()
+        for _, s in docs[:at]:
+            gone |= line_dedup.align_documents(line_dedup.hashes(t), line_dedup.hashes(s))
+        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    return out
+
+
+def test_line_dedup_aligns_with_every_earlier_document(spark):
+    """Lines in another order, or more often, in a later holder than in the earliest one."""
+    x, y, z = ("a line of some length", "and another such line", "a third line like them")
+    rng = random.Random(4)
+    texts = [f"{x}\n{y}", f"{y}\n{x}", f"{y}\n{x}", f"{z}\n{z}", f"{y}\n{x}\n{z}\n{z}"]
+    texts += ["\n".join(rng.choice([x, y, z, "short", "", "x", "a fourth line, for luck", "several words"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, complete=True).collect()}
+    assert found == brute_alignment(rows)
+    assert found[2] == ""
