@@ -308,3 +308,13 @@ def test_line_dedup_aligns_with_every_earlier_document(spark):
     found = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, complete=True).collect()}
     assert found == brute_alignment(rows)
     assert found[2] == ""
+
+
+def test_line_dedup_takes_short_and_blank_lines_of_a_block(spark):
+    long = ["the first of the long lines", "the second of the long lines"]
+    block = [long[0], "", "short", long[1]]
+    verse = ["one two", "three", "", "four five", "six"]
+    texts = ["\n".join(t) for t in (block, ["own words stand here now", *block, "short"], block, verse, ["short", *verse, "own"], verse, ["ab", "c"], ["ab", "c"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, complete=True).collect()}
+    assert found == {**dict(enumerate(texts)), 1: "own words stand here now\nshort", 2: "", 4: "short\nown", 5: "", 7: ""}
