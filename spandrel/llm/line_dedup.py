@@ -1,22 +1,32 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through the hashes of what they share: lines of
-at least ``MIN_CHARS`` characters, windows of neighbouring shorter ones, and
-short lines with what lies up to the nearest of these. Each pair is aligned
-with patience diff (lines that occur once on either side, longest increasing
-chain, recursion into the gaps, then growth to equal neighbours, short and
-blank ones too), and the aligned blocks are deleted from the later document.
-A first round pairs each document with the earliest holder of each hash; while
-lines are left that later holders share, further rounds try these in order. So
-the result is that of alignment with every earlier document, but what is gone
-already makes no more pairs. (``dedup_lines`` without ``complete`` does the
-first round over long lines alone.)
+Overlapping documents are found through the hashes of lines they share, and
+each pair is aligned with patience diff: equal lines at both ends, then the
+longest chain of units that occur once on either side, then the same in the
+gaps. A unit is a line, with as many lines after it as ``MIN_CHARS`` characters
+take. Aligned blocks of at least ``MIN_CHARS`` characters are deleted from the
+later document, their short and blank lines too. The result is that of aligning
+every document with every earlier one, without doing all of that:
+
+* Only lines that another document may share are kept of a document (short ones
+  count by their neighbours); documents of which the same lines remain, in the
+  same runs, are one class and are aligned once.
+* A first round aligns each class with the earliest class of each unit. What is
+  gone from all members of a class asks for nothing more.
+* For the lines that are left, a class is a candidate only if it can align them:
+  it holds the line once, as they do; or the line and a neighbour; or it begins
+  or ends alike; or it holds the line along with a unit that occurs once in both
+  (looked up through the rarer of the two). Candidates are taken in the order of
+  their first documents, more of them each round, until none is left.
+
+Lines are compared by 64-bit hashes of what is between white space at their ends.
 
 Defined cases: documents are ordered by id, those that share an id by a hash of
 their text; identical rows count as one document; rows with a null id and null
-or empty texts stay as they are (null stays null); lines are compared without
-white space at their ends; a document all of whose lines go keeps an empty text;
-an empty table gives an empty result; other columns pass through.
+or empty texts stay as they are (null stays null); a document of less than
+``MIN_CHARS`` characters goes if all its lines are those of an earlier one, blank
+documents stay; a document all of whose lines go keeps an empty text; an empty
+table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,19 +35,30 @@ from bisect import bisect_left
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from spandrel.llm.arrow import map_rows
-from spandrel.session import materialize
+from spandrel.session import materialize, release
 
 MIN_CHARS = 16
-SEED = 42
+#: Candidates of a key that a round reaches: the first, then this many times as many each round.
+WIDER = 16
+#: Requests for pairs of keys that one document makes at most before it asks for one key of each pair alone.
+REQUESTS = 10_000
+#: What counts as white space at the ends of a line.
+WHITE = " \t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: Size of the mark between runs of lines.
+APART = 255
+ONCE, OFTEN, WINDOW, NEXT, FIRST, LAST = range(6)
 
 
 def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest chain of pairs that increases on both sides; ``pairs`` is sorted by its first side, strictly."""
+    """Longest chain of pairs that increases on both sides; ``pairs`` is sorted by its first side, strictly.
+
+    Of several, the one whose pairs, from the last backwards, come latest.
+    """
     tails: list[int] = []
     ends: list[int] = []
     before = [-1] * len(pairs)
@@ -56,277 +77,361 @@ def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def align(shared: list[tuple[list[int], list[int]]], short: list[tuple[list[int], list[int]]] | None = None) -> set[int]:
-    """Positions of the later document that patience diff aligns with the earlier one.
-
-    ``shared`` has, for each line they share, its positions in the later and in the earlier document; so has ``short``
-    for lines that blocks grow over but do not start from.
-    """
-    equal: dict[int, set[int]] = {}
-    for late, early in shared:
-        for p in late:
-            equal.setdefault(p, set()).update(early)
-    solid = set(equal)
-    for late, early in short or ():
-        for p in late:
-            equal.setdefault(p, set()).update(early)
+class Lines:
+    """Line hashes and sizes of a document or class, with its units: where each ends, and its bytes."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray):
+        self.raw = tokens.tobytes()
+        self.tokens, self.sizes = tokens.tolist(), sizes.tolist()
+        self.ends = self._ends()
+        self.units = {u: self.bytes(u, v) for u, v in self.ends.items()}
+
+    @classmethod
+    def packed(cls, data: bytes) -> Lines:
+        n = len(data) // 9
+        return cls(np.frombuffer(data, "<i8", n), np.frombuffer(data, np.uint8, n, 8 * n))
+
+    def bytes(self, u: int, v: int) -> bytes:
+        return self.raw[8 * u : 8 * v + 8]
+
+    def _ends(self) -> dict[int, int]:
+        out: dict[int, int] = {}
+        sizes, end, held = self.sizes, 0, 0
+        for start, size in enumerate(sizes):
+            if end <= start:
+                end, held = start, 0
+            if size == APART:
+                continue
+            while end < len(sizes) and held < MIN_CHARS and sizes[end] != APART:
+                held += sizes[end]
+                end += 1
+            if size and held >= MIN_CHARS:
+                out[start] = end - 1
+            held -= size
+        return out
+
+    def once(self) -> set[bytes]:
+        """Units that occur once."""
+        seen: dict[bytes, int] = {}
+        for unit in self.units.values():
+            seen[unit] = seen.get(unit, 0) + 1
+        return {unit for unit, n in seen.items() if n == 1}
+
+    def windows(self, p: int) -> list[tuple[int, int]]:
+        """Least runs of lines of ``MIN_CHARS`` characters around line ``p``."""
+        sizes, out, left, u = self.sizes, [], 0, p
+        while u >= 0 and sizes[u] != APART:
+            left += sizes[u]
+            v, held = p, left
+            while held < MIN_CHARS and v + 1 < len(sizes) and sizes[v + 1] != APART:
+                v += 1
+                held += sizes[v]
+            if held >= MIN_CHARS and (u == p or held - sizes[u] < MIN_CHARS):
+                out.append((u, v))
+            if left >= MIN_CHARS:
+                break
+            u -= 1
+        return out
+
+
+def align(late: Lines, early: Lines) -> list[int]:
+    """Positions of the later document in blocks that patience diff aligns with the earlier one."""
+    a, b, sizes = late.tokens, early.tokens, late.sizes
     taken: dict[int, int] = {}
-    top = (max((p for late, _ in shared for p in late), default=-1) + 1, max((p for _, early in shared for p in early), default=-1) + 1)
-    todo = [((0, top[0]), (0, top[1]), shared)]
+    todo = [(0, len(a), 0, len(b))]
     while todo:
-        (a0, a1), (b0, b1), rows = todo.pop()
-        inside = []
-        for late, early in rows:
-            x, y = [p for p in late if a0 <= p < a1], [p for p in early if b0 <= p < b1]
-            if x and y:
-                inside.append((x, y))
-        anchors = longest_chain(sorted((x[0], y[0]) for x, y in inside if len(x) == 1 and len(y) == 1))
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0] and sizes[a0] != APART and early.sizes[b0] != APART:
+            taken[a0] = b0
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1] and sizes[a1 - 1] != APART and early.sizes[b1 - 1] != APART:
+            a1, b1 = a1 - 1, b1 - 1
+            taken[a1] = b1
+        if a0 == a1 or b0 == b1:
+            continue
+        places: list[dict[bytes, int]] = []
+        for side, lo, hi in ((late, a0, a1), (early, b0, b1)):
+            found: dict[bytes, int] = {}
+            for u in range(lo, hi):
+                if side.ends.get(u, hi) < hi:
+                    unit = side.units[u]
+                    found[unit] = -1 if unit in found else u
+            places.append(found)
+        anchors = longest_chain(sorted((u, places[1][k]) for k, u in places[0].items() if u >= 0 and places[1].get(k, -1) >= 0))
         if not anchors:
-            i, j, run = a0, b0, {}
-            while i < a1 and j < b1 and j in equal.get(i, ()):
-                run[i] = j
-                i, j = i + 1, j + 1
-            if not solid.isdisjoint(run):
-                taken.update(run)
             continue
         taken.update(anchors)
-        if len(inside) > len(anchors):
-            fences = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
-            for (p, q), (r, s) in zip(fences, fences[1:]):
-                if r - p > 1 and s - q > 1:
-                    todo.append(((p + 1, r), (q + 1, s), inside))
-    for step in (1, -1):
-        for p, q in sorted(taken.items(), reverse=step < 0):
-            while p + step not in taken and q + step in equal.get(p + step, ()):
-                p, q = p + step, q + step
-                taken[p] = q
-    return set(taken)
-
-
-def _lines():
-    digest = xxhash.xxh64_intdigest
+        for (p, q), (r, s) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)]):
+            if r - p > 1 and s - q > 1:
+                todo.append((p + 1, r, q + 1, s))
+    out: list[int] = []
+    block: list[int] = []
+    for p in [*sorted(taken), None]:
+        if block and (p is None or p != block[-1] + 1 or taken[p] != taken[block[-1]] + 1):
+            if sum(sizes[x] for x in block) >= MIN_CHARS:
+                out += block
+            block = []
+        block.append(p)
+    return out
 
-    def work(row):
-        found: dict[int, list[int]] = {}
-        for at, line in enumerate((row["text"] or "").split("\n")):
-            bare = line.strip()
-            if len(bare) >= MIN_CHARS:
-                found.setdefault(digest(bare.encode("utf-8", "surrogatepass"), SEED) - (1 << 63), []).append(at)
-        for key, places in found.items():
-            yield key, row["doc_id"], row["tk"], places
 
-    return work
+def _key(kind: int, data: bytes) -> int:
+    return xxhash.xxh64_intdigest(data, kind) - (1 << 63)
 
 
-def _delete():
-    def work(row):
-        text, shared = row["text"], row["shared"]
-        if text is None or not shared:
-            yield row["doc_id"], text, row["rest"], (text or "").count("\n") + 1, 0, 0
-            return
-        by: dict[tuple, list] = {}
-        for _, early_id, early_tk, late, early in sorted((x["df"], x["e_id"], x["e_tk"], x["late"], x["early"]) for x in shared):
-            by.setdefault((early_id, early_tk), []).append((late, early))
-        gone: set[int] = set()
-        for rows in by.values():
-            gone |= align(rows)
-        lines = text.split("\n")
-        blocks = sum(1 for p in gone if p - 1 not in gone)
-        yield row["doc_id"], "\n".join(x for i, x in enumerate(lines) if i not in gone), row["rest"], len(lines), len(gone), blocks
+def plain_keys(lines: Lines) -> set[int]:
+    """Keys of the units."""
+    once = lines.once()
+    return {_key(ONCE if unit in once else OFTEN, unit) for unit in lines.units.values()}
 
-    return work
+
+def line_keys(lines: Lines, p: int) -> set[int]:
+    """Keys of line ``p`` but that of its own unit: who aligns it in a block of several lines, or at an end, has one of them."""
+    sizes, n = lines.sizes, len(lines.sizes)
+    if sizes[p] < MIN_CHARS:
+        return {_key(WINDOW, lines.bytes(u, v)) for u, v in lines.windows(p)}
+    out = {_key(NEXT, lines.bytes(u, u + 1)) for u in (p - 1, p) if u >= 0 and u + 1 < n and APART not in (sizes[u], sizes[u + 1])}
+    if p == 0:
+        out.add(_key(FIRST, lines.bytes(p, p)))
+    if p == n - 1:
+        out.add(_key(LAST, lines.bytes(p, p)))
+    return out
 
 
-def _shared_lines(own: DataFrame) -> DataFrame:
-    """(doc_id, tk, shared): for each document, the lines it shares with their earliest holders."""
-    lines = materialize(map_rows(own.select("doc_id", "tk", "text").where("doc_id is not null"), _lines, "h long, doc_id long, tk long, places array<int>"), "lines")
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "tk")).alias("e"), F.count("*").alias("df")).where("df > 1")
-    held = lines.join(first, "h").where("doc_id = e.doc_id and tk = e.tk")
-    heads = materialize(held.groupBy("h").agg(F.first("e.doc_id").alias("e_id"), F.first("e.tk").alias("e_tk"), F.first("df").alias("df"), F.first("places").alias("early")), "heads")
-    pairs = lines.join(heads, "h").where("doc_id > e_id or (doc_id = e_id and tk > e_tk)")
-    return pairs.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("df", "e_id", "e_tk", F.col("places").alias("late"), "early")).alias("shared"))
+def _line_table(own: DataFrame) -> DataFrame:
+    """(doc_id, tk, lines): hash and size (up to MIN_CHARS) of each line of each document."""
+    bare = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WHITE)))
+    lines = F.transform(bare, lambda x: F.struct(F.xxhash64(x).alias("h"), F.least(F.char_length(x), F.lit(MIN_CHARS)).cast("byte").alias("n")))
+    return own.where("doc_id is not null and text is not null").select("doc_id", "tk", lines.alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
-    """``docs`` with ``text_col`` deduplicated and n_lines, n_removed, n_blocks added (columns of those names are replaced).
+def _shared_lines(table: DataFrame) -> DataFrame:
+    """(doc_id, tk, total, lines): of each document, the lines that another may share, with their positions.
 
-    ``complete`` aligns with every earlier document and over short lines; without it, long lines and their earliest holders count alone.
+    A long line counts by its hash, a short one by those of it and a neighbour; a document of few characters is one line, at -1.
     """
-    added = ("n_lines", "n_removed", "n_blocks")
-    rest = [c for c in docs.columns if c not in (id_col, text_col, *added)]
-    carried = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("struct<none:int>")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("rest")).withColumn("tk", F.xxhash64("text"))
-    found, column, make = (_gone_lines(own), "gone", _delete_gone) if complete else (_shared_lines(own), "shared", _delete)
-    joined = own.join(found, ["doc_id", "tk"], "left").select("doc_id", "text", "rest", column)
-    target = StructType([*joined.select("doc_id", "text", "rest").schema.fields, *[StructField(c, LongType()) for c in added]])
-    out = map_rows(joined, make, target, flush=512)
-    return out.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col), *[F.col(f"rest.`{c}`") for c in rest], *added)
-
-
-def hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each line without white space at its ends, and its length up to ``MIN_CHARS``."""
-    digest = xxhash.xxh64_intdigest
-    bare = [line.strip() for line in (text or "").split("\n")]
-    keys = [digest(x.encode("utf-8", "surrogatepass"), SEED) - (1 << 63) for x in bare]
-    return np.array(keys, dtype="<i8"), np.array([min(len(x), MIN_CHARS) for x in bare], dtype=np.uint8)
-
-
-def windows(lengths: list[int]) -> dict[int, int]:
-    """Last line of each window of neighbouring short lines: from a line that is not blank to ``MIN_CHARS`` characters in all."""
-    out: dict[int, int] = {}
-    end, held = 0, 0
-    for start, size in enumerate(lengths):
-        if size >= MIN_CHARS:
-            end, held = start + 1, 0
-            continue
-        while end < len(lengths) and lengths[end] < MIN_CHARS and held < MIN_CHARS:
-            held += lengths[end]
-            end += 1
-        if size and held >= MIN_CHARS:
-            out[start] = end - 1
-        held -= size
-    return out
+    lines = F.col("lines")
 
+    def both(x, i):
+        pair = lambda a, b: F.xxhash64(F.lit(NEXT), a["h"], b["h"])
+        before, after = F.get("lines", i - 1), F.get("lines", i + 1)
+        short = F.array(F.when(i > 0, pair(before, x)), F.when(i + 1 < F.size("lines"), pair(x, after)))
+        keys = F.when(x["n"] >= MIN_CHARS, F.array(x["h"])).otherwise(F.array_compact(short))
+        return F.transform(keys, lambda k: F.struct(k.alias("k"), i.alias("pos"), x["h"].alias("h"), x["n"].alias("n")))
 
-def block_keys(keys: np.ndarray, lengths: np.ndarray) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
-    """(anchors, links) of a document: positions by hash.
+    whole = F.xxhash64(F.lit(FIRST), F.transform(lines, lambda x: x["h"]))
+    tiny = F.array(F.struct(whole.alias("k"), F.lit(-1).alias("pos"), whole.alias("h"), F.lit(MIN_CHARS).cast("byte").alias("n")))
+    sized = table.withColumn("chars", F.aggregate(lines, F.lit(0), lambda s, x: F.least(s + x["n"], F.lit(MIN_CHARS)))).where("chars > 0")
+    rows = sized.select("doc_id", "tk", F.size("lines").alias("total"), F.explode(F.when(F.col("chars") < MIN_CHARS, tiny).otherwise(F.flatten(F.transform(lines, both)))).alias("e")).select("doc_id", "tk", "total", "e.*")
+    who = F.xxhash64("doc_id", "tk")
+    shared = rows.groupBy("k").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("k")
+    kept = rows.join(shared, "k", "left_semi")
+    return kept.groupBy("doc_id", "tk").agg(F.first("total").alias("total"), F.sort_array(F.collect_set(F.struct("pos", "h", "n"))).alias("lines"))
+
+
+def _sequences():
+    """A document's runs of shared lines that have ``MIN_CHARS`` characters, with marks between them, and the positions."""
 
-    Blocks start from anchors: long lines, windows of short ones, or a whole document that has neither. Each short
-    line that can be in a block is in a link: the lines from the nearest anchor before it, or to the nearest one after
-    it. Whatever document a block of lines is shared with also has the links of all its lines.
-    """
-    raw, sizes = keys.tobytes(), lengths.tolist()
-    digest = xxhash.xxh64_intdigest
-    several = lambda a, b: digest(raw[8 * a : 8 * b + 8], SEED + b - a) - (1 << 63)
-    anchors: dict[int, list[int]] = {}
-    links: dict[int, list[int]] = {}
-    ends = windows(sizes)
-    for at, (key, size) in enumerate(zip(keys.tolist(), sizes)):
-        if size >= MIN_CHARS:
-            anchors.setdefault(key, []).append(at)
-        elif at in ends:
-            anchors.setdefault(several(at, ends[at]), []).append(at)
-    if not anchors:
-        if any(sizes):
-            anchors[several(0, len(sizes) - 1)] = [0]
-            links[several(0, len(sizes) - 1)] = list(range(len(sizes)))
-        return anchors, links
-    starts = {end: start for start, end in sorted(ends.items())}
-    last = None
-    for at, size in enumerate(sizes):
-        if size >= MIN_CHARS:
-            last = at
-            continue
-        last = starts.get(at, last)
-        if last is not None:
-            links.setdefault(several(last, at), []).append(at)
-    last = None
-    for at in range(len(sizes) - 1, -1, -1):
-        if sizes[at] >= MIN_CHARS:
-            last = at
-            continue
-        last = ends.get(at, last)
-        if last is not None:
-            links.setdefault(several(at, last), []).append(at)
-    return anchors, links
-
-
-def align_documents(late: tuple[np.ndarray, np.ndarray], early: tuple[np.ndarray, np.ndarray]) -> set[int]:
-    """Positions of the later document whose blocks of lines the earlier one has too."""
-    (a, _), (b, _) = block_keys(*late), block_keys(*early)
-    shared = sorted((len(a[h]) + len(b[h]), h) for h in a.keys() & b.keys())
-    if not shared:
-        return set()
-    sides = []
-    for keys, lengths in (late, early):
-        held: dict[int, list[int]] = {}
-        for at, (key, size) in enumerate(zip(keys.tolist(), lengths.tolist())):
-            if size < MIN_CHARS:
-                held.setdefault(key, []).append(at)
-        sides.append(held)
-    short = [(x, sides[1][h]) for h, x in sides[0].items() if h in sides[1]]
-    return align([(a[h], b[h]) for _, h in shared], short)
-
-
-def _document_hashes():
     def work(row):
-        keys, lengths = hashes(row["text"])
-        yield row["doc_id"], row["tk"], keys.tobytes(), lengths.tobytes()
+        runs: list[list[tuple]] = []
+        for at, h, n in zip(row["pos"], row["h"], row["n"]):
+            if not runs or at != runs[-1][-1][0] + 1:
+                runs.append([])
+            runs[-1].append((at, h, n))
+        runs = [r for r in runs if sum(x[2] for x in r) >= MIN_CHARS]
+        if not runs:
+            return
+        whole = runs[0][0][0] < 0
+        seq = [] if whole or runs[0][0][0] == 0 else [(-2, 0, APART)]
+        for i, r in enumerate(runs):
+            seq += [(-2, 0, APART)] * (i > 0) + r
+        if not whole and runs[-1][-1][0] + 1 < row["total"]:
+            seq.append((-2, 0, APART))
+        places, tokens, sizes = zip(*seq)
+        data = np.array(tokens, dtype="<i8").tobytes() + bytes(sizes)
+        yield row["doc_id"], row["tk"], xxhash.xxh3_128_digest(data), list(places), data
 
     return work
 
 
-def _arrays(keys: bytes, lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(keys, dtype="<i8"), np.frombuffer(lengths, dtype=np.uint8)
-
+def _held():
+    """All keys of a class."""
 
-def _document_keys():
     def work(row):
-        keys, lengths = _arrays(row["keys"], row["lengths"])
-        anchors, links = block_keys(keys, lengths)
-        gone = set(row["gone"] or ())
-        found: dict[int, bool] = {}
-        for h, places in [*((h, p) for h, p in anchors.items() if lengths[p[0]] == MIN_CHARS), *links.items()]:
-            found[h] = found.get(h, False) or not gone.issuperset(places)
-        for h, wanted in found.items():
-            yield h, row["doc_id"], row["tk"], wanted
+        lines = Lines.packed(row["seq"])
+        found = plain_keys(lines)
+        for p, size in enumerate(lines.sizes):
+            if size != APART:
+                found |= line_keys(lines, p)
+        for k in found:
+            yield k, row["cid"], row["low"]["id"], row["low"]["tk"]
 
     return work
 
 
-def _aligned():
+def _first_wish():
     def work(row):
-        yield row["doc_id"], row["tk"], sorted(align_documents(_arrays(row["keys"], row["lengths"]), _arrays(row["e_keys"], row["e_lengths"])))
+        for k in plain_keys(Lines.packed(row["seq"])):
+            yield k, row["cid"], row["high"]["id"], row["high"]["tk"]
 
     return work
 
 
-def _gone_lines(own: DataFrame) -> DataFrame:
-    """(doc_id, tk, gone): positions of each document's lines that align with any earlier document.
+def _wishes():
+    """For each line of a class that some member still holds: keys of those who can align it before its bound.
 
-    Round by round, lines that are still there are tried against further documents that hold the same link, in order.
+    ``k`` alone asks for the holders of a key; ``x1``, ``xm`` and ``k`` for those of ``k`` that also hold one of the others.
     """
-    bare = map_rows(own.select("doc_id", "tk", "text").where("doc_id is not null and text is not null"), _document_hashes, "doc_id long, tk long, keys binary, lengths binary")
-    texts = materialize(bare.groupBy("doc_id", "tk").agg(F.first("keys").alias("keys"), F.first("lengths").alias("lengths")), "texts")
-    early = texts.select(F.col("doc_id").alias("e_id"), F.col("tk").alias("e_tk"), F.col("keys").alias("e_keys"), F.col("lengths").alias("e_lengths"))
-    place = Window.partitionBy("h").orderBy("doc_id", "tk")
-    lines = materialize(map_rows(texts.withColumn("gone", F.lit(None).cast("array<int>")), _document_keys, "h long, doc_id long, tk long, wanted boolean"), "lines")
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "tk")).alias("e"), F.count("*").alias("df")).where("df > 1")
-    pairs = lines.join(first, "h").select("doc_id", "tk", F.col("e.doc_id").alias("e_id"), F.col("e.tk").alias("e_tk")).where("doc_id > e_id or (doc_id = e_id and tk > e_tk)").distinct()
-    tried = materialize(pairs, "pairs")
-    news, gone, lo, hi = tried, None, 1, 2
+
+    def work(row):
+        lines = Lines.packed(row["seq"])
+        low, high = (row["low"]["id"], row["low"]["tk"]), (row["high"]["id"], row["high"]["tk"])
+        since = {x["pos"]: (x["since"]["id"], x["since"]["tk"]) for x in row["hits"] or ()}
+        once = lines.once()
+        ones = sorted(_key(ONCE, unit) for unit in once)
+        left = [(p, since.get(p, high)) for p, size in enumerate(lines.sizes) if size != APART and since.get(p, high) >= low]
+        twice = sum(p in lines.units and lines.units[p] not in once for p, _ in left)
+        for p, bound in left:
+            keys = line_keys(lines, p)
+            unit = lines.units.get(p)
+            if unit is not None and lines.sizes[p] >= MIN_CHARS:
+                if unit in once:
+                    keys.add(_key(ONCE, unit))
+                    if len(once) > 1:
+                        keys.add(_key(OFTEN, unit))
+                elif twice * len(ones) <= REQUESTS:
+                    for y in ones:
+                        yield y, _key(ONCE, unit), _key(OFTEN, unit), row["cid"], p, *bound
+                else:
+                    keys.update(ones)
+            for k in keys:
+                yield k, None, None, row["cid"], p, *bound
+
+    return work
+
+
+def _aligned():
+    last: list = [None, None]
+
+    def work(row):
+        if last[0] != row["seq"]:
+            last[:] = row["seq"], Lines.packed(row["seq"])
+        found = align(last[1], Lines.packed(row["e_seq"]))
+        if found:
+            yield row["cid"], found, row["e_low"]["id"], row["e_low"]["tk"]
+
+    return work
+
+
+def _who() -> Column:
+    return F.struct(F.col("s_id").alias("id"), F.col("s_tk").alias("tk"))
+
+
+def _hits(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, pos, since): the first document of the classes that align each line of a class."""
+    sides = classes.select("cid", "seq"), classes.select(F.col("cid").alias("e_cid"), F.col("seq").alias("e_seq"), F.col("low").alias("e_low"))
+    found = map_rows(pairs.join(sides[1], "e_cid").join(sides[0], "cid").select("cid", "seq", "e_seq", "e_low"), _aligned, "cid binary, pos array<int>, s_id long, s_tk long")
+    return found.select("cid", F.explode("pos").alias("pos"), _who().alias("since")).groupBy("cid", "pos").agg(F.min("since").alias("since"))
+
+
+def _class_hits(classes: DataFrame) -> DataFrame:
+    """(cid, pos, since) over whatever earlier classes align, and later members with their own class."""
+    keys = materialize(map_rows(classes.select("cid", "seq", "low"), _held, "k long, cid binary, s_id long, s_tk long"), "keys")
+    holders = keys.select("k", F.col("cid").alias("e_cid"), _who().alias("e_low"))
+    # A class is a candidate for itself, for the members after the first.
+    heads = holders.groupBy("k").agg(F.min(F.struct("e_low", "e_cid")).alias("e")).select("k", "e.*")
+    wishes = map_rows(classes.select("cid", "seq", "high"), _first_wish, "k long, cid binary, s_id long, s_tk long").select("k", "cid", _who().alias("bound"))
+    tried = materialize(wishes.join(heads, "k").where("e_low < bound").select("cid", "e_cid").distinct(), "pairs")
+    hits = materialize(_hits(tried, classes), "hits")
+    per = hits.groupBy("cid").agg(F.collect_list(F.struct("pos", "since")).alias("hits"))
+    asked = map_rows(classes.join(per, "cid", "left").select("cid", "seq", "low", "high", "hits"), _wishes, "k long, x1 long, xm long, cid binary, pos int, s_id long, s_tk long")
+    asked = materialize(asked.select("k", "x1", "xm", "cid", "pos", _who().alias("bound")), "asked")
+    # A request for two keys goes by the one with fewer holders.
+    double = asked.where("x1 is not null")
+    named = double.select("k").union(double.select("x1")).union(double.select("xm")).distinct()
+    count = materialize(keys.join(named, "k", "left_semi").groupBy("k").agg(F.count("*").alias("n")), "counts")
+    sized = double
+    for name in ("k", "x1", "xm"):
+        sized = sized.join(count.select(F.col("k").alias(name), F.col("n").alias(f"n_{name}")), name, "left")
+    rarer = "coalesce(n_x1, 0L) + coalesce(n_xm, 0L) < coalesce(n_k, 0L)"
+    other = F.when(F.expr(rarer), F.array(F.struct(F.col("x1").alias("k"), F.array("k").alias("need")), F.struct(F.col("xm").alias("k"), F.array("k").alias("need")))).otherwise(F.array(F.struct(F.col("k"), F.array("x1", "xm").alias("need"))))
+    split = sized.select(F.explode(other).alias("e"), "cid", "pos", "bound").select("e.k", "e.need", "cid", "pos", "bound")
+    single = asked.where("x1 is null").select("k", F.lit(None).cast("array<bigint>").alias("need"), "cid", "pos", "bound")
+    wishes = materialize(single.union(split), "wishes")
+    holders = materialize(holders.join(wishes.select("k").distinct(), "k", "left_semi"), "holders")
+    lows = classes.select("cid", "low")
+    lo, hi = 0, WIDER
     while True:
-        found = map_rows(news.join(texts, ["doc_id", "tk"]).join(early, ["e_id", "e_tk"]).select("doc_id", "tk", "keys", "lengths", "e_keys", "e_lengths"), _aligned, "doc_id long, tk long, gone array<int>")
-        # A position a row: one document may have very many partners.
-        spots = found.select("doc_id", "tk", F.explode("gone").alias("at"))
-        if gone is not None:
-            spots = spots.union(gone.select("doc_id", "tk", F.explode("gone").alias("at")))
-        gone = materialize(spots.distinct().groupBy("doc_id", "tk").agg(F.collect_list("at").alias("gone")), "gone")
-        lines = map_rows(texts.join(gone, ["doc_id", "tk"], "left"), _document_keys, "h long, doc_id long, tk long, wanted boolean")
-        # Keys whose lines are still wanted by a document that is not among the first lo holders.
-        ranked = lines.withColumn("rank", F.row_number().over(place))
-        ranked = materialize(ranked.withColumn("last", F.max(F.when(F.col("wanted"), F.col("rank"))).over(Window.partitionBy("h"))).where(f"last > {lo + 1} and rank <= last").where(f"wanted or (rank > {lo} and rank <= {hi})"), "ranked")
-        if ranked.isEmpty():
-            return gone
-        heads = ranked.where(f"rank > {lo} and rank <= {hi}").select("h", F.col("doc_id").alias("e_id"), F.col("tk").alias("e_tk"), F.col("rank").alias("e_rank"))
-        pairs = ranked.where("wanted").join(heads, "h").where("rank > e_rank").select("doc_id", "tk", "e_id", "e_tk").distinct()
-        news = materialize(pairs.join(tried, ["doc_id", "tk", "e_id", "e_tk"], "left_anti"), "pairs")
-        tried = tried.union(news)
-        lo, hi = hi, 4 * hi
-
-
-def _delete_gone():
+        place = Window.partitionBy("k").orderBy("e_low", "e_cid")
+        near = holders.withColumn("rank", F.row_number().over(place)).where(f"rank <= {hi}").where(f"rank > {lo}")
+        now = wishes.join(hits, ["cid", "pos"], "left").join(lows, "cid").withColumn("bound", F.least("bound", "since")).where("since is null or since >= low")
+        reach = now.groupBy("k", "need", "cid").agg(F.max("bound").alias("bound"))
+        met = materialize(reach.join(near, "k").where("e_low < bound").select("cid", "e_cid", "need").distinct(), "met")
+        if met.isEmpty():
+            return hits
+        open_ = met.where("need is null").select("cid", "e_cid")
+        both = met.where("need is not null").select("cid", "e_cid", F.explode("need").alias("k")).join(keys.select("k", F.col("cid").alias("e_cid")), ["k", "e_cid"], "left_semi").select("cid", "e_cid")
+        pairs = open_.union(both).distinct()
+        pairs = materialize(pairs.join(tried, ["cid", "e_cid"], "left_anti"), "pairs")
+        hits = materialize(hits.union(_hits(pairs, classes)).groupBy("cid", "pos").agg(F.min("since").alias("since")), "hits")
+        tried = materialize(tried.union(pairs), "tried")
+        lo, hi = hi, WIDER * hi
+
+
+def _kept_runs():
+    """Runs of lines (first, count) that stay, of documents that lose some; the last run goes on to the end."""
+
     def work(row):
-        text, gone = row["text"], set(row["gone"] or ())
-        lines = (text or "").split("\n")
-        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
-        yield row["doc_id"], kept, row["rest"], len(lines), len(gone), sum(1 for p in gone if p - 1 not in gone)
+        me = (row["doc_id"], row["tk"])
+        gone = sorted(row["places"][x["pos"]] for x in row["hits"] if (x["since"]["id"], x["since"]["tk"]) < me)
+        if not gone:
+            return
+        if gone[0] < 0:
+            yield *me, [], 1
+            return
+        kept, at = [], 0
+        for p in gone:
+            if p > at:
+                kept.append({"at": at, "n": p - at})
+            at = p + 1
+        blocks = sum(i == 0 or p != gone[i - 1] + 1 for i, p in enumerate(gone))
+        yield *me, [*kept, {"at": at, "n": 1 << 30}], blocks
 
     return work
 
 
+def _runs_left(own: DataFrame) -> DataFrame:
+    """(doc_id, tk, kept, blocks) of the documents that lose lines."""
+    table = materialize(_line_table(own), "lines")
+    shared = _shared_lines(table).select("doc_id", "tk", "total", *[F.col(f"lines.{c}").alias(c) for c in ("pos", "h", "n")])
+    members = materialize(map_rows(shared, _sequences, "doc_id long, tk long, cid binary, places array<int>, seq binary"), "members")
+    who = F.struct(F.col("doc_id").alias("id"), "tk")
+    classes = materialize(members.groupBy("cid").agg(F.min(who).alias("low"), F.max(who).alias("high"), F.first("seq").alias("seq")), "classes")
+    hits = _class_hits(classes).groupBy("cid").agg(F.collect_list(F.struct("pos", "since")).alias("hits"))
+    out = materialize(map_rows(members.drop("seq").join(hits, "cid").drop("cid"), _kept_runs, "doc_id long, tk long, kept array<struct<at:int,n:int>>, blocks int"), "kept")
+    release(table, members, classes)
+    return out
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``text_col`` deduplicated and n_lines, n_removed, n_blocks added (columns of those names are replaced)."""
+    added = ("n_lines", "n_removed", "n_blocks")
+    rest = [c for c in docs.columns if c not in (id_col, text_col, *added)]
+    carried = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("struct<none:int>")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("rest")).withColumn("tk", F.xxhash64("text"))
+    joined = own.join(_runs_left(own.select("doc_id", "tk", "text")), ["doc_id", "tk"], "left")
+    lines = F.split("text", "\n")
+    left = F.flatten(F.transform("kept", lambda k: F.slice(lines, k["at"] + 1, k["n"])))
+    total = F.coalesce(F.size(lines), F.lit(1)).cast("long")
+    cut = joined.select("doc_id", "text", "rest", "blocks", total.alias("total"), F.when(F.col("kept").isNotNull(), left).alias("left"))
+    text = F.when(F.col("left").isNotNull(), F.array_join("left", "\n")).otherwise(F.col("text"))
+    removed = F.when(F.col("left").isNotNull(), F.col("total") - F.size("left")).otherwise(F.lit(0)).cast("long")
+    counts = F.when(F.col("text").isNull(), F.lit(1)).otherwise(F.col("total")).cast("long"), removed, F.coalesce("blocks", F.lit(0)).cast("long")
+    return cut.select(F.col("doc_id").alias(id_col), text.alias(text_col), *[F.col(f"rest.`{c}`") for c in rest], *[c.alias(n) for c, n in zip(counts, added)])
+
+
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     """Per document: lines, removed lines and blocks, bytes and digest of what is kept (a null text counts as empty here)."""
     kept = F.coalesce("text", F.lit(""))
-    out = dedup_lines(docs.select("doc_id", "text"), complete=True)
+    out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", "n_blocks", F.octet_length(kept).cast("long").alias("n_kept_bytes"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

@@ -166,39 +166,86 @@ def test_suffix_classes_rank_by_prefix(texts):
     assert suffix_dedup.smallest_holder(ranks, owner).tolist() == [least[k] for k in keys]
 
 
+def chain(points):
+    """Longest increasing chain of points (first side ascending); of several, the one that is latest from its end backwards."""
+    rank = []
+    for i, (_, y) in enumerate(points):
+        rank.append(1 + max((rank[j] for j in range(i) if points[j][1] < y), default=0))
+    out, at = [], len(points)
+    for r in range(max(rank, default=0), 0, -1):
+        at = max(i for i in range(at) if rank[i] == r and (not out or points[i][1] < out[-1][1]))
+        out.append(points[at])
+    return out[::-1]
+
+
+def units(lines, lo, hi):
+    """Start of each run of lines from a line that is not blank to 16 characters in all, by its lines, inside lo..hi."""
+    found = {}
+    for u in range(lo, hi):
+        v = u
+        while lines[u] and v < hi and sum(min(16, len(x)) for x in lines[u : v + 1]) < 16:
+            v += 1
+        if lines[u] and v < hi:
+            found.setdefault(tuple(lines[u : v + 1]), []).append(u)
+    return found
+
+
+def patience(a, b):
+    """Pairs of lines that patience diff aligns, recursively over lists of lines."""
+
+    def step(a0, a1, b0, b1):
+        if a0 == a1 or b0 == b1:
+            return []
+        if a[a0] == b[b0]:
+            return [(a0, b0), *step(a0 + 1, a1, b0 + 1, b1)]
+        if a[a1 - 1] == b[b1 - 1]:
+            return [*step(a0, a1 - 1, b0, b1 - 1), (a1 - 1, b1 - 1)]
+        x, y = units(a, a0, a1), units(b, b0, b1)
+        anchors = chain(sorted((x[k][0], y[k][0]) for k in x if len(x[k]) == 1 and len(y.get(k, ())) == 1))
+        if not anchors:
+            return []
+        fences = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
+        return anchors + [z for (p, q), (r, s) in zip(fences, fences[1:]) for z in step(p + 1, r, q + 1, s)]
+
+    return step(0, len(a), 0, len(b))
+
+
 def brute_lines(rows):
-    """Earliest holder of each line; then the same alignment, pair by pair."""
-    docs = sorted({(i, t) for i, t in rows if i is not None and t is not None})
-    holder, where = {}, {}
-    for i, t in docs:
-        for at, line in enumerate(t.split("\n")):
-            if len(line.strip()) >= line_dedup.MIN_CHARS:
-                where.setdefault((i, t, line.strip()), []).append(at)
-                holder.setdefault(line.strip(), (i, t))
-    out = {}
-    for i, t in docs:
-        gone = set()
-        pairs = {}
-        for line in {x.strip() for x in t.split("\n")}:
-            first = holder.get(line)
-            if first and first != (i, t):
-                pairs.setdefault(first, []).append((where[(i, t, line)], where[(*first, line)]))
-        for shared in pairs.values():
-            gone |= line_dedup.align(shared)
-        out[(i, t)] = "\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone)
+    """Text and removed lines of each (id, text) after its alignment with every earlier one; no hashes, classes or candidates."""
+    docs, out = sorted({r for r in rows if r[0] is not None and r[1] is not None}), {}
+    bare = [[x.strip() for x in t.split("\n")] for _, t in docs]
+    for at, (i, t) in enumerate(docs):
+        a, gone = bare[at], set()
+        size = lambda ps: sum(min(16, len(a[p])) for p in ps)  # noqa: E731, B023
+        for b in bare[:at]:
+            if size(range(len(a))) < 16:
+                gone |= set(range(len(a))) if a == b and any(a) else set()
+                continue
+            if not set(filter(None, a)) & set(b):
+                continue
+            block = []
+            for p, q in [*sorted(patience(a, b)), (-9, -9)]:
+                if block and (p, q) != (block[-1][0] + 1, block[-1][1] + 1):
+                    gone |= {x for x, _ in block} if size(x for x, _ in block) >= 16 else set()
+                    block = []
+                block.append((p, q))
+        out[(i, t)] = ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone))
     return out
 
 
 def test_line_dedup_equals_brute_force(docs, corpus, clashing):
     unique = {i: t for i, t, *_ in corpus}
-    want = brute_lines([(i, t) for i, t in unique.items()])
+    want = brute_lines(list(unique.items()))
     for df in (docs, clashing):
         found = line_dedup.dedup_lines(df)
         assert set(df.columns) <= set(found.columns)
-        for r in found.collect():
-            expected = unique[r.doc_id] if r.doc_id is not None else r.text
-            assert r.text == (want[(r.doc_id, expected)] if r.doc_id is not None and expected is not None else r.text)
-    assert found.count() == len(corpus)
+        rows = found.collect()
+        assert len(rows) == len(corpus)
+        for r in rows:
+            if r.doc_id is not None and unique[r.doc_id] is not None:
+                assert (r.text, r.n_removed) == want[(r.doc_id, unique[r.doc_id])]
+            else:
+                assert r.n_removed == 0
 
 
 def test_line_dedup_report(docs, empty, nothing):
@@ -208,11 +255,19 @@ def test_line_dedup_report(docs, empty, nothing):
     assert {(r.n_removed, r.n_kept_bytes) for r in line_dedup.line_dedup_report(nothing).collect()} == {(0, 0)}
 
 
-def test_patience_alignment():
-    assert line_dedup.align([([0], [3]), ([1], [4]), ([2], [0])]) == {0, 1}
-    assert line_dedup.align([([0, 2], [0, 2]), ([1], [1])]) == {0, 1, 2}
-    assert line_dedup.align([([0, 1, 2], [0, 1, 2])]) == {0, 1, 2}
-    assert line_dedup.align([]) == set()
+def lines_of(text):
+    bare = [x.strip() for x in text.split("\n")]
+    tokens = np.array([xxhash.xxh64_intdigest(x.encode()) >> 1 for x in bare], dtype="<i8")
+    return line_dedup.Lines(tokens, np.array([min(16, len(x)) for x in bare], dtype=np.uint8))
+
+
+def test_alignment_of_many_equal_lines():
+    """A hundred thousand equal lines against a copy, against more, and between others: no square of their number."""
+    same = "\n".join(["the same line, again and again"] * 100_000)
+    assert len(line_dedup.align(lines_of(same), lines_of(same))) == 100_000
+    assert len(line_dedup.align(lines_of(same), lines_of(same + "\n" + same))) == 100_000
+    other = "a line that stands here alone"
+    assert len(line_dedup.align(lines_of(f"{same}\n{other}"), lines_of(f"{other}\n{same}"))) <= 1
 
 
 @settings(max_examples=100, deadline=None)
@@ -286,17 +341,6 @@ def test_suffix_hot_passage_cut_short_in_one_pack(spark, monkeypatch):
     assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).collect()) == brute_repeats(rows)
 
 
-def brute_alignment(rows):
-    """Every document aligned with every earlier one."""
-    docs, out = sorted(set(rows)), {}
-    for at, (i, t) in enumerate(docs):
-        gone = set()
-        for _, s in docs[:at]:
-            gone |= line_dedup.align_documents(line_dedup.hashes(t), line_dedup.hashes(s))
-        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-    return out
-
-
 def test_line_dedup_aligns_with_every_earlier_document(spark):
     """Lines in another order, or more often, in a later holder than in the earliest one."""
     x, y, z = ("a line of some length", "and another such line", "a third line like them")
@@ -305,9 +349,9 @@ def test_line_dedup_aligns_with_every_earlier_document(spark):
     texts += ["\n".join(rng.choice([x, y, z, "short", "", "x", "a fourth line, for luck", "several words"]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, complete=True).collect()}
-    assert found == brute_alignment(rows)
-    assert found[2] == ""
+    want = {i: x for (i, _), x in brute_lines(rows).items()}
+    assert {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(df).collect()} == want
+    assert want[2] == ("", 2)
 
 
 def test_line_dedup_takes_short_and_blank_lines_of_a_block(spark):
@@ -316,5 +360,5 @@ def test_line_dedup_takes_short_and_blank_lines_of_a_block(spark):
     verse = ["one two", "three", "", "four five", "six"]
     texts = ["\n".join(t) for t in (block, ["own words stand here now", *block, "short"], block, verse, ["short", *verse, "own"], verse, ["ab", "c"], ["ab", "c"])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, complete=True).collect()}
+    found = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
     assert found == {**dict(enumerate(texts)), 1: "own words stand here now\nshort", 2: "", 4: "short\nown", 5: "", 7: ""}
