@@ -224,7 +224,8 @@ def _shared_lines(table: DataFrame) -> DataFrame:
     sized = table.withColumn("chars", F.aggregate(lines, F.lit(0), lambda s, x: F.least(s + x["n"], F.lit(MIN_CHARS)))).where("chars > 0")
     rows = sized.select("doc_id", "tk", F.size("lines").alias("total"), F.explode(F.when(F.col("chars") < MIN_CHARS, tiny).otherwise(F.flatten(F.transform(lines, both)))).alias("e")).select("doc_id", "tk", "total", "e.*")
     who = F.xxhash64("doc_id", "tk")
-    shared = rows.groupBy("k").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("k")
+    # Written, so that the join has two plain shuffles and a hot key can be split.
+    shared = materialize(rows.groupBy("k").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("k"), "shared")
     kept = rows.join(shared, "k", "left_semi")
     return kept.groupBy("doc_id", "tk").agg(F.first("total").alias("total"), F.sort_array(F.collect_set(F.struct("pos", "h", "n"))).alias("lines"))
 
@@ -339,7 +340,7 @@ def _class_hits(classes: DataFrame) -> DataFrame:
     keys = materialize(map_rows(classes.select("cid", "seq", "low"), _held, "k long, cid binary, s_id long, s_tk long"), "keys")
     holders = keys.select("k", F.col("cid").alias("e_cid"), _who().alias("e_low"))
     # A class is a candidate for itself, for the members after the first.
-    heads = holders.groupBy("k").agg(F.min(F.struct("e_low", "e_cid")).alias("e")).select("k", "e.*")
+    heads = materialize(holders.groupBy("k").agg(F.min(F.struct("e_low", "e_cid")).alias("e")).select("k", "e.*"), "heads")
     wishes = map_rows(classes.select("cid", "seq", "high"), _first_wish, "k long, cid binary, s_id long, s_tk long").select("k", "cid", _who().alias("bound"))
     tried = materialize(wishes.join(heads, "k").where("e_low < bound").select("cid", "e_cid").distinct(), "pairs")
     hits = materialize(_hits(tried, classes), "hits")
@@ -407,7 +408,7 @@ def _runs_left(own: DataFrame) -> DataFrame:
     members = materialize(map_rows(shared, _sequences, "doc_id long, tk long, cid binary, places array<int>, seq binary"), "members")
     who = F.struct(F.col("doc_id").alias("id"), "tk")
     classes = materialize(members.groupBy("cid").agg(F.min(who).alias("low"), F.max(who).alias("high"), F.first("seq").alias("seq")), "classes")
-    hits = _class_hits(classes).groupBy("cid").agg(F.collect_list(F.struct("pos", "since")).alias("hits"))
+    hits = materialize(_class_hits(classes).groupBy("cid").agg(F.collect_list(F.struct("pos", "since")).alias("hits")), "hits")
     out = materialize(map_rows(members.drop("seq").join(hits, "cid").drop("cid"), _kept_runs, "doc_id long, tk long, kept array<struct<at:int,n:int>>, blocks int"), "kept")
     release(table, members, classes)
     return out
