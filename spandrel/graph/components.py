@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 from spandrel.session import materialize, release
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges of a partition at least; short lists are kept in few partitions, as each round shuffles them several times.
+PART_EDGES = 200_000
+
+
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    moved = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return moved.coalesce(parts).distinct().coalesce(parts)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(parts).distinct().coalesce(parts)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -39,7 +44,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if mark == seen or mark.n == 0:
             break
         seen = mark
-        following = materialize(_small_star(_large_star(current)), "cc")
+        parts = mark.n // PART_EDGES + 1
+        following = materialize(_small_star(_large_star(current, parts), parts), "cc")
         release(current)
         current = following
     else:
