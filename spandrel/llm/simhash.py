@@ -72,13 +72,15 @@ def fingerprint(text: str | None, width: int) -> int:
 
 #: Texts whose shingles are counted to find the frequent ones, and how many of those are remembered at most.
 SAMPLE_TEXTS, FREQUENT = 20_000, 200_000
+#: Up to so many pairs of a round, the ids in them are broadcast (two of 8 bytes each) to fetch their texts.
+BROADCAST_PAIRS = 500_000
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of each row: components over the links between texts of a shingle similarity of at least ``similarity``.
+def _text_parts(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, same, tk), and texts (same, rep, node, part): least id, number and component of each distinct text.
 
-    Texts that are equal after lower-casing and white space are one node, so
-    groups of copies cost one row each.
+    Texts that are equal after lower-casing and white space are one node, so groups of copies cost one row each.
+    ``by_id`` links texts that share their least id, too.
     """
     num, den = Fraction(str(similarity)).as_integer_ratio()
 
@@ -93,15 +95,37 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = map_rows(own, make, "doc_id long, same binary, t string", flush=512)
     nodes = materialize(marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("t", ignorenulls=True).alias("t")), "texts")
     nodes = nodes.select("same", "rep", F.xxhash64("same").alias("node"), "t")
-    # Texts that share their least id are linked by it.
-    shared = nodes.groupBy("rep").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").join(nodes.select("rep", F.col("node").alias("b")), "rep").select("a", "b")
-    parts = connected_components(_links(nodes, width, num, den).union(shared), "a", "b")
+    links = _links(nodes, width, num, den)
+    if by_id:
+        shared = nodes.groupBy("rep").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+        links = links.union(shared.join(nodes.select("rep", F.col("node").alias("b")), "rep").select("a", "b"))
+    parts = connected_components(links, "a", "b")
     named = nodes.select("same", "rep", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    least = materialize(named.groupBy("part").agg(F.min("rep").alias("component_id")).join(named.select("part", "same"), "part").select("same", "component_id"), "named")
+    return marked.select("doc_id", "same", F.xxhash64("t").alias("tk")), materialize(named.drop("component"), "named")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each row: components over the links between texts of a shingle similarity of at least ``similarity``."""
+    marked, named = _text_parts(docs, id_col, text_col, width, similarity, by_id=True)
+    least = materialize(named.groupBy("part").agg(F.min("rep").alias("component_id")).join(named.select("part", "same"), "part").select("same", "component_id"), "least")
     out = marked.select("doc_id", "same").join(least, "same", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs`` of each group of similar texts, that with the least id; rows with a null id all stay.
+
+    Texts decide, so dissimilar texts under one id stay all. Of rows with one id and equal words, the one with the least
+    hash of its text stays, and of identical texts under one id any.
+    """
+    marked, named = _text_parts(docs, id_col, text_col, width, similarity, by_id=False)
+    first = named.groupBy("part").agg(F.min(F.struct("rep", "node", "same")).alias("e")).select(F.col("e.rep").alias("doc_id"), F.col("e.same").alias("same"))
+    chosen = materialize(marked.join(first, ["doc_id", "same"]).groupBy("doc_id", "same").agg(F.min("tk").alias("tk")).select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct(), "chosen")
+    own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tk": F.xxhash64(F.col(text_col).cast("string"))})
+    kept = own.join(chosen, ["__id", "__tk"], "left_semi").dropDuplicates(["__id", "__tk"])
+    return kept.select(*docs.columns).union(docs.where(F.col(id_col).cast("long").isNull()))
+
+
 def _hashes(text: str | None, width: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles of ``text``."""
     digest = xxhash.xxh64_intdigest
@@ -130,18 +154,20 @@ def _links(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     table = spark.sparkContext.broadcast((often["h"].to_numpy(dtype=np.int64), often["n"].to_numpy(dtype=np.int64)))
     keys = nodes.select("node", "t").mapInArrow(frugal(_prefixes(table, width, num, den)), "h long, node long, n int, pos int").withColumn("cls", F.col("node"))
     keys = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(0)), _KEY_DDL), "keys")
-    found = spark.createDataFrame([], "a long, b long")
+    found, held = spark.createDataFrame([], "a long, b long"), keys
     lo, hi = 0, 1
     while not keys.isEmpty():
-        pairs = materialize(keys.repartition("h").mapInArrow(frugal(_bucket_pairs(lo, hi, num, den)), "a long, b long").distinct(), "pairs")
+        pairs = materialize(keys.repartition("h").mapInArrow(frugal(_bucket_pairs(lo, hi, num, den)), "a long, b long, ca long, cb long").distinct(), "pairs")
         near = materialize(_verified(pairs, nodes, width, num, den), "links")
         release(pairs)
         if not near.isEmpty():
-            found = found.union(near)
-            classes = connected_components(found, "a", "b").withColumnRenamed("component", "now")
-            keys = keys.join(classes, "node", "left").withColumn("cls", F.coalesce("now", "node")).select("h", "node", "n", "pos", "cls")
-        keys = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(hi)), _KEY_DDL), "keys")
-        lo, hi = hi, 8 * hi
+            found = found.union(near.select("a", "b"))
+            # Links of this round join the classes known before it.
+            classes = connected_components(near, "ca", "cb").select(F.col("node").alias("cls"), F.col("component").alias("now"))
+            keys = keys.join(classes, "cls", "left").select("h", "node", "n", "pos", F.coalesce("now", "cls").alias("cls"))
+        following = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(hi)), _KEY_DDL), "keys")
+        release(held)
+        lo, hi, keys, held = hi, 8 * hi, following, following
     return found
 
 
@@ -219,8 +245,8 @@ def _bucket_pairs(lo: int, hi: int, num: int, den: int):
             most = np.minimum(n[lead] - pos[lead], n[later] - pos[later])
             some = (cls[lead] != cls[later]) & (most * (num + den) >= num * (n[lead] + n[later]))
             if some.any():
-                both = np.unique(np.stack([node[lead[some]], node[later[some]]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+                both = np.unique(np.stack([node[lead[some]], node[later[some]], cls[lead[some]], cls[later[some]]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, j].copy()) for j in range(4)], names=["a", "b", "ca", "cb"])
 
     return run
 
@@ -241,12 +267,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, width: int, num: int, den: int
         def work(row):
             x, y = held(row["a"], row["ta"]), held(row["b"], row["tb"])
             if len(np.intersect1d(x, y, assume_unique=True)) * (num + den) >= num * (len(x) + len(y)):
-                yield row["a"], row["b"]
+                yield row["a"], row["b"], row["ca"], row["cb"]
 
         return work
 
+    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    if pairs.count() <= BROADCAST_PAIRS:
+        # Only the texts of these pairs are shuffled; with more pairs than that all of them are.
+        nodes = nodes.join(F.broadcast(ids), "node", "left_semi")
     sides = nodes.select(F.col("node").alias("a"), F.col("t").alias("ta")), nodes.select(F.col("node").alias("b"), F.col("t").alias("tb"))
-    return map_rows(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb"), make, "a long, b long")
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ca", "cb", "ta", "tb")
+    return map_rows(joined, make, "a long, b long, ca long, cb long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
