@@ -13,10 +13,11 @@ of their minimizer, and each bucket gets a suffix order of its own:
    further. (The hash only filters; its width grows with the input.)
 3. For these, a pack sends each distinct context (the union of the 50-byte
    strings of one minimizer) once, with its smallest document id.
-4. A bucket sorts the strings of its contexts in suffix order and computes
-   their previous-factor lengths up to 50: a string has an earlier match if the
-   previous or the next smaller document in suffix order, within the run of
-   common prefixes of 50 bytes, exists. It returns one bit a string.
+4. A bucket sorts the strings of its contexts in suffix order and forms their
+   longest-previous-factor array, truncated to 50: the nearest string before and
+   after in suffix order that is in a smaller document gives the longest factor
+   that an earlier document has too. A string goes if its factor reaches 50. A
+   bucket returns one bit a string.
 5. Packs delete what is covered.
 
 A group of copies costs one context for each pack, never a pair. A passage that
@@ -340,27 +341,40 @@ def _context_rows(buckets: int, bits: int):
     return run
 
 
-def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dense ranks of whole numbers, and the order that sorts them."""
-    order = np.argsort(values)
-    ordered = values[order]
-    out = np.empty(len(values), dtype=np.uint64)
-    out[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]) if len(values) else 0
-    return out, order
-
-
 def suffix_order(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes at ``starts`` in the order of their first ``MIN_BYTES`` bytes, and the rank of each; equal prefixes
     share a rank.
 
-    Prefix doubling: ranks of 8, 16 and 32 bytes, then two overlapping ones of 32.
+    Sorted by 8 bytes first. Of the runs that share these, those whose neighbours are not all equal are sorted by the
+    next bytes, run number before them in one word, until all runs are of equal prefixes.
     """
-    padded = np.r_[text, np.zeros(MIN_BYTES, dtype=np.uint8)]
-    rank, _ = _ranks(_words(padded, ">u8")[: len(text)])
-    for step in (8, 16):
-        ahead = np.r_[rank[step:], np.zeros(min(step, len(rank)), dtype=np.uint64)][: len(rank)]
-        rank, _ = _ranks(rank << np.uint64(32) | ahead)
-    ranks, order = _ranks(rank[starts] << np.uint64(32) | rank[starts + MIN_BYTES - 32])
+    view = _words(np.r_[text, np.zeros(MIN_BYTES + 8, dtype=np.uint8)], ">u8")
+    order = np.argsort(view[starts])
+    head = view[starts[order]]
+    new = np.r_[True, head[1:] != head[:-1]][: len(head)]
+    rows, offset = np.arange(len(order)), 8
+    while len(rows):
+        # Runs of the rows still open, and which of them have a row that differs from the one before.
+        run = np.cumsum(new[rows]) - 1
+        inner = np.flatnonzero(~new[rows])
+        here, there = starts[order[rows[inner]]], starts[order[rows[inner - 1]]]
+        differ = np.zeros(len(inner), dtype=bool)
+        for k in (*range(offset, MIN_BYTES - 8, 8), MIN_BYTES - 8):
+            differ |= view[here + k] != view[there + k]
+        if not differ.any():
+            break
+        open_ = np.zeros(run[-1] + 1, dtype=bool)
+        open_[run[inner[differ]]] = True
+        rows, run = rows[open_[run]], (np.cumsum(open_) - 1)[run[open_[run]]]
+        step = min(MIN_BYTES - offset, (64 - int(run[-1]).bit_length()) // 8)
+        key = run.astype(np.uint64) << np.uint64(8 * step) | view[starts[order[rows]] + offset] >> np.uint64(64 - 8 * step) if step < 8 else view[starts[order[rows]] + offset]
+        turn = np.argsort(key)
+        order[rows] = order[rows[turn]]
+        key = key[turn]
+        new[rows[1:]] |= key[1:] != key[:-1]
+        offset += step
+    ranks = np.empty(len(order), dtype=np.int64)
+    ranks[order] = np.cumsum(new) - 1
     return order, ranks
 
 
@@ -368,21 +382,36 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return suffix_order(text, starts)[1]
 
 
-def smallest_holder(classes: np.ndarray, owner: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
-    """For each suffix, the smallest owner (a small whole number) within its run of common prefixes, by previous and
-    next smaller values.
+def _smaller_before(value: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Place of the nearest smaller value before each, as long as all places up to it are ``joined`` to the one before them; else -1.
 
-    In suffix order, the minimum over the previous suffixes of the run and that
-    over the next ones; a suffix has an earlier match if either is below its own.
+    All at once: a place whose candidate is not smaller goes on to that one's own candidate.
     """
-    order = np.argsort(classes) if order is None else order
-    rank, value = classes[order].astype(np.int64), owner[order].astype(np.int64)
-    span = int(value.max(initial=0)) + 1
-    before = np.minimum.accumulate(value - rank * span) + rank * span
-    after = (np.minimum.accumulate((value + rank * span - rank[-1] * span)[::-1])[::-1] - rank * span + rank[-1] * span) if len(rank) else value
-    out = np.empty(len(owner), dtype=np.int64)
-    out[order] = np.minimum(before, after)
-    return out
+    found = np.where(joined, np.arange(-1, len(value) - 1), -1)
+    todo = np.flatnonzero(found >= 0)
+    while True:
+        todo = todo[value[found[todo]] >= value[todo]]
+        if not len(todo):
+            return found
+        found[todo] = found[found[todo]]
+        todo = todo[found[todo] >= 0]
+
+
+def previous_factors(classes: np.ndarray, owner: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """The longest-previous-factor array of suffixes, truncated to ``MIN_BYTES``.
+
+    In suffix order, the earlier suffix with the longest common prefix is the nearest one before or after with a smaller
+    owner. ``classes`` ranks suffixes by their first ``MIN_BYTES`` bytes, so the common prefix of neighbours reaches
+    that length if they share a class; shorter factors count as 0, and no search goes past one.
+    """
+    order = np.argsort(classes, kind="stable") if order is None else order
+    rank, value = classes[order], owner[order]
+    joined = np.r_[False, rank[1:] == rank[:-1]][: len(rank)]
+    before = _smaller_before(value, joined) >= 0
+    after = (_smaller_before(value[::-1], np.r_[False, joined[:0:-1]][: len(rank)]) >= 0)[::-1]
+    lpf = np.empty(len(rank), dtype=np.uint8)
+    lpf[order] = np.where(before | after, np.uint8(MIN_BYTES), np.uint8(0))
+    return lpf
 
 
 def _judge(table: pa.Table) -> pa.Table:
@@ -411,16 +440,15 @@ def _judge(table: pa.Table) -> pa.Table:
     count = size - MIN_BYTES + 1
     number = np.repeat(np.arange(len(texts)), count)
     within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    block = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    ids, owner = np.unique(np.array(least, dtype=np.int64), return_inverse=True)
-    order, classes = suffix_order(block, start[number] + within)
-    holder = ids[smallest_holder(classes, owner[number], order)]
+    first_doc = np.array(least, dtype=np.int64)
+    order, classes = suffix_order(np.frombuffer(b"".join(texts), dtype=np.uint8), start[number] + within)
+    lpf = previous_factors(classes, first_doc[number], order)
     first = np.cumsum(count) - count
     words = []
     for docs, own in sent:
         n = count[own]
         place = np.repeat(first[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        earlier = holder[place] < np.repeat(docs, n)
+        earlier = (lpf[place] >= MIN_BYTES) | np.repeat(docs > first_doc[own], n)
         bit = (place - np.repeat(first[own], n)).astype(np.uint64)
         words.append(np.add.reduceat(earlier.astype(np.uint64) << bit, np.cumsum(n) - n).tobytes())
     return pa.table({"batch": table["batch"], "bucket": table["bucket"], "words": pa.array(words, pa.binary())})

@@ -160,10 +160,22 @@ def test_suffix_classes_rank_by_prefix(texts):
     order = {k: i for i, k in enumerate(sorted(set(keys)))}
     assert [order[k] for k in keys] == ranks.tolist()
     owner = np.random.default_rng(0).integers(0, 9, len(starts))
-    least = {}
-    for k, o in zip(keys, owner.tolist()):
-        least[k] = min(o, least.get(k, o))
-    assert suffix_dedup.smallest_holder(ranks, owner).tolist() == [least[k] for k in keys]
+    lpf = suffix_dedup.previous_factors(ranks, owner)
+    for i, k in enumerate(keys):
+        # By definition: the longest common prefix with any suffix of a smaller owner, up to 50 bytes, shorter ones as 0.
+        assert lpf[i] == (50 if any(owner[j] < owner[i] and keys[j] == k for j in range(len(keys))) else 0)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.booleans()), max_size=40))
+def test_nearest_smaller_values(rows):
+    value, joined = np.array([v for v, _ in rows], dtype=np.int64), np.array([j and i > 0 for i, (_, j) in enumerate(rows)], dtype=bool)
+    found = suffix_dedup._smaller_before(value, joined)
+    for i in range(len(rows)):
+        at = i - 1
+        while at >= 0 and all(joined[at + 1 : i + 1]) and value[at] >= value[i]:
+            at -= 1
+        assert found[i] == (at if at >= 0 and all(joined[at + 1 : i + 1]) else -1)
 
 
 def chain(points):
