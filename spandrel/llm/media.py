@@ -184,10 +184,10 @@ def parse_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return map_rows(own, make, f"{id_col} long, elements {ELEMENTS}", flush=256)
 
 
-def references(sequences: DataFrame, id_col: str) -> DataFrame:
-    """One row per media reference: id, position, digest, caption."""
+def references(sequences: DataFrame, id_col: str, *carried: str) -> DataFrame:
+    """One row per media reference: id, carried columns, position, digest, caption."""
     media = F.filter("elements", lambda e: e.kind == "media")
-    return sequences.select(id_col, F.explode(media).alias("e")).select(id_col, "e.position", "e.digest", "e.caption")
+    return sequences.select(id_col, *carried, F.explode(media).alias("e")).select(id_col, *carried, "e.position", "e.digest", "e.caption")
 
 
 def store_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -229,26 +229,36 @@ def resolve(refs: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def text_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, html): a page for each text, with one figure that refers to the text's payload by digest."""
+    """(id, n_bytes, html): each whole text as a page, a paragraph a line, with one figure after the first half of them.
+
+    The figure refers to the text's payload by digest.
+    """
 
     def make():
         def work(row):
-            digest = hashlib.sha256(padded(row["t"])).hexdigest()
-            title = html.escape((row["t"] or "").split("\n", 1)[0][:60])
-            size = len((row["t"] or "").encode("utf-8", "surrogatepass"))
-            yield row["i"], size, f'<article><p>{title}</p><figure><img src="{SCHEME}{digest}"><figcaption>{size} bytes</figcaption></figure></article>'
+            text = row["t"] or ""
+            digest = hashlib.sha256(padded(text)).hexdigest()
+            size = len(text.encode("utf-8", "surrogatepass"))
+            lines = [f"<p>{html.escape(line)}</p>" for line in text.split("\n")]
+            figure = f'<figure><img src="{SCHEME}{digest}"><figcaption>{size} bytes</figcaption></figure>'
+            half = (len(lines) + 1) // 2
+            yield row["i"], size, "".join(["<article>", *lines[:half], figure, *lines[half:], "</article>"])
 
         return work
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")), make, f"{id_col} long, n_bytes long, html string")
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")), make, f"{id_col} long, n_bytes long, html string", flush=64)
 
 
 def document_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the features of each document's payload, resolved over its page's media reference.
 
-    The caption carries the unpadded length beside its reference.
+    Also the number of elements of the page's sequence, the position and caption of the media among them, and the
+    digest of its texts in order. Features are written before the join, so that a hot digest can be split.
     """
-    refs = references(parse_html(text_pages(docs), "doc_id"), "doc_id")
-    found = resolve(refs, media_features(store_texts(docs)))
+    sequences = parse_html(text_pages(docs), "doc_id")
+    texts = F.transform(F.filter("elements", lambda e: e.kind == "text"), lambda e: e.text)
+    whole = sequences.select("doc_id", "elements", F.size("elements").alias("n_elements"), F.sha2(F.array_join(texts, "\n").cast("binary"), 256).alias("texts_sha256"))
+    refs = references(whole, "doc_id", "n_elements", "texts_sha256")
+    found = resolve(refs, materialize(media_features(store_texts(docs)), "features"))
     size = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")
-    return found.select("doc_id", size.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return found.select("doc_id", size.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_elements", "texts_sha256")

@@ -1,6 +1,7 @@
 """Packing, media, nearest neighbours and the pipeline."""
 
 import hashlib
+import html
 import math
 import zlib
 from collections import Counter
@@ -129,6 +130,73 @@ def test_interleaved_elements():
     assert media.parse_elements(None) == [] and media.parse_elements("<p></p>") == []
 
 
+class Plain:
+    """Another reading of a page: tags cut by hand, no parser."""
+
+    def __init__(self, page):
+        self.texts, self.media = [], []
+        at, words, figure, caption, skip = 0, "", None, None, None
+        order = 0
+
+        def flush():
+            nonlocal words, order
+            if words.split():
+                self.texts.append((order, " ".join(html.unescape(words).split())))
+                order += 1
+            words = ""
+
+        while at < len(page):
+            if page[at] != "<":
+                end = page.find("<", at) if "<" in page[at:] else len(page)
+                if skip is None and caption is None:
+                    words += page[at:end]
+                elif caption is not None:
+                    caption += page[at:end]
+                at = end
+                continue
+            end = page.index(">", at)
+            name = page[at + 1 : end].split()[0].lower()
+            if skip is not None:
+                skip = None if name == "/" + skip else skip
+            elif name in ("script", "style", "head"):
+                skip = name
+            elif name == "figcaption":
+                caption = ""
+            elif name == "/figcaption":
+                self.media[figure] = (*self.media[figure][:2], " ".join(html.unescape(caption).split()))
+                caption = None
+            elif name == "img":
+                flush()
+                self.media.append((order, page[at:end].split('src="')[1].split('"')[0], None))
+                figure, order = len(self.media) - 1, order + 1
+            elif name.strip("/") in ("p", "article", "figure", "div", "br", "h1", "h2", "li", "ul", "nav", "footer", "td", "tr", "table"):
+                flush()
+            at = end + 1
+        flush()
+
+
+def test_pages_of_whole_texts_keep_order_and_captions(spark, docs):
+    """Every line of a text is an element in its place, with the media reference among them."""
+    for r in media.text_pages(docs).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        found = media.parse_elements(r.html)
+        plain = Plain(r.html)
+        assert [(e[0], e[2]) for e in found if e[1] == "text"] == plain.texts
+        assert [(e[0], media.SCHEME + e[3], e[4]) for e in found if e[1] == "media"] == plain.media
+        if r.n_bytes == len((r.text or "").encode()):
+            assert [t for _, t in plain.texts] == [x for x in (" ".join(line.split()) for line in (r.text or "").replace("\0", "\ufffd").split("\n")) if x] or "\0" in (r.text or "")
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    for r in media.parse_html(pages).join(pages, "page_id").collect():
+        assert [e.position for e in r.elements] == list(range(len(r.elements)))
+        if "<!--" not in r.html:
+            assert [e.text for e in r.elements if e.kind == "text"] == [t for _, t in Plain(r.html).texts]
+
+
+def test_hot_payload_is_resolved_for_every_row(spark):
+    df = spark.createDataFrame([(i, "the same text" if i % 3 else f"text {i}") for i in range(300)], "doc_id long, text string").repartition(5)
+    found = media.document_media(df).collect()
+    assert len(found) == 300 and len({r.media_sha256 for r in found}) == 101 and {r.position for r in found} == {1}
+
+
 def test_unknown_digests_keep_nulls(spark):
     pages = spark.createDataFrame([(1, '<img src="sha256:00" alt="x">'), (2, None)], "page_id long, html string")
     refs = media.references(media.parse_html(pages), "page_id")
