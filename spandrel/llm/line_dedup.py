@@ -369,6 +369,7 @@ def _class_hits(classes: DataFrame) -> DataFrame:
         reach = now.groupBy("k", "need", "cid").agg(F.max("bound").alias("bound"))
         met = materialize(reach.join(near, "k").where("e_low < bound").select("cid", "e_cid", "need").distinct(), "met")
         if met.isEmpty():
+            release(keys, heads, tried, asked, count, wishes, holders, met)
             return hits
         open_ = met.where("need is null").select("cid", "e_cid")
         both = met.where("need is not null").select("cid", "e_cid", F.explode("need").alias("k")).join(keys.select("k", F.col("cid").alias("e_cid")), ["k", "e_cid"], "left_semi").select("cid", "e_cid")

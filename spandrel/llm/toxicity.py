@@ -38,7 +38,6 @@ from spandrel.llm.labels import HELD_OUT, fold_of, training_sample
 from spandrel.session import materialize, release
 
 TRAIN_ROWS = 8000
-TERMS = 1000
 PREFIX = range(3, 10)
 SUPPORT, RATIOS = 3, (4.0, 1.5)
 THRESHOLD = 0.3
@@ -124,7 +123,15 @@ class ToxicityModel:
                         free.append((start, end))
                     else:
                         hits[start] = max(weight, hits.get(start, 0.0))
-            counted = [w for at, w in hits.items() if not any(a <= at <= b for a, b in free)]
+            reach, counted = -1, []
+            spans = iter(sorted(free))
+            span = next(spans, None)
+            for at, weight in sorted(hits.items()):
+                while span is not None and span[0] <= at:
+                    reach = max(reach, span[1])
+                    span = next(spans, None)
+                if at > reach:
+                    counted.append(weight)
             return float(sum(counted)), len(counted), folded.count(" ") + folded.count("\n") + 1
 
         return measure
@@ -168,18 +175,24 @@ def learn_terms(sample: DataFrame, known: ToxicityModel, least: float) -> dict[s
     """Word prefixes that mark toxic documents that the known terms miss, with smoothed log ratios of their rates.
 
     A prefix needs several documents and several distinct words, so that a rare
-    word of one copied text is none. At most ``TERMS`` rows are collected.
+    word of one copied text is none. All such prefixes count; their number is
+    bounded by the words of the sample, at most ``TRAIN_ROWS`` texts.
     """
     counts = sample.select("text", "__label").mapInArrow(frugal(_term_counts(known)), "term string, word string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_distinct("word").alias("words"))
     ratio = F.log((F.col("toxic") + 0.5) / (F.col("t") + 1)) - F.log((F.col("clean") + 0.5) / (F.col("c") + 1))
     size = sample.agg(F.sum("__label").alias("t"), F.sum(1 - F.col("__label")).alias("c")).first()
     scored = counts.withColumns({"t": F.lit(float(size["t"] or 0)), "c": F.lit(float(size["c"] or 0))}).withColumn("ratio", ratio).withColumn("gain", F.col("ratio") * F.col("toxic"))
-    found = scored.where((F.col("toxic") >= SUPPORT) & (F.col("words") >= SUPPORT) & (F.col("ratio") >= least)).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    found = scored.where((F.col("toxic") >= SUPPORT) & (F.col("words") >= SUPPORT) & (F.col("ratio") >= least)).orderBy(F.desc("gain"), "term").collect()
     chosen: dict[str, float] = {}
+    longer: dict[str, float] = {}
     for row in found:
-        related = [w for t, w in chosen.items() if row["term"].startswith(t) or t.startswith(row["term"])]
-        if not related or row["ratio"] > max(related) + 0.7:
-            chosen[row["term"]] = row["ratio"]
+        term, ratio = row["term"], row["ratio"]
+        heads = [term[:k] for k in PREFIX if k <= len(term)]
+        related = [chosen[t] for t in heads if t in chosen] + [longer[t] for t in (term,) if t in longer]
+        if not related or ratio > max(related) + 0.7:
+            chosen[term] = ratio
+            for t in heads:
+                longer[t] = max(ratio, longer.get(t, ratio))
     return chosen
 
 
