@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +40,21 @@ def _test(properties: dict) -> Column | None:
     return test
 
 
-def match(graph: PropertyGraph, elements: list, rows: DataFrame | None = None) -> DataFrame:
+def match(graph: PropertyGraph, elements: list, rows: DataFrame | None = None, distinct: str | None = None) -> DataFrame:
     """Rows of node ids (and edge structs) for a chain Node, Hop, Node, …
 
     Variables that ``rows`` binds are joined on; one that recurs in the chain must be the same node.
     Variable-length hops reach each node once, at its least depth, and bind
-    ``<name>`` to that depth.
+    ``<name>`` to that depth. ``distinct`` "edges" forbids one edge for two
+    single hops of the chain, "nodes" one node for two of its variables.
     """
+    if distinct == "edges":
+        named = [h if isinstance(h, Node) or h.name or not h.single else replace(h, name=f"__hop{i}") for i, h in enumerate(elements)]
+        hops = [h.name for h in named[1::2] if h.single]
+        found = match(graph, named, rows)
+        return differ(found, [f"{h}.id" for h in hops]).drop(*[h for h in hops if h.startswith("__hop")])
+    if distinct == "nodes":
+        return differ(match(graph, elements, rows), list(dict.fromkeys(e.name for e in elements[::2])))
     first = elements[0]
     now = _ids(graph, first).select(F.col("id").alias(first.name))
     for start, hop, end in zip(elements[::2], elements[1::2], elements[2::2]):
@@ -70,6 +78,14 @@ def match(graph: PropertyGraph, elements: list, rows: DataFrame | None = None) -
     return rows.join(now, keys) if keys else rows.crossJoin(now)
 
 
+def differ(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which the columns differ pairwise."""
+    for i, a in enumerate(columns):
+        for b in columns[:i]:
+            rows = rows.where(F.col(a) != F.col(b))
+    return rows
+
+
 def _ids(graph: PropertyGraph, node: Node) -> DataFrame:
     return graph.nodes_with(node.labels, _test(node.properties))
 

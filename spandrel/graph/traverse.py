@@ -49,11 +49,40 @@ def bfs(graph: PropertyGraph, start: int, max_depth: int | None = None, directio
     return _walk(graph, start, max_depth, direction, types)
 
 
+#: Edges among reached nodes up to which depth-first order is computed; it is sequential, so they go to the driver.
+DFS_EDGES = 2_000_000
+
+
 def dfs(graph: PropertyGraph, start: int, max_depth: int | None = None, direction: str = "out", types: list[str] | None = None) -> DataFrame:
-    """Same nodes as ``bfs``, with ``place``: the preorder over their paths."""
-    from pyspark.sql import Window
+    """(node, depth, path, place): depth first from one node, neighbours by id, each node where it is first visited.
 
-    return _walk(graph, start, max_depth, direction, types).withColumn("place", F.row_number().over(Window.orderBy("path")))
+    Reached nodes are found by a distributed walk first. Depth-first order cannot be computed in parallel: more than
+    ``DFS_EDGES`` edges among them raise an error.
+    """
+    spark = graph.nodes.sparkSession
+    starts = spark.createDataFrame([(start,)], "id long")
+    near = reach(graph, starts, 0, max_depth, direction, types).select("node")
+    hops = graph.hops(direction, types).select("a", "b").distinct()
+    inner = hops.join(near.withColumnRenamed("node", "a"), "a", "left_semi").join(near.withColumnRenamed("node", "b"), "b", "left_semi")
+    pairs = inner.limit(DFS_EDGES + 1).collect()
+    if len(pairs) > DFS_EDGES:
+        raise ValueError(f"depth-first order over more than {DFS_EDGES} edges; set max_depth")
+    after: dict[int, list[int]] = {}
+    for a, b in sorted((r["a"], r["b"]) for r in pairs):
+        after.setdefault(a, []).append(b)
+    seen, rows, todo = {start}, [(start, 0, [start], 1)], [iter(after.get(start, ()))]
+    path = [start]
+    while todo:
+        following = next((b for b in todo[-1] if b not in seen), None) if max_depth is None or len(path) <= max_depth else None
+        if following is None:
+            todo.pop()
+            path.pop()
+            continue
+        seen.add(following)
+        path.append(following)
+        rows.append((following, len(path) - 1, list(path), len(rows) + 1))
+        todo.append(iter(after.get(following, ())))
+    return spark.createDataFrame(rows, "node long, depth int, path array<long>, place int")
 
 
 def _walk(graph, start, max_depth, direction, types) -> DataFrame:

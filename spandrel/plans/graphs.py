@@ -120,9 +120,11 @@ def graph_bfs(t):
     return traverse.bfs(trade(t), 0, max_depth=4)
 
 
-@query(f"SELECT node, depth, path, row_number() OVER (ORDER BY path) AS place FROM ({BFS})")
+# Depth first, each node is reached by the least of all simple paths to it in the order of their node lists.
+@query("WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey::BIGINT AS src, ((n_nationkey * 7 + k * k * 5 + 1) % 25)::BIGINT AS dst FROM nation, (VALUES (1), (2)) v(k) WHERE n_nationkey < 14), r(node, path) AS (SELECT 0::BIGINT, [0::BIGINT] UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN e ON node = src WHERE NOT list_contains(path, dst)), least AS (SELECT node, min(path) AS path FROM r GROUP BY node) SELECT node, (len(path) - 1)::INTEGER AS depth, path, row_number() OVER (ORDER BY path) AS place FROM least")
 def graph_dfs(t):
-    return traverse.dfs(trade(t), 0, max_depth=4)
+    hops = t.sql("SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey * 7 + k * k * 5 + 1) % 25 AS BIGINT) AS dst FROM {nation}, (VALUES (1), (2)) v(k) WHERE n_nationkey < 14")
+    return traverse.dfs(PropertyGraph.from_edges(hops), 0).withColumn("place", F.col("place").cast("long"))
 
 
 REACH_ALL = "reach(node, depth, path) AS (SELECT 0::BIGINT, 0, [0::BIGINT] UNION ALL SELECT dst::BIGINT, depth + 1, list_append(path, dst::BIGINT) FROM reach JOIN trade ON node = src WHERE depth < 4 AND NOT list_contains(path, dst))"

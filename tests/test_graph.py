@@ -187,3 +187,48 @@ def test_procedures(sample, spark):
     with pytest.raises(LookupError):
         procedures.call("algo.none", g)
     assert procedures.show_procedures(spark).count() == len(procedures.PROCEDURES) == 21
+
+
+def test_depth_first_differs_from_breadth_first(spark):
+    from spandrel.graph import traverse
+    from spandrel.graph.model import PropertyGraph
+
+    g = PropertyGraph.from_edges(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 1), (1, 4)], "src long, dst long"))
+    assert [(r.node, r.depth, r.path) for r in traverse.dfs(g, 1).orderBy("place").collect()] == [(1, 0, [1]), (2, 1, [1, 2]), (3, 2, [1, 2, 3]), (4, 1, [1, 4])]
+    assert {r.node: r.depth for r in traverse.bfs(g, 1).collect()} == {1: 0, 2: 1, 3: 1, 4: 1}
+    assert [r.node for r in traverse.dfs(g, 1, max_depth=0).collect()] == [1]
+
+
+def test_depth_first_equals_recursion(spark):
+    import random
+
+    from spandrel.graph import traverse
+    from spandrel.graph.model import PropertyGraph
+
+    rng = random.Random(3)
+    edges = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(90)})
+    seen, order = set(), []
+
+    def visit(node, depth):
+        seen.add(node)
+        order.append((node, depth))
+        for a, b in edges:
+            if a == node and b not in seen:
+                visit(b, depth + 1)
+
+    start = edges[0][0]
+    visit(start, 0)
+    g = PropertyGraph.from_edges(spark.createDataFrame(edges, "src long, dst long"))
+    assert [(r.node, r.depth) for r in traverse.dfs(g, start).orderBy("place").collect()] == order
+
+
+def test_distinct_nodes_or_edges_of_a_pattern(spark):
+    from spandrel.graph import pattern
+    from spandrel.graph.model import PropertyGraph
+    from spandrel.graph.pattern import Hop, Node
+
+    g = PropertyGraph.from_edges(spark.createDataFrame([(1, 2), (3, 2)], "src long, dst long"))
+    chain = [Node("a"), Hop(), Node("b"), Hop(direction="in"), Node("c")]
+    assert pattern.match(g, chain).count() == 4
+    assert {(r.a, r.c) for r in pattern.match(g, chain, distinct="edges").collect()} == {(1, 3), (3, 1)}
+    assert {(r.a, r.c) for r in pattern.match(g, chain, distinct="nodes").collect()} == {(1, 3), (3, 1)}
