@@ -36,7 +36,9 @@ def json_agg(x) -> Column:
 def json_object_agg(k, v) -> Column:
     """The largest value wins for a repeated key; NULL keys are skipped."""
     pairs = F.array_sort(F.collect_list(F.when(col(k).isNotNull(), F.struct(col(k).cast("string").alias("k"), col(v).alias("v")))))
-    return F.to_json(F.map_from_entries(F.filter(pairs, lambda e: ~F.exists(pairs, lambda o: (o.k == e.k) & (o.v > e.v)))))
+    # Sorted by key and value, the last of each key is the one before another key.
+    last = lambda e, i: ~F.coalesce(F.get(pairs, i + 1)["k"] == e.k, F.lit(False))
+    return F.to_json(F.map_from_entries(F.filter(pairs, last)))
 
 
 def bool_and(x) -> Column:

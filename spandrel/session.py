@@ -29,13 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own in local mode alone."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
