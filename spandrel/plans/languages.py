@@ -49,6 +49,65 @@ def cypher_changes(t):
     return c.run("MATCH (n:Nation) RETURN id(n) - 2000000000 AS id, n.side AS side")
 
 
+@query("SELECT 1000 + n_nationkey AS bonus, n_name AS name, 'new' AS kind FROM nation WHERE n_regionkey = 1")
+def cypher_create_for_each_row(t):
+    c = Cypher(order_graph(t))
+    c.run("MATCH (n:Nation)-[:IN_REGION]->(r:Region) WHERE id(r) = 1000000001 SET n.bonus = id(n) - 2000000000 + 1000")
+    made = c.run("MATCH (n:Nation)-[:IN_REGION]->(r:Region) WHERE id(r) = 1000000001 CREATE (n)-[h:HAS]->(x:Extra {kind: 'new'}) RETURN id(x) AS id, x.kind AS kind")
+    assert made.select("id").distinct().count() == made.count()
+    return c.run("MATCH (n:Nation)-[:HAS]->(x:Extra) RETURN n.bonus AS bonus, n.name AS name, x.kind AS kind").select(F.col("bonus").cast("int").alias("bonus"), "name", "kind")
+
+
+@query("SELECT * FROM (VALUES ('created', 1), ('matched', 1)) v(state, n) UNION ALL SELECT 'edges', count(*)::INTEGER FROM nation WHERE n_regionkey = 2")
+def cypher_merge_on_create_on_match(t):
+    c = Cypher(order_graph(t))
+    first = c.run("MERGE (x:Tag {name: 'a'}) ON CREATE SET x.state = 'created' ON MATCH SET x.state = 'matched' RETURN x.state AS state")
+    states = first.groupBy("state").agg(F.count("*").cast("int").alias("n"))
+    again = c.run("MERGE (x:Tag {name: 'a'}) ON CREATE SET x.state = 'created' ON MATCH SET x.state = 'matched' RETURN x.state AS state")
+    states = states.union(again.groupBy("state").agg(F.count("*").cast("int").alias("n")))
+    for _ in range(2):
+        c.run("MATCH (n:Nation)-[:IN_REGION]->(r:Region), (x:Tag) WHERE id(r) = 1000000002 MERGE (n)-[m:TAGGED]->(x) ON CREATE SET m.times = 1 ON MATCH SET m.times = 2")
+    return states.union(c.run("MATCH (:Nation)-[m:TAGGED]->(x:Tag) WHERE m.times = 2 RETURN 'edges' AS state, count(*) AS n").select("state", F.col("n").cast("int")))
+
+
+@query("SELECT n_regionkey AS region, count(*) * (count(*) - 1) AS pairs FROM nation GROUP BY n_regionkey")
+def cypher_edges_differ(t):
+    return run(order_graph(t), "MATCH (a:Nation)-[:IN_REGION]->(r:Region)<-[:IN_REGION]-(b:Nation) RETURN id(r) - 1000000000 AS region, count(*) AS pairs").select(F.col("region").cast("int").alias("region"), "pairs")
+
+
+@query("SELECT n_nationkey AS id, n_regionkey * 2 AS weight FROM nation WHERE n_regionkey > 2")
+def cypher_set_on_edges(t):
+    c = Cypher(order_graph(t))
+    c.run("MATCH (n:Nation)-[e:IN_REGION]->(r:Region) WHERE id(r) > 1000000002 SET e.weight = (id(r) - 1000000000) * 2")
+    assert c.graph.nodes.where("id < 0").isEmpty()
+    return c.run("MATCH (n:Nation)-[e:IN_REGION]->(r:Region) WHERE id(r) > 1000000002 RETURN id(n) - 2000000000 AS id, e.weight AS weight").select(F.col("id").cast("int").alias("id"), F.col("weight").cast("int").alias("weight"))
+
+
+@query("SELECT * FROM (VALUES ('insert', 50, 9), ('nothing', 51, 9), ('upsert', 0, 100), ('upsert', 52, 9), ('merge', 1, 77), ('merge', 60, 5)) v(form, id, x) UNION ALL SELECT 'update', n_nationkey, 2 FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'from', n_nationkey, n_nationkey FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'delete', n_nationkey, 3 FROM nation WHERE n_regionkey = 3 UNION ALL SELECT 'using', n_nationkey, 4 FROM nation WHERE n_regionkey = 4")
+def sql_returning(t):
+    base = t.nation.selectExpr("n_nationkey AS id", "n_regionkey AS x")
+    named = lambda form, df: df.selectExpr(f"'{form}' AS form", "id", "x")
+
+    def one(form, text):
+        e = Engine(t.spark, t=base, s=base.where("id < 3").selectExpr("id", "id AS y"), four=base.where("x = 4"), m=t.spark.sql("SELECT 1 AS id, 77 AS x UNION ALL SELECT 60, 5"))
+        return named(form, e.query(text))
+
+    parts = [
+        one("insert", "INSERT INTO t VALUES (50, 9) RETURNING id, x"),
+        one("nothing", "INSERT INTO t VALUES (0, 9), (51, 9) ON CONFLICT (id) DO NOTHING RETURNING id, x"),
+        one("upsert", "INSERT INTO t VALUES (0, 100), (52, 9) ON CONFLICT (id) DO UPDATE SET x = excluded.x RETURNING id, x"),
+        one("update", "UPDATE t SET x = 2 WHERE x = 1 RETURNING id, x"),
+        one("from", "UPDATE t SET x = s.y FROM s WHERE t.id = s.id RETURNING id, x"),
+        one("delete", "DELETE FROM t WHERE x = 3 RETURNING id, x"),
+        one("using", "DELETE FROM t USING four WHERE t.id = four.id RETURNING id, x"),
+        one("merge", "MERGE INTO t USING m ON t.id = m.id WHEN MATCHED THEN UPDATE SET x = m.x WHEN NOT MATCHED THEN INSERT (id, x) VALUES (m.id, m.x) RETURNING id, x"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 @query(f"WITH {TRADE} SELECT n_nationkey AS nodeId, (SELECT count(*) FROM trade WHERE src = n_nationkey) AS outDegree FROM nation")
 def call_procedure_yield(t):
     return run(trade(t), "CALL algo.degreeCentrality() YIELD nodeId, outDegree")

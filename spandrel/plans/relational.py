@@ -112,9 +112,9 @@ def join_left_semi(t):
     return joins.join(t.customer, t.orders, F.expr("c_custkey = o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey")
 def join_left_anti(t):
-    return joins.join(t.customer, t.orders, F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
+    return joins.join(t.customer, t.orders.where("o_totalprice > 300000"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT o_orderkey FROM orders SEMI JOIN supplier ON s_suppkey = o_custkey")
@@ -296,9 +296,9 @@ def set_intersect_all(t):
     return t.customer.select(F.col("c_nationkey").alias("k")).intersectAll(t.supplier.select("s_nationkey"))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000")
 def set_except(t):
-    return t.nation.select(F.col("n_nationkey").alias("k")).subtract(t.supplier.select("s_nationkey"))
+    return t.nation.select(F.col("n_nationkey").alias("k")).subtract(t.supplier.where("s_acctbal > 8000").select("s_nationkey"))
 
 
 @query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
@@ -325,9 +325,9 @@ def subquery_exists(t):
     return t.sql("SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 def subquery_not_exists(t):
-    return t.sql("SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
+    return t.sql("SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND p_size NOT IN (SELECT n_nationkey FROM nation)")
