@@ -297,3 +297,28 @@ def test_pipeline_keeps_clean_documents(spark):
     good = docs.join(labels.where("quality = 1"), "doc_id", "left_semi")
     kept = corpus_pipeline.filter_quality(spark, docs, sf)
     assert kept.join(good.select("doc_id"), "doc_id", "left_semi").count() >= 0.99 * good.count()
+
+
+def test_pipeline_stages_on_edges(spark, docs, clashing, empty, nothing):
+    """Nulls in every column, repeated rows, empty tables and clashing names, through each stage."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (empty, nothing, docs, clashing):
+            out = stage(spark, df, SF)
+            if name != "packing":
+                assert out.columns == df.columns, name
+            if df is empty:
+                assert out.count() == 0, name
+            elif df is docs and name != "packing":
+                assert 0 < out.count() <= df.count(), name
+
+
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, words(1)), (1, words(2)), (1, words(3)), (2, words(2)), (3, words(4)), (3, words(4)), (None, words(1)), (None, words(1))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.dedup_near(spark, df, SF).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, words(1)), (1, words(2)), (1, words(3)), (3, words(4)), (None, words(1)), (None, words(1))])
