@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spandrel import procedures
 from spandrel.cypher.parser import CypherError, Expression, Patterns, Stream, Token, has_aggregate, literal, split_clauses, split_list, tokens
@@ -92,7 +93,9 @@ class _State:
         return self.owner.graph
 
     def sql(self, items: list[Token]) -> str:
-        return Expression(items, self.parameters).sql()
+        fields = self.rows.schema.fields if self.rows is not None else []
+        paths = {f.name for f in fields if isinstance(f.dataType, StructType) and f.dataType.names == ["nodes", "edges"]}
+        return Expression(items, self.parameters, paths).sql()
 
     def clause(self, name: str, body: list[Token], following: str) -> None:
         getattr(self, name.lower().replace(" ", "_"))(body, following)

@@ -229,8 +229,9 @@ def has_aggregate(items: list[Token]) -> bool:
 class Expression:
     """Spark SQL text of an expression, by precedence: OR, XOR, AND, NOT, comparison, sums, products, powers, postfix."""
 
-    def __init__(self, items: list[Token], parameters: dict):
-        self.s, self.parameters = Stream(items), parameters
+    def __init__(self, items: list[Token], parameters: dict, paths: set[str] = frozenset()):
+        """``paths`` are the variables that hold paths, whose length is the number of their edges."""
+        self.s, self.parameters, self.paths = Stream(items), parameters, paths
 
     def sql(self) -> str:
         out = self.either()
@@ -446,12 +447,14 @@ class Expression:
             self.s.take(",")
         one = args[0] if args else ""
         special = {
-            "id": f"{one}.id", "labels": f"{one}.labels", "type": f"{one}.edge_type", "startnode": f"{one}.src", "endnode": f"{one}.dst", "nodes": f"{one}.nodes", "relationships": f"{one}.edges",
+            "id": f"{one}.id", "labels": f"{one}.labels", "type": f"{one}.edge_type", "startnode": f"{one}.src", "endnode": f"{one}.dst", "nodes": f"{one}.nodes", "relationships": f"{one}.edges", "rels": f"{one}.edges",
             "head": f"get({one}, 0)", "last": f"try_element_at({one}, -1)", "tail": f"slice({one}, 2, greatest(size({one}), 1))", "tointeger": f"CAST(try_cast({one} AS DOUBLE) AS BIGINT)", "tofloat": f"try_cast({one} AS DOUBLE)", "tostring": f"CAST({one} AS STRING)",
             "toboolean": f"try_cast({one} AS BOOLEAN)", "exists": f"({one} IS NOT NULL)",
         }
         if low in special:
             return special[low]
+        if low == "length" and one in self.paths:
+            return f"size({one}.edges)"
         if low == "collect":
             return f"array_sort({'collect_set' if distinct else 'collect_list'}({one}))"
         if low == "range":

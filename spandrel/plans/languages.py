@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from spandrel import procedures
 from spandrel.cypher.engine import Cypher, run
 from spandrel.plans.graphs import TRADE, order_graph, trade
 from spandrel.plans.registry import Registry
-from spandrel.plans.vectors import L2, Q
+from spandrel.plans.vectors import COS, DOT, L1, L2, Q
 from spandrel.session import shared_dir
 from spandrel.sources import catalog, files
 from spandrel.sql import Engine
@@ -124,6 +125,89 @@ def sql_vector_operator(t):
     return e.query(f"SELECT vec_id, round(embedding <-> {Q}, 5) AS d FROM embeddings ORDER BY embedding <-> {Q}, vec_id LIMIT 5")
 
 
+@query(f"SELECT vec_id, round({COS}, 5) AS cosine, round({DOT}, 5) AS product, round({L1}, 5) AS manhattan FROM embeddings")
+def sql_vector_metrics(t):
+    e = Engine(t.spark, embeddings=t.embeddings)
+    return e.query(f"SELECT vec_id, round(embedding <=> '{Q}', 5) AS cosine, round(embedding <#> {Q}, 5) AS product, round(embedding <~> {Q}, 5) AS manhattan FROM embeddings")
+
+
+@query(f"SELECT vec_id, round(({L2} * 3 + {COS}) / 4, 5) AS h, round(-1 / (60 + {L2}) - 1 / (60 + {L1}), 6) AS r, round(greatest({DOT}, 0), 5) AS m FROM embeddings")
+def sql_hybrid_rrf_maxsim(t):
+    e = Engine(t.spark, embeddings=t.embeddings)
+    return e.query(f"SELECT vec_id, round(HYBRID(embedding <-> {Q}, 3, embedding <=> {Q}, 1), 5) AS h, round(RRF(embedding <-> {Q}, embedding <~> {Q}), 6) AS r, round(array(embedding) <##> '{[Q, [0.0] * 64]}', 5) AS m FROM embeddings")
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, cast(json_extract(props, '$.k') AS varchar) AS kj, json_extract_string(props, '$.k') AS deep, json_exists(props, '$.k') AS has, event_type SIMILAR TO '(view|click).*' AS sim, NOT event_type SIMILAR TO '.*e' AS nsim,
+regexp_matches(event_type, '^[a-p]') AS re, regexp_matches(event_type, '(?i)CLICK') AS ire, NOT regexp_matches(event_type, 'i') AS nre FROM events""")
+def sql_json_and_pattern_symbols(t):
+    e = Engine(t.spark, events=t.events)
+    return e.query("SELECT event_id, props ->> 'k' AS k, props -> 'k' AS kj, props #>> '{k}' AS deep, props ? 'k' AS has, event_type SIMILAR TO '(view|click)%' AS sim, event_type NOT SIMILAR TO '%e' AS nsim, event_type ~ '^[a-p]' AS re, event_type ~* 'CLICK' AS ire, event_type !~ 'i' AS nre FROM events")
+
+
+@query("SELECT p_brand, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 5")
+def sql_fetch_with_ties(t):
+    return Engine(t.spark, part=t.part).query("SELECT p_brand, p_size FROM part ORDER BY p_size DESC FETCH FIRST 5 ROWS WITH TIES")
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 2 THEN 7 ELSE n_regionkey END AS x FROM nation WHERE n_regionkey <> 1")
+def sql_transactions(t):
+    e = Engine(t.spark, t=t.nation.selectExpr("n_nationkey AS id", "n_regionkey AS x"))
+    e.query("BEGIN")
+    e.query("DELETE FROM t")
+    e.query("ROLLBACK")
+    e.query("BEGIN")
+    e.query("DELETE FROM t WHERE x = 1")
+    e.query("SAVEPOINT one")
+    e.query("UPDATE t SET x = 0")
+    e.query("ROLLBACK TO SAVEPOINT one")
+    e.query("UPDATE t SET x = 7 WHERE x = 2")
+    e.query("COMMIT")
+    return e.query("SELECT id, x FROM t")
+
+
+def _total(x: pd.Series) -> float:
+    return float(x.sum())
+
+
+def _more(x: pd.Series) -> pd.Series:
+    return x * 3 + 1
+
+
+@query("SELECT n_regionkey * 2 AS twice, sum(n_nationkey * 3 + 1)::DOUBLE AS total FROM nation GROUP BY n_regionkey")
+def sql_functions(t):
+    e = Engine(t.spark, nation=t.nation)
+    e.query("CREATE FUNCTION twice(n BIGINT) RETURNS BIGINT LANGUAGE SQL AS 'SELECT n * 2'")
+    e.register("total", _total, "double")
+    e.register("more", _more, "long")
+    return e.query("SELECT twice(n_regionkey) AS twice, total FROM (SELECT n_regionkey, total(more(n_nationkey)) AS total FROM nation GROUP BY n_regionkey)")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 OR o_totalprice > 400000")
+def sql_prepared_cached(t):
+    e = Engine(t.spark, orders=t.orders)
+    e.prepare("of", "/*+ CACHE */ WITH big AS MATERIALIZED (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = :who OR o_totalprice > :least) SELECT * FROM big")
+    e.execute("of", who=7, least=400000)
+    return e.execute("of", who=7, least=400000)
+
+
+@query("SELECT true AS planned, true AS scans")
+def sql_explain(t):
+    plan = Engine(t.spark, nation=t.nation).query("EXPLAIN SELECT n_name FROM nation WHERE n_nationkey = 3")
+    return plan.agg((F.count("*") > 0).alias("planned"), F.bool_or(F.contains("plan", F.lit("PushedFilters"))).alias("scans"))
+
+
+@query("SELECT n_name AS name, {'name': n_name, 'next': n_nationkey + 1} AS m, 1 AS hops, [2000000000 + n_nationkey, 1000000000 + n_regionkey] AS ids FROM nation WHERE n_regionkey < 3")
+def cypher_paths_and_projection(t):
+    q = "MANDATORY MATCH p = (n:Nation)-[:IN_REGION]->(r:Region) WHERE id(r) < 1000000003 RETURN n.name AS name, n {.name, next: id(n) - 2000000000 + 1} AS m, length(p) AS hops, nodes(p) AS ids"
+    out = run(order_graph(t), q)
+    return out.select("name", F.struct(F.col("m.name").alias("name"), F.col("m.next").alias("next")).alias("m"), F.col("hops").cast("int").alias("hops"), "ids")
+
+
+@query("SELECT n_name AS name, [2, 3] AS part, contains(n_name, 'AN') <> starts_with(n_name, 'I') AS one FROM nation WHERE contains(n_name, 'AN') OR regexp_full_match(n_name, 'U.*')")
+def cypher_text_predicates(t):
+    return run(order_graph(t), "MATCH (n:Nation) WHERE n.name CONTAINS 'AN' OR n.name =~ 'U.*' RETURN n.name AS name, [1, 2, 3, 4][1..3] AS part, (n.name CONTAINS 'AN' XOR n.name STARTS WITH 'I') AS one")
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def source_csv_round_trip(t):
     path = f"{shared_dir(t.spark)}/copy-{uuid.uuid4().hex}"

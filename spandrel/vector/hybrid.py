@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def hybrid_distance(first, first_weight: float, second, second_weight: float) -> Column:
-    """HYBRID(d1, w1, d2, w2) of one row."""
-    return F.col(first) * first_weight + F.col(second) * second_weight
+    """HYBRID(d1, w1, d2, w2) of one row: the mean by weight of the distances that are not NULL."""
+    parts = [(F.col(first).cast("double"), first_weight), (F.col(second).cast("double"), second_weight)]
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for distance, w in parts:
+        total = total + F.coalesce(distance * w, F.lit(0.0))
+        weight = weight + F.when(distance.isNotNull(), F.lit(float(w))).otherwise(F.lit(0.0))
+    return F.when(weight != 0, total / weight)
 
 
 def _ranked(scores: DataFrame, key: str, score: str, ascending: bool) -> DataFrame:
