@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spandrel.functions import FUNCTIONS as fn
 from spandrel.plans.registry import Registry
-from spandrel.vector import collections, distance, hybrid, knn, quantise, sparse
+from spandrel.session import shared_dir
+from spandrel.vector import cells, collections, distance, hybrid, knn, quantise, sparse
 from spandrel.vector.distance import literal_vector
 
 REGISTRY = Registry()
@@ -153,10 +156,11 @@ def vec_collection_changes(t):
 
 @query()
 def vec_pq_search(t):
-    pq = quantise.ProductQuantiser(t.embeddings, segments=8)
+    pq = quantise.ProductQuantiser(t.embeddings, segments=16)
     return pq.search(pq.encode(t.embeddings), Q, 10).select("vec_id", "distance")
 
 
 @query()
-def vec_lsh_search(t):
-    return quantise.search_buckets(t.embeddings, Q, 10).select("vec_id", "distance")
+def vec_index_search(t):
+    index = cells.CellIndex.build(t.embeddings, f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}")
+    return index.search(Q, 10, probes=32).select("vec_id", "distance")

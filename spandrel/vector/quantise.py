@@ -1,4 +1,4 @@
-"""Product quantisation and random-hyperplane buckets for approximate search."""
+"""Product quantisation for approximate search."""
 
 from __future__ import annotations
 
@@ -11,6 +11,11 @@ from spandrel.vector.distance import euclidean, literal_vector
 SAMPLE_ROWS = 10_000
 
 
+def squared_distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Of each point to each centre."""
+    return np.maximum((points**2).sum(axis=1)[:, None] - 2 * points @ centres.T + (centres**2).sum(axis=1)[None], 0)
+
+
 def kmeans(points: np.ndarray, k: int, rounds: int = 15, seed: int = 1) -> np.ndarray:
     """k-means++ start, then Lloyd rounds; an empty cluster keeps its centre."""
     rng = np.random.default_rng(seed)
@@ -22,7 +27,7 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 15, seed: int = 1) -> np.nd
         near = np.minimum(near, ((points - pick) ** 2).sum(axis=1))
     out = np.array(centres)
     for _ in range(rounds):
-        mine = ((points[:, None] - out[None]) ** 2).sum(axis=2).argmin(axis=1)
+        mine = squared_distances(points, out).argmin(axis=1)
         for c in range(k):
             if (mine == c).any():
                 out[c] = points[mine == c].mean(axis=0)
@@ -48,7 +53,7 @@ class ProductQuantiser:
             codes.append((F.array_position(distances, F.array_min(distances)) - 1).cast("int"))
         return df.withColumn(name, F.array(*codes))
 
-    def search(self, coded: DataFrame, query: list[float], k: int, rerank: int = 10, id_col: str = "vec_id", codes: str = "codes") -> DataFrame:
+    def search(self, coded: DataFrame, query: list[float], k: int, rerank: int = 20, id_col: str = "vec_id", codes: str = "codes") -> DataFrame:
         """Table distances first, then exact ones for the best ``k * rerank``."""
         q = np.asarray(query, dtype=float)
         near = F.lit(0.0)
@@ -57,25 +62,3 @@ class ProductQuantiser:
             near = near + F.get(F.array(*map(F.lit, map(float, table))), F.get(codes, F.lit(s)))
         best = coded.withColumn("__near", near).orderBy("__near", id_col).limit(k * rerank)
         return best.withColumn("distance", euclidean(self.column, literal_vector(query))).orderBy("distance", id_col).limit(k).drop("__near")
-
-
-def hyperplane_bucket(vector_col: str, dims: int, bits: int = 12, seed: int = 11):
-    """Bucket number of a vector: the signs of its products with random directions."""
-    from spandrel.vector.distance import dot
-
-    planes = np.random.default_rng(seed).normal(size=(bits, dims))
-    out = F.lit(0)
-    for i, plane in enumerate(planes):
-        out = out + F.when(dot(vector_col, literal_vector(plane)) > 0, 1 << i).otherwise(0)
-    return out
-
-
-def search_buckets(df: DataFrame, query: list[float], k: int, tables: int = 8, bits: int = 6, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Exact distances among rows that share a bucket with the query in one of several tables."""
-    q = np.asarray(query, dtype=float)
-    shared = F.lit(False)
-    for t in range(tables):
-        planes = np.random.default_rng(100 + t).normal(size=(bits, len(q)))
-        own = sum(1 << i for i, p in enumerate(planes) if p @ q > 0)
-        shared = shared | (hyperplane_bucket(vector_col, len(q), bits, 100 + t) == own)
-    return df.where(shared).withColumn("distance", euclidean(vector_col, literal_vector(query))).orderBy("distance", id_col).limit(k)
