@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spandrel.functions.maths import divide
 from spandrel.functions.registry import col, scalar, text
 
 # Pattern parts of to_char / to_timestamp and the parts Spark takes, longest first.
@@ -74,16 +75,26 @@ def to_char(ts, pattern: str) -> Column:
 
 @scalar()
 def age(later, earlier=None) -> Column:
-    """Text like ``1 years 2 mons 3 days 04:05:06``; one argument counts up to now."""
+    """Text like ``1 year 2 mons 3 days 04:05:06`` without parts that are zero; one argument counts up to now.
+
+    Years, months and days are those between the dates, where days borrow from
+    the month before the later one (and stay negative if it is too short); the
+    clock is the signed difference of the times of day. No difference gives ``00:00:00``.
+    """
     end, start = (F.current_timestamp(), col(later)) if earlier is None else (col(later), col(earlier))
-    sign = F.when(end < start, F.lit("-")).otherwise(F.lit(""))
+    end, start = end.cast("timestamp"), start.cast("timestamp")
     low, high = F.least(start, end), F.greatest(start, end)
-    months = F.floor(F.months_between(high, low, False)).cast("int")
-    months = F.when(low + F.make_interval(F.lit(0), months) > high, months - 1).otherwise(months)
-    seconds = F.unix_timestamp(high.cast("timestamp")) - F.unix_timestamp((low + F.make_interval(F.lit(0), months)).cast("timestamp"))
-    days, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))
-    clock = F.format_string("%02d:%02d:%02d", F.floor(rest / 3600), F.floor(F.pmod(rest, F.lit(3600)) / 60), F.pmod(rest, F.lit(60)))
-    return F.concat(sign, F.format_string("%d years %d mons %d days ", F.floor(months / 12), F.pmod(months, F.lit(12)), days), clock)
+    days = F.dayofmonth(high) - F.dayofmonth(low)
+    borrowed = F.dayofmonth(F.last_day(F.add_months(high, -1)))
+    months = (F.year(high) - F.year(low)) * 12 + F.month(high) - F.month(low) - F.when(days < 0, 1).otherwise(0)
+    days = F.when(days < 0, days + borrowed).otherwise(days)
+    of_day = lambda t: F.unix_micros(t) - F.unix_micros(F.date_trunc("day", t))
+    seconds = divide(of_day(high) - of_day(low), F.lit(1_000_000))
+    clock = F.format_string("%02d:%02d:%02d", divide(seconds, F.lit(3600)), divide(seconds % 3600, F.lit(60)), seconds % 60)
+    part = lambda n, unit: F.when(n != 0, F.concat(n.cast("string"), F.lit(" "), F.lit(unit), F.when(n != 1, "s").otherwise("")))
+    words = F.concat_ws(" ", part(F.floor(months / 12), "year"), part(F.pmod(months, F.lit(12)), "mon"), part(days, "day"), F.when(seconds != 0, clock))
+    shown = F.when(words == "", F.lit("00:00:00")).otherwise(words)
+    return F.when(low.isNotNull() & start.isNotNull() & end.isNotNull(), F.when(end < start, F.concat(F.lit("-"), shown)).otherwise(shown))
 
 
 _AMOUNT = re.compile(r"([+-]?\d+(?:\.\d+)?)\s*(year|month|mon|week|day|hour|minute|min|second|sec)s?", re.I)

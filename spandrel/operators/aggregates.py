@@ -23,10 +23,9 @@ def percentile_cont(p: float, x) -> Column:
     return F.percentile(col(x), F.lit(p))
 
 
-def percentile_disc(p: float, x) -> Column:
-    """Smallest value whose rank is at least ``p`` of all."""
-    items = F.array_sort(F.collect_list(col(x)))
-    return F.get(items, F.greatest(F.ceil(F.lit(p) * F.size(items)).cast("int"), F.lit(1)) - 1)
+def percentile_disc(p: float, x: str) -> Column:
+    """Smallest value of the column ``x`` whose rank is at least ``p`` of all; counts of distinct values are the state."""
+    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{x}`)")
 
 
 def json_agg(x) -> Column:

@@ -226,6 +226,35 @@ def algo_components_order_graph(t):
     return parts.join(g.nodes_with("Customer").select("id"), "id", "left_semi")
 
 
+ORDER_NODES = "SELECT 1000000000 + r_regionkey AS id FROM region UNION ALL SELECT 2000000000 + n_nationkey FROM nation UNION ALL SELECT 3000000000 + c_custkey FROM customer UNION ALL SELECT 4000000000 + s_suppkey FROM supplier UNION ALL SELECT 5000000000 + o_orderkey FROM orders"
+ORDER_EDGES = "SELECT 2000000000 + n_nationkey AS src, 1000000000 + n_regionkey AS dst FROM nation UNION ALL SELECT 3000000000 + c_custkey, 2000000000 + c_nationkey FROM customer UNION ALL SELECT 4000000000 + s_suppkey, 2000000000 + s_nationkey FROM supplier UNION ALL SELECT 3000000000 + o_custkey, 5000000000 + o_orderkey FROM orders"
+
+
+def _order_pagerank_sql(rounds: int) -> str:
+    parts = [f"WITH v AS ({ORDER_NODES}), e AS ({ORDER_EDGES}), n AS (SELECT count(*)::DOUBLE AS n FROM v), outs AS (SELECT src, count(*) AS o FROM e GROUP BY src), r0 AS (SELECT id, coalesce(o, 0) AS o, 1 / n AS s FROM n, v LEFT JOIN outs ON src = id)"]
+    for i in range(rounds):
+        parts.append(f"g{i} AS (SELECT dst, sum(s / o) AS g FROM r{i} JOIN e ON src = id GROUP BY dst), r{i + 1} AS (SELECT id, o, (0.15 + 0.85 * (SELECT coalesce(sum(s), 0) FROM r{i} WHERE o = 0)) / n + 0.85 * coalesce(g, 0) AS s FROM n, r{i} LEFT JOIN g{i} ON dst = id)")
+    return ", ".join(parts) + f" SELECT id, round(s / (SELECT sum(s) FROM r{rounds}) * (SELECT n FROM n), 5) AS score FROM r{rounds}"
+
+
+@query(_order_pagerank_sql(3))
+def algo_pagerank_order_graph(t):
+    """Score times the number of nodes."""
+    g = order_graph(t)
+    n = g.nodes.agg(F.count("*").alias("n"))
+    return analytics.pagerank(g, max_iterations=3, tolerance=0.0).crossJoin(F.broadcast(n)).select("id", F.round(F.col("score") * F.col("n"), 5).alias("score"))
+
+
+@query(f"WITH v AS ({ORDER_NODES}), e AS ({ORDER_EDGES}), d AS (SELECT id, sum(i) AS i, sum(o) AS o FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id) SELECT id, coalesce(i, 0)::BIGINT AS in_degree, coalesce(o, 0)::BIGINT AS out_degree, (coalesce(i, 0) + coalesce(o, 0))::BIGINT AS total_degree FROM v LEFT JOIN d USING (id)")
+def algo_degree_order_graph(t):
+    return analytics.degree_centrality(order_graph(t))
+
+
+@query(f"SELECT id, 0 AS triangles FROM ({ORDER_NODES})")
+def algo_triangles_order_graph(t):
+    return analytics.triangles(order_graph(t))
+
+
 @query(f"WITH {TRADE}, r AS (WITH RECURSIVE q(a, b) AS (SELECT n_nationkey::BIGINT, n_nationkey::BIGINT FROM nation UNION SELECT a, dst::BIGINT FROM q JOIN trade ON b = src) SELECT * FROM q) SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
 def algo_strongly_connected(t):
     found = analytics.strongly_connected_components(trade(t))

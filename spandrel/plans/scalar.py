@@ -176,3 +176,36 @@ def expr_predicates(t):
     p = F.col("o_totalprice")
     return t.orders.select("o_orderkey", F.expr("CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'part' END").alias("simple"), F.when(p > 200000, "big").when(p > 100000, "mid").otherwise("small").alias("searched"), F.like("o_orderpriority", F.lit("%URGENT")).alias("li"), F.ilike("o_orderpriority", F.lit("%urgent")).alias("ili"),
                            (~F.like("o_orderpriority", F.lit("1%"))).alias("nli"), F.col("o_orderstatus").isin("O", "P").alias("inn"), p.between(1000, 90000).alias("bt"), (~p.between(1000, 90000)).alias("nbt"), (F.col("o_orderstatus") == "O").eqNullSafe(True).alias("ist"), p.cast("bigint").isNotNull().alias("cs"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN round(log10(c_acctbal), 6) END AS l10, true AS random_in, true AS rand_in, true AS differs FROM customer""")
+def fn_math_log10_random(t):
+    drawn = t.customer.withColumns({"r": fn["random"](), "s": fn["rand"](7)})
+    inside = lambda c: F.col(c).between(0, 1) & (F.col(c) < 1)
+    return drawn.select("c_custkey", F.round(fn["log10"]("c_acctbal"), 6).alias("l10"), inside("r").alias("random_in"), inside("s").alias("rand_in"), (F.col("r") != F.col("s")).alias("differs"))
+
+
+@query("""SELECT event_id, true AS same_day, true AS past, 15 AS clock, strftime(ts, '%Y-%m-%d %H:%M:%S') AS local, strftime(make_timestamp(2020, 2, 29, 1, 2, 3.0), '%Y-%m-%d %H:%M:%S') AS made, '1 year 2 mons 3 days 04:05:06' AS older, '-1 mon' AS younger FROM events""")
+def fn_date_now_age(t):
+    show = "YYYY-MM-DD HH24:MI:SS"
+    early, late = F.lit("2019-01-01 00:00:00").cast("timestamp"), F.lit("2020-03-04 04:05:06").cast("timestamp")
+    made = fn["localdatetime"]({"year": 2020, "month": 2, "day": 29, "hour": 1, "minute": 2, "second": 3})
+    return t.events.select("event_id", (fn["current_date"]() == fn["now"]().cast("date")).alias("same_day"), (F.col("ts").cast("timestamp") < fn["now"]()).alias("past"), F.length(fn["current_time"]()).alias("clock"), fn["to_char"](fn["localdatetime"](F.col("ts").cast("string")), show).alias("local"), fn["to_char"](made, show).alias("made"),
+                           fn["age"](late, early).alias("older"), fn["age"](early, F.lit("2019-02-01 00:00:00").cast("timestamp")).alias("younger"))
+
+
+@query("""SELECT event_id, cast(json_extract(props, '$.k') AS varchar) AS path, json_extract_string(props, '$.k') AS path_text, '{"a":' || event_id || ',"b":null}' AS obj, '[' || event_id || ',"x",null]' AS arr, cast(json_extract(props, '$.k') AS varchar) AS op,
+['k=' || cast(json_extract(props, '$.k') AS varchar)] AS each, ['k=' || cast(json_extract(props, '$.k') AS varchar)] AS each_b, ['k=' || json_extract_string(props, '$.k')] AS each_text, ['1', '"a"'] AS elems, ['1', 'a'] AS elems_text, json_keys(props) AS keys FROM events""")
+def fn_jsonb_forms(t):
+    arr = F.lit('[1,"a"]')
+    pairs = lambda c: F.transform(c, lambda e: F.concat(e.key, F.lit("="), e.value))
+    return t.events.select("event_id", fn["jsonb_extract_path"]("props", "k").alias("path"), fn["jsonb_extract_path_text"]("props", "k").alias("path_text"), fn["jsonb_build_object"]("a", "event_id", "b", F.lit(None).cast("int")).alias("obj"), fn["jsonb_build_array"]("event_id", F.lit("x"), F.lit(None).cast("int")).alias("arr"),
+                           fn["json_extract_path_op"]("props", "{k}").alias("op"), pairs(fn["json_each"]("props")).alias("each"), pairs(fn["jsonb_each"]("props")).alias("each_b"), pairs(fn["jsonb_each_text"]("props")).alias("each_text"), fn["jsonb_array_elements"](arr).alias("elems"), fn["jsonb_array_elements_text"](arr).alias("elems_text"), fn["jsonb_object_keys"]("props").alias("keys"))
+
+
+@query("""SELECT o_orderkey, [o_custkey, o_orderkey] AS ns, [o_orderkey * 2] AS rs, [o_orderkey * 2] AS short, o_custkey AS a, o_orderkey AS b FROM orders""")
+def fn_path_parts(t):
+    path = F.struct(F.array("o_custkey", "o_orderkey").alias("nodes"), F.array(F.col("o_orderkey") * 2).alias("edges"))
+    edge = F.struct(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    o = t.orders.select("o_orderkey", path.alias("p"), edge.alias("r"))
+    return o.select("o_orderkey", fn["nodes"]("p").alias("ns"), fn["relationships"]("p").alias("rs"), fn["rels"]("p").alias("short"), fn["startNode"]("r").alias("a"), fn["endNode"]("r").alias("b"))

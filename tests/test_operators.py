@@ -114,3 +114,12 @@ def test_aggregates_of_nothing_are_null(spark):
 
 def test_functions_cover_the_inventory():
     assert len(fn) >= 135
+
+
+def test_age_leaves_zero_parts_out(spark):
+    from spandrel.functions import FUNCTIONS as fn
+
+    cases = {("2024-03-15", "2020-01-10"): "4 years 2 mons 5 days", ("2020-01-01", "2020-01-01"): "00:00:00", ("2020-03-01", "2020-01-31"): "1 mon -1 days", ("2020-03-01", "2020-01-30"): "1 mon", ("2020-01-01", "2021-02-02 03:04:05"): "-1 year 1 mon 1 day 03:04:05", ("2020-01-02 00:00:00", "2020-01-01 05:30:00"): "1 day -5:-30:00"}
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in cases.items()] + [(None, "2020-01-01", None)], "a string, b string, w string")
+    for r in df.select(fn["age"](df.a.cast("timestamp"), df.b.cast("timestamp")).alias("x"), "w").collect():
+        assert r.x == r.w
