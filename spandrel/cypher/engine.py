@@ -156,19 +156,18 @@ class _State:
     def shortest(self, path, elements, mode) -> DataFrame:
         """shortestPath and allShortestPaths between nodes that the pattern's properties or the rows so far fix."""
         start, hop, end = elements
-        ids = {}
-        for e in (start, end):
-            frame = self.rows.select(f"{e.name}.id").distinct() if self.rows is not None and e.name in self.rows.columns else pattern.match(self.graph, [e]).select(F.col(e.name).alias("id"))
-            ids[e.name] = [r[0] for r in frame.limit(1001).collect()]
-            if len(ids[e.name]) > 1000:
-                raise CypherError("shortest paths are asked between too many nodes; restrict the ends")
-        find = paths.all_shortest_paths if mode == "ALLSHORTESTPATHS" else paths.shortest_path
-        out = None
-        for a in ids[start.name]:
-            for b in ids[end.name]:
-                part = find(self.graph, a, b, direction=hop.direction, types=list(hop.types) or None, max_depth=hop.high or 1000)
-                part = part.select(F.lit(a).alias("__a"), F.lit(b).alias("__b"), F.struct("nodes", "edges").alias(path or "__path"))
-                out = part if out is None else out.union(part)
+        held = self.rows.columns if self.rows is not None else []
+
+        def ids(e, name):
+            if e.name in held:
+                return self.rows.select(F.col(f"{e.name}.id").alias(name))
+            return pattern.match(self.graph, [e]).select(F.col(e.name).alias(name))
+
+        sources, targets = ids(start, "source"), ids(end, "target")
+        if start.name in held and end.name in held:
+            targets = self.rows.select(F.col(f"{start.name}.id").alias("source"), F.col(f"{end.name}.id").alias("target"))
+        found = paths.paths_between(self.graph, sources, targets, direction=hop.direction, types=list(hop.types) or None, max_depth=hop.high or 1000, every=mode == "ALLSHORTESTPATHS")
+        out = found.select(F.col("source").alias("__a"), F.col("target").alias("__b"), F.struct("nodes", "edges").alias(path or "__path"))
         columns = self.graph.nodes.columns
         for key, e in (("__a", start), ("__b", end)):
             out = out.join(self.graph.nodes.select(F.struct(*columns).alias(e.name)), F.col(key) == F.col(f"{e.name}.id")).drop(key)

@@ -6,36 +6,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.graph.model import PropertyGraph
-from spandrel.session import materialize
+from spandrel.session import materialize, release
 
-PATH = "nodes array<long>, edges array<long>, length int"
+ENDS = "source long, target long, nodes array<long>, edges array<long>, length int"
 
 
-def all_shortest_paths(graph: PropertyGraph, source: int, target: int, direction: str = "out", types: list[str] | None = None, max_depth: int = 1000, excluded: list[int] | None = None) -> DataFrame:
-    """Every path with the fewest hops: (nodes, edges, length). The source itself is a path of length 0."""
+def paths_between(graph: PropertyGraph, sources: DataFrame, targets: DataFrame, direction: str = "out", types: list[str] | None = None, max_depth: int = 1000, excluded: list[int] | None = None, every: bool = True) -> DataFrame:
+    """(source, target, nodes, edges, length): the paths with the fewest hops, or without ``every`` the least of them by its ids.
+
+    ``sources`` holds ids as ``source`` and ``targets`` as ``target``, for all sources or, with a column ``source``, for
+    that one. All sources advance in the same rounds, each until it has reached all its targets; any number may be asked.
+    A source is its own target by a path of length 0. Null ids are ignored.
+    """
     spark = graph.nodes.sparkSession
-    now = spark.createDataFrame([(source, [source], [])], "node long, nodes array<long>, edges array<long>")
-    if source == target:
-        return now.select("nodes", "edges", F.lit(0).alias("length"))
+    keys = ["source", "node"] if "source" in targets.columns else ["node"]
+    wanted = materialize(targets.withColumnRenamed("target", "node").select(*keys).dropna().distinct(), "ends")
     hops = graph.hops(direction, types).select("a", "b", F.col("id").alias("e"))
     if excluded:
         hops = hops.where(~F.col("b").isin(*excluded))
-    seen = now.select("node")
-    for depth in range(1, max_depth + 1):
-        fresh = now.join(hops, F.col("node") == F.col("a")).join(seen.select(F.col("node").alias("s")), F.col("b") == F.col("s"), "left_anti")
-        now = materialize(fresh.select(F.col("b").alias("node"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edges", F.array("e")).alias("edges")), "paths")
-        hit = now.where(F.col("node") == target)
-        if now.isEmpty():
-            break
+    start = sources.select("source").dropna().distinct()
+    now = materialize(start.select("source", F.col("source").alias("node"), F.array("source").alias("nodes"), F.array().cast("array<long>").alias("edges")), "paths")
+    layers, found, done = [now], spark.createDataFrame([], ENDS), None
+    if wanted.isEmpty():
+        return found
+    if "source" in keys:
+        total = wanted.groupBy("source").agg(F.count("*").alias("n"))
+        now = now.join(total, "source", "left_semi")
+    else:
+        total = start.select("source", F.lit(wanted.count()).alias("n"))
+    for depth in range(max_depth + 1):
+        hit = materialize(now.join(wanted, keys, "left_semi").select("source", F.col("node").alias("target"), "nodes", "edges", F.lit(depth).alias("length")), "hits")
         if not hit.isEmpty():
-            return hit.select("nodes", "edges", F.lit(depth).alias("length"))
-        seen = seen.union(now.select("node").distinct())
-    return spark.createDataFrame([], PATH)
+            found = found.union(hit)
+            done = found.groupBy("source").agg(F.countDistinct("target").alias("n")).join(total, ["source", "n"]).select("source")
+        if depth == max_depth or now.isEmpty():
+            break
+        front = now if done is None else now.join(done, "source", "left_anti")
+        seen = layers[0].select("source", "node")
+        for layer in layers[1:]:
+            seen = seen.union(layer.select("source", "node"))
+        grown = front.join(hops, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edges", F.array("e")).alias("edges"))
+        fresh = grown.join(seen, ["source", "node"], "left_anti")
+        if not every:
+            fresh = fresh.groupBy("source", "node").agg(F.min(F.struct("nodes", "edges")).alias("p")).select("source", "node", "p.*")
+        now = materialize(fresh, "paths")
+        layers.append(now)
+    release(wanted, *layers)
+    return found
+
+
+def all_shortest_paths(graph: PropertyGraph, source: int, target: int, **options) -> DataFrame:
+    """Every path with the fewest hops: (nodes, edges, length). The source itself is a path of length 0."""
+    ends = graph.nodes.sparkSession.createDataFrame([(source, target)], "source long, target long")
+    return paths_between(graph, ends.select("source"), ends, **options).select("nodes", "edges", "length")
 
 
 def shortest_path(graph: PropertyGraph, source: int, target: int, **options) -> DataFrame:
     """The least of the shortest paths by its node ids."""
-    return all_shortest_paths(graph, source, target, **options).orderBy("nodes", "edges").limit(1)
+    return all_shortest_paths(graph, source, target, every=False, **options)
 
 
 def sssp(graph: PropertyGraph, source: int, weight: str | None = "weight", default_weight: float = 1.0, max_weight: float | None = None, direction: str = "out", types: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:

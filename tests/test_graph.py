@@ -93,6 +93,34 @@ def test_all_shortest_paths(sample):
     assert paths.all_shortest_paths(g, 0, n - 1).count() == 0
 
 
+def every_shortest(edges, n):
+    """{(source, target): set of node lists} of all shortest paths, by breadth-first extension of whole paths."""
+    near, found = out(edges), {}
+    for s in range(n):
+        depth, front = {s: 0}, [(s,)]
+        while front:
+            for p in front:
+                found.setdefault((s, p[-1]), set()).add(p)
+            k = len(front[0])
+            front = [(*p, b) for p in front for b, _ in near.get(p[-1], ()) if depth.setdefault(b, k) == k]
+    return found
+
+
+def test_paths_between_many_ends(spark, sample):
+    g, edges, n = sample
+    want = every_shortest(edges, n)
+    got = {}
+    for r in paths.paths_between(g, g.nodes.selectExpr("id as source"), g.nodes.selectExpr("id as target")).collect():
+        got.setdefault((r.source, r.target), set()).add(tuple(r.nodes))
+        assert r.length == len(r.nodes) - 1 == len(r.edges)
+    assert got == want
+    pairs = [(0, 5), (0, 5), (0, n - 1), (3, 7), (3, 3), (None, 2), (4, None)]
+    ends = spark.createDataFrame(pairs, "source long, target long")
+    one = [(r.source, r.target, tuple(r.nodes)) for r in paths.paths_between(g, ends.select("source"), ends, every=False).collect()]
+    assert sorted(one) == sorted((*p, min(want[p])) for p in {(0, 5), (0, n - 1), (3, 7), (3, 3)} if p in want)
+    assert paths.paths_between(g, ends.select("source"), ends.where("false")).count() == 0
+
+
 def test_components(sample, spark):
     g, edges, n = sample
     parent = list(range(n))
