@@ -66,11 +66,12 @@ def shortest_path(graph: PropertyGraph, source: int, target: int, **options) ->
     return all_shortest_paths(graph, source, target, every=False, **options)
 
 
-def sssp(graph: PropertyGraph, source: int, weight: str | None = "weight", default_weight: float = 1.0, max_weight: float | None = None, direction: str = "out", types: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:
+def sssp(graph: PropertyGraph, source: int, weight: str | None = "weight", default_weight: float = 1.0, max_weight: float | None = None, direction: str = "out", types: list[str] | None = None, max_rounds: int = 1000, target: int | None = None) -> DataFrame:
     """(node, distance, path, edges): least total weights from one node, by relaxation until nothing improves.
 
-    Weights must not be negative; a missing weight counts as ``default_weight``.
-    Ties go to the least path by node ids. Each round reads only improved nodes.
+    Weights must not be negative; a missing weight counts as ``default_weight``. Ties go to the path of fewer edges, then
+    to the least by node ids. Each round grows the nodes that the last one improved, reads ids and distances of the others,
+    and writes its improvements alone. With a ``target``, what is no nearer than that is left out, and only it is right.
     """
     spark = graph.nodes.sparkSession
     hops = graph.hops(direction, types)
@@ -79,26 +80,28 @@ def sssp(graph: PropertyGraph, source: int, weight: str | None = "weight", defau
     if not hops.where("w < 0").isEmpty():
         raise ValueError("negative weight")
     hops = materialize(hops.groupBy("a", "b").agg(F.min(F.struct("w", "e")).alias("m")).select("a", "b", "m.w", "m.e"), "sssp")
-    best = spark.createDataFrame([(source, 0.0, [source], [])], "node long, distance double, path array<long>, edges array<long>")
-    changed = best
+    changed = spark.createDataFrame([(source, 0.0, [source], [])], "node long, distance double, path array<long>, edges array<long>")
+    settled = changed
     for _ in range(max_rounds):
         grown = changed.join(hops, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.concat("path", F.array("b")).alias("path"), F.concat("edges", F.array("e")).alias("edges"))
         if max_weight is not None:
             grown = grown.where(F.col("distance") <= max_weight)
-        offer = grown.groupBy("node").agg(F.min(F.struct("distance", "path", "edges")).alias("n"))
-        old = best.select("node", F.struct("distance", "path", "edges").alias("o"))
-        merged = materialize(offer.join(old, "node", "full").select("node", F.col("o").isNull().alias("new"), (F.col("n.distance") < F.col("o.distance")).alias("less"), "n", "o"), "sssp")
-        better = F.col("new") | F.coalesce("less", F.lit(False))
-        changed = merged.where(better).select("node", "n.*")
-        best = merged.select("node", F.when(better, F.col("n")).otherwise(F.col("o")).alias("k")).select("node", "k.*")
+        if target is not None:
+            nearest = settled.where(F.col("node") == target).agg(F.min("distance")).first()[0]
+            grown = grown if nearest is None else grown.where(F.col("distance") < nearest)
+        offer = grown.groupBy("node").agg(F.min(F.struct("distance", "path", "edges")).alias("n")).select("node", "n.*")
+        known = settled.select(F.col("node").alias("s"), F.col("distance").alias("d"))
+        changed = materialize(offer.join(known, (F.col("node") == F.col("s")) & (F.col("d") <= F.col("distance")), "left_anti"), "sssp")
         if changed.isEmpty():
-            return best
+            release(hops, changed)
+            return settled.groupBy("node").agg(F.min(F.struct("distance", "path", "edges")).alias("k")).select("node", "k.*")
+        settled = settled.union(changed)
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
 
 
 def dijkstra(graph: PropertyGraph, source: int, target: int, **options) -> DataFrame:
     """(path, total_cost, edges) of the cheapest path; no row if there is none."""
-    return sssp(graph, source, **options).where(F.col("node") == target).select("path", F.col("distance").alias("total_cost"), "edges")
+    return sssp(graph, source, target=target, **options).where(F.col("node") == target).select("path", F.col("distance").alias("total_cost"), "edges")
 
 
 def astar(graph: PropertyGraph, source: int, target: int, lat: str | None = None, lon: str | None = None, max_cost: float | None = None, **options) -> DataFrame:

@@ -66,6 +66,18 @@ def test_sssp_and_paths(sample):
     cost = {(a, b): w for a, b, w in edges}
     for r in rows:
         assert sum(cost[p] for p in zip(r.path, r.path[1:])) == r.distance
+    at = {r.node: r for r in rows}
+    far = sorted(best, key=best.get)
+    for target in (0, far[len(far) // 2], far[-1]):
+        assert [(r.path, r.total_cost) for r in paths.dijkstra(g, 0, target).collect()] == [(at[target].path, best[target])]
+    assert paths.dijkstra(g, 0, 13).count() == 0
+
+
+def test_equal_distances_take_fewer_edges_then_lesser_ids(spark):
+    g = make(spark, [(0, 5, 1), (5, 9, 1), (0, 3, 1), (3, 9, 1), (0, 1, 0), (1, 2, 1), (2, 9, 1), (9, 8, 0)], 10)
+    at = {r.node: (r.distance, r.path) for r in paths.sssp(g, 0).collect()}
+    assert at[9] == (2.0, [0, 3, 9]) and at[8] == (2.0, [0, 3, 9, 8])
+    assert [(r.total_cost, r.path) for r in paths.astar(g, 0, 8).collect()] == [(2.0, [0, 3, 9, 8])]
 
 
 def test_negative_weight_is_refused(spark):
