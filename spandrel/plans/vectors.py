@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spandrel.functions import FUNCTIONS as fn
 from spandrel.plans.registry import Registry
 from spandrel.session import shared_dir
-from spandrel.vector import cells, collections, distance, hybrid, knn, quantise, sparse
+from spandrel.vector import cells, collections, distance, hybrid, knn, postings, quantise, sparse
 from spandrel.vector.distance import literal_vector
 
 REGISTRY = Registry()
@@ -139,6 +139,19 @@ def vec_bm25(t):
     return sparse.bm25(t.documents, ["the", "license"], 20).select("doc_id", r5("score").alias("score"))
 
 
+@query(REGISTRY.oracles["vec_bm25"])
+def vec_bm25_index(t):
+    index = postings.TermIndex.of_texts(t.documents, f"{shared_dir(t.spark)}/terms-{uuid.uuid4().hex}")
+    return index.bm25(["the", "license"], 20).select(F.col("id").alias("doc_id"), r5("score").alias("score"))
+
+
+@query(REGISTRY.oracles["vec_sparse_search"])
+def vec_sparse_index(t):
+    entries = F.filter(F.transform("embedding", lambda x, i: F.struct((i + 1).alias("idx"), x.alias("val"))), lambda e: F.abs(e.val) > F.lit(0.1).cast("float"))
+    index = postings.TermIndex.of_vectors(t.embeddings.select("vec_id", entries.alias("entries")), f"{shared_dir(t.spark)}/terms-{uuid.uuid4().hex}", "vec_id")
+    return index.inner(SPARSE_Q, 10).select(F.col("id").alias("vec_id"), r5("score").alias("score"))
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE (label >= 2 AND label < 5 OR label IN (7)) AND NOT label = 3 AND vec_id BETWEEN 10 AND 400 AND embedding IS NOT NULL")
 def vec_payload_filter(t):
     tree = {"and": [{"or": [{"and": [{"field": "label", "gte": 2}, {"field": "label", "lt": 5}]}, {"field": "label", "in": [7]}]}, {"not": {"field": "label", "eq": 3}}, {"field": "vec_id", "range": (10, 400)}, {"field": "embedding", "exists": True}]}

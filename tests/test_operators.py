@@ -123,3 +123,24 @@ def test_age_leaves_zero_parts_out(spark):
     df = spark.createDataFrame([(a, b, w) for (a, b), w in cases.items()] + [(None, "2020-01-01", None)], "a string, b string, w string")
     for r in df.select(fn["age"](df.a.cast("timestamp"), df.b.cast("timestamp")).alias("x"), "w").collect():
         assert r.x == r.w
+
+
+def test_stored_postings_rank_as_scans_do(spark, tmp_path):
+    from spandrel.vector import sparse
+    from spandrel.vector.postings import TermIndex
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["the", "Red", "fox", "it's", "x", "ü"], [9, 3, 2, 1, 1, 1], k=rng.randint(1, 30)))) for i in range(80)]
+    docs = spark.createDataFrame([*rows, (80, None), (81, ""), (82, " .,! ")], "doc_id long, text string")
+    index = TermIndex.of_texts(docs, f"{tmp_path}/texts", buckets=4)
+    assert index.docs == 83
+    for terms in (["the"], ["fox", "RED"], ["s", "absent"], ["absent"], []):
+        want = [(r.doc_id, round(r.score, 9)) for r in sparse.bm25(docs, terms, 15).collect()]
+        assert [(r.id, round(r.score, 9)) for r in index.bm25(terms, 15).collect()] == want
+    entries = [(i, [(j, rng.uniform(-1, 1)) for j in rng.sample(range(12), rng.randint(0, 6))]) for i in range(60)]
+    vectors = spark.createDataFrame([*entries, (60, None)], "id long, entries array<struct<idx: int, val: double>>")
+    for query in ({3: 1.5, 7: -2.0}, {99: 1.0}):
+        want = [(r.id, round(r.score, 9)) for r in sparse.sparse_search(vectors, query, 10).collect()]
+        assert [(r.id, round(r.score, 9)) for r in TermIndex.of_vectors(vectors, f"{tmp_path}/v{len(query)}", buckets=4).inner(query, 10).collect()] == want
+    empty = TermIndex.of_texts(docs.where("false"), f"{tmp_path}/none")
+    assert empty.bm25(["the"], 5).count() == 0
