@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spandrel.graph.components import connected_components as _components
@@ -272,16 +272,34 @@ def clustering_coefficients(graph: PropertyGraph) -> DataFrame:
     return triangles(graph).join(degree, "id", "left").select("id", F.when(F.col("d") > 1, 2 * F.col("triangles") / (F.col("d") * (F.col("d") - 1))).otherwise(F.lit(0.0)).alias("coefficient"))
 
 
+def _rarest(near: DataFrame, size: DataFrame, share: float) -> DataFrame:
+    """Of each node's neighbours the rarest, as many as two nodes with that share in common must have one of in common."""
+    held = near.join(near.groupBy("dst").agg(F.count("*").alias("df")), "dst").join(size, "src")
+    place = F.row_number().over(Window.partitionBy("src").orderBy("df", "dst"))
+    # A little less than the share, so that rounding loses no pair.
+    return held.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-6)) + 1).select("src", "dst")
+
+
 def node_similarity(graph: PropertyGraph, measure: str = "jaccard", top: int | None = None, cutoff: float = 0.0, label: str | None = None, types: list[str] | None = None) -> DataFrame:
     """(node1, node2, similarity) by shared out-neighbours, node1 < node2; pairs that share none are left out.
 
-    ``top`` is over all pairs.
+    ``top`` is over all pairs. A Jaccard or cosine ``cutoff`` compares those pairs alone that share one of the
+    rarest neighbours of each, so that a neighbour of very many nodes does not pair them all.
     """
     near = graph.edges_of(types).select("src", "dst").distinct()
     if label:
         near = near.join(graph.nodes_with(label).select(F.col("id").alias("src")), "src", "left_semi")
     size = near.groupBy("src").agg(F.count("*").alias("n"))
-    both = near.select(F.col("src").alias("node1"), "dst").join(near.select(F.col("src").alias("node2"), "dst"), "dst").where("node1 < node2").groupBy("node1", "node2").agg(F.count("*").alias("i"))
+    one, two = near.select(F.col("src").alias("node1"), "dst"), near.select(F.col("src").alias("node2"), "dst")
+    # A pair at the cutoff c shares c (Jaccard) or c * c (cosine) of either's neighbours at least.
+    share = {"jaccard": cutoff, "cosine": cutoff * cutoff}.get(measure, 0.0)
+    if share > 0:
+        first = materialize(_rarest(near, size, share), "similar")
+        pairs = first.select(F.col("src").alias("node1"), "dst").join(first.select(F.col("src").alias("node2"), "dst"), "dst").where("node1 < node2").select("node1", "node2").distinct()
+        both = pairs.join(one, "node1").join(two, ["node2", "dst"])
+    else:
+        both = one.join(two, "dst").where("node1 < node2")
+    both = both.groupBy("node1", "node2").agg(F.count("*").alias("i"))
     sized = both.join(size.select(F.col("src").alias("node1"), F.col("n").alias("n1")), "node1").join(size.select(F.col("src").alias("node2"), F.col("n").alias("n2")), "node2")
     score = {"jaccard": F.col("i") / (F.col("n1") + F.col("n2") - F.col("i")), "overlap": F.col("i") / F.least("n1", "n2"), "cosine": F.col("i") / F.sqrt(F.col("n1") * F.col("n2"))}[measure]
     found = sized.select("node1", "node2", score.alias("similarity")).where(F.col("similarity") >= cutoff)

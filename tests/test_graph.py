@@ -272,3 +272,16 @@ def test_distinct_nodes_or_edges_of_a_pattern(spark):
     assert pattern.match(g, chain).count() == 4
     assert {(r.a, r.c) for r in pattern.match(g, chain, distinct="edges").collect()} == {(1, 3), (3, 1)}
     assert {(r.a, r.c) for r in pattern.match(g, chain, distinct="nodes").collect()} == {(1, 3), (3, 1)}
+
+
+@pytest.mark.parametrize("measure", ["jaccard", "cosine", "overlap"])
+def test_node_similarity_with_a_cutoff_loses_no_pair(spark, measure):
+    rng = random.Random(3)
+    edges = [(a, 100 + b, 1) for a in range(30) for b in {0, *rng.sample(range(1, 7), rng.randint(1, 5))}]
+    near = {a: {b for x, b, _ in edges if x == a} for a in range(30)}
+    bottom = {"jaccard": lambda x, y: len(x | y), "cosine": lambda x, y: (len(x) * len(y)) ** 0.5, "overlap": lambda x, y: min(len(x), len(y))}[measure]
+    want = {(a, b): len(near[a] & near[b]) / bottom(near[a], near[b]) for a in range(30) for b in range(a + 1, 30)}
+    g = make(spark, edges, 107)
+    for cutoff in (0.5, 2 / 3, 1.0):
+        found = {(r.node1, r.node2): r.similarity for r in analytics.node_similarity(g, measure, cutoff=cutoff).collect()}
+        assert found == pytest.approx({p: v for p, v in want.items() if v >= cutoff})
