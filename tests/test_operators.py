@@ -75,6 +75,20 @@ def test_salted_join_refuses_outer_right(spark):
         joins.salted_join(df, df.withColumnRenamed("v", "w"), "k", how="right")
 
 
+def test_salted_join_never_broadcasts_the_repeated_side(spark):
+    """A right side under the threshold is over it once repeated, which the planned size does not show."""
+    left, right = spark.range(0, 4000).selectExpr("id % 7 as k", "id as v"), spark.range(0, 5).selectExpr("id as k", "id * 10 as w")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        found = joins.salted_join(left, right, "k", 8, how)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, how
+        rows = found.collect()
+        assert len(rows) == sum((i % 7 < 5) if how in ("inner", "left_semi") else (i % 7 >= 5) if how == "left_anti" else True for i in range(4000))
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        if how == "inner":
+            assert {(r.v, r.w) for r in rows} == {(i, i % 7 * 10) for i in range(4000) if i % 7 < 5}
+
+
 def test_recursive_stops_and_limits(spark):
     seed = spark.createDataFrame([(0,)], "n int")
     assert recursive.recursive(seed, lambda r: r.select(((F.col("n") + 1) % 5).alias("n"))).count() == 5
