@@ -29,6 +29,12 @@ def round_(x, digits: int = 0) -> Column:
     return F.round(col(x), digits)
 
 
+def round_signed(x, digits: int = 0) -> Column:
+    """Half away from zero; a negative double that becomes zero is -0.0, as in C, where Spark's own ``round`` has no such zero."""
+    scale = F.lit(10.0**digits)
+    return F.signum(col(x)) * F.round(F.abs(col(x)) * scale) / scale
+
+
 @scalar()
 def trunc(x, digits: int = 0) -> Column:
     """Toward zero."""

@@ -53,7 +53,12 @@ def filtered(agg, x, where: Column) -> Column:
     return agg(F.when(where, col(x)))
 
 
-def vector_avg(df: DataFrame, by: list[str], vector: str, name: str = "centroid") -> DataFrame:
-    """Mean vector of each group: positions are averaged apart, so partial sums combine before the shuffle."""
-    parts = df.select(*by, F.posexplode(vector).alias("__at", "__v")).groupBy(*by, "__at").agg(F.avg(F.col("__v").cast("double")).alias("__m"))
+def vector_avg(df: DataFrame, by: list[str], vector: str, name: str = "centroid", width: int | None = None) -> DataFrame:
+    """Mean vector of each group: positions are averaged apart, so partial sums combine before the shuffle.
+
+    A mean is as long as the group's longest vector, and groups without a vector are left out. With ``width`` every group
+    has a mean of that many positions, NULL where none of its vectors has a value.
+    """
+    values = F.col(vector) if width is None else F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(F.col(vector), i))
+    parts = df.select(*by, F.posexplode(values).alias("__at", "__v")).groupBy(*by, "__at").agg(F.avg(F.col("__v").cast("double")).alias("__m"))
     return parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__m"))), lambda e: e["__m"]).alias(name))

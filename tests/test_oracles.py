@@ -62,3 +62,19 @@ def test_eigenvector_of_a_graph_without_cycles(spark):
     con, sql = oracle.connect(sf), catalog.ORACLE_SQL["algo_eigenvector"]
     assert {str(score) for _, score in con.execute(sql).fetchall()} == {"nan"}
     assert oracle.compare(spark, con, catalog.QUERIES["algo_eigenvector"], sql, sf) == ""
+
+
+@pytest.mark.parametrize("case", ["negative zeros", "odd vectors"])
+def test_vector_centroid_as_its_sql(spark, tmp_path, case):
+    """Means that round to zero from below; null, short and long vectors, null elements, NaN and labels without a vector."""
+    import duckdb
+
+    wide = [[-4e-6] * 64, [2e-6, -2e-6] * 32, [4e-6] * 64, [0.5, -0.25] * 32]
+    if case == "negative zeros":
+        rows = [(i, v, i % 3) for i, v in enumerate(wide)] + [(9, [-0.0] * 64, 7)]
+    else:
+        rows = [(0, None, 0), (1, wide[3], 0), (2, None, 1), (3, [1.0, None, -1.0], 2), (4, wide[3], 2), (5, [0.125] * 70, 3), (6, [], 4), (7, [float("nan"), 1.0], 5), (8, wide[3], None), (9, [2.0, -3.0], 6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert oracle.compare(spark, con, catalog.QUERIES["agg_vector_centroid"], catalog.ORACLE_SQL["agg_vector_centroid"], str(tmp_path)) == ""
