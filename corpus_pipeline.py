@@ -36,7 +36,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each near-duplicate group (five words, similarity 0.8); null ids stay."""
+    """Keeps one document, that with the smallest id, of each near-duplicate group (five words, similarity 0.8); null ids stay.
+
+    SimHash fingerprints link first, every link is checked on the shingles, and an exact search finds the links over 3 bits.
+    """
     return simhash.first_of_groups(docs)
 
 

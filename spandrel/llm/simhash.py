@@ -15,14 +15,16 @@ fingerprint zero; rows with a null id keep their fingerprint but take no part
 in linking and have a null component; repeated ids and equal texts share one
 component; an empty table gives an empty result; other columns are ignored.
 
-``similar_documents`` finds documents of a shingle similarity of 0.8 or more,
-which lie further apart than 3 bits, so it uses no fingerprints. With all
-shingles in one order, two such texts have one of their first ones in common
-(n - ceil(0.8 n) + 1 of n), so each text goes to the buckets of these. Frequent
-shingles come last in the order; they are found in a sample, which changes the
-size of buckets but not the result. Every pair of a bucket that can still reach
-the similarity is compared on its shingles, unless its members are already
-known to be in one component; nothing leaves a bucket on an estimate.
+``similar_documents`` finds documents of a shingle similarity of 0.8 or more.
+Fingerprints link them first, as above, and each link is checked on the
+shingles. Texts of that similarity can lie further apart than 3 bits, and there
+is an exact way for these: with all shingles in one order, two such texts have
+one of their first ones in common (n - ceil(0.8 n) + 1 of n), so each text goes
+to the buckets of these. Frequent shingles come last in the order; they are
+found in a sample, which changes the size of buckets but not the result. Every
+pair of a bucket that can still reach the similarity is compared on its
+shingles, unless its members are already known to be in one component, by the
+fingerprints or by rounds before; nothing leaves a bucket on an estimate.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from spandrel.graph.components import connected_components
 from spandrel.llm.arrow import frugal, map_rows, slices
-from spandrel.session import materialize, release
+from spandrel.session import materialize, release, sweep
 
 RADIUS = 3
 SEED = 42
@@ -132,13 +134,30 @@ def _hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array([digest(s, SEED) for s in shingles(text, width)], dtype=np.uint64).view(np.int64))
 
 
+def _print_links(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b, ca, cb) of nodes whose fingerprints are linked and whose texts have the similarity; ca is a, and cb is b."""
+    prints = materialize(fingerprints(nodes, "node", "t", width).withColumnRenamed("doc_id", "node"), "prints")
+    unique = materialize(prints.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+    equal = prints.join(unique, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = links(unique).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    pairs = materialize(near.union(equal).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "pairs")
+    found = materialize(_verified(pairs, nodes, width, num, den), "links")
+    release(prints, unique, pairs)
+    return found
+
+
 def _links(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Verified links (a, b) that connect whatever pairs of a similarity of ``num / den`` connect.
 
-    Each round takes further members of each bucket as leaders and compares them with all later members that are not
-    yet known to be in the same component; a bucket goes when all its members are, or all have led.
+    Fingerprints give the first ones, and the classes that the buckets begin with. Each round takes further members of each
+    bucket as leaders and compares them with all later members that are not yet known to be in the same component; a
+    bucket goes when all its members are, or all have led.
     """
     spark = nodes.sparkSession
+    found = _print_links(nodes, width, num, den)
+    classes = materialize(connected_components(found, "ca", "cb").select("node", F.col("component").alias("now")), "classes")
+    found = found.select("a", "b")
+    sweep(spark)
     step = max(1, nodes.count() // SAMPLE_TEXTS)
 
     def every():
@@ -152,9 +171,12 @@ def _links(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     often = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     often = often.sort_values("h")
     table = spark.sparkContext.broadcast((often["h"].to_numpy(dtype=np.int64), often["n"].to_numpy(dtype=np.int64)))
-    keys = nodes.select("node", "t").mapInArrow(frugal(_prefixes(table, width, num, den)), "h long, node long, n int, pos int").withColumn("cls", F.col("node"))
+    keys = nodes.select("node", "t").mapInArrow(frugal(_prefixes(table, width, num, den)), "h long, node long, n int, pos int")
+    # Classes enter after this shuffle, the largest, which leaves few of its rows.
     keys = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(0)), _KEY_DDL), "keys")
-    found, held = spark.createDataFrame([], "a long, b long"), keys
+    sweep(spark)
+    held = keys
+    keys = keys.join(classes, "node", "left").select("h", "node", "n", "pos", F.coalesce("now", "cls").alias("cls"))
     lo, hi = 0, 1
     while not keys.isEmpty():
         pairs = materialize(keys.repartition("h").mapInArrow(frugal(_bucket_pairs(lo, hi, num, den)), "a long, b long, ca long, cb long").distinct(), "pairs")
@@ -197,12 +219,15 @@ def _prefixes(table, width: int, num: int, den: int):
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]):
-    """Columns of a partition's rows by bucket and node, with each bucket's start and size, and each row's bucket; None without rows."""
+    """Columns of a partition's rows by bucket and node, with each bucket's start and size, and each row's bucket; None without rows.
+
+    Rows without a class are each their own.
+    """
     parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if not parts:
         return None
     rows = pa.concat_tables(parts)
-    h, node, n, pos, cls = (rows[c].to_numpy() for c in ("h", "node", "n", "pos", "cls"))
+    h, node, n, pos, cls = (rows[c].to_numpy() for c in ("h", "node", "n", "pos", "cls" if "cls" in rows.column_names else "node"))
     order = np.lexsort((node, h))
     h, node, n, pos, cls = (x[order] for x in (h, node, n, pos, cls))
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])

@@ -322,3 +322,43 @@ def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.dedup_near(spark, df, SF).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, words(1)), (1, words(2)), (1, words(3)), (3, words(4)), (None, words(1)), (None, words(1))])
+
+
+def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
+    """Without the search for links over 3 bits, near-dedup still finds those within, and only those of similar texts."""
+    import random
+
+    import corpus_pipeline
+    from spandrel.llm import simhash
+
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        base = words(600)
+        texts += [base, [*base, "more"], [*base[:300], *words(1), *base[301:]], [*base[:450], *words(150)]]
+    # Fingerprints of the repeated shingle alone, but unlike as sets.
+    texts += [[*["same"] * 3000, *words(20)] for _ in range(2)]
+    rows = [(i + 1, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    prints = [simhash.fingerprint(r[1], 5) & (1 << 64) - 1 for r in rows]
+    sets = [set(simhash.shingles(r[1], 5)) for r in rows]
+    within = {(a, b) for b in range(len(rows)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 3}
+    alike = {(a, b) for a, b in within if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert len(alike) > 8 and (len(rows) - 2, len(rows) - 1) in within - alike
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def nothing(*_):
+        def run(batches):
+            for _ in batches:
+                pass
+            return iter(())
+
+        return run
+
+    monkeypatch.setattr(simhash, "_prefixes", nothing)
+    kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, df, SF).select("doc_id").collect()}
+    group = list(range(len(rows)))
+    for a, b in sorted(alike):
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        group = [new if g == old else g for g in group]
+    assert kept == {g + 1 for g in group}
