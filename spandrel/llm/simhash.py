@@ -85,6 +85,8 @@ def _text_parts(docs: DataFrame, id_col: str, text_col: str, width: int, similar
     ``by_id`` links texts that share their least id, too.
     """
     num, den = Fraction(str(similarity)).as_integer_ratio()
+    spark = docs.sparkSession
+    sweep(spark)
 
     def make():
         def work(row):
@@ -95,21 +97,26 @@ def _text_parts(docs: DataFrame, id_col: str, text_col: str, width: int, similar
 
     own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     marked = map_rows(own, make, "doc_id long, same binary, t string", flush=512)
-    nodes = materialize(marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("t", ignorenulls=True).alias("t")), "texts")
-    nodes = nodes.select("same", "rep", F.xxhash64("same").alias("node"), "t")
+    texts = materialize(marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("t", ignorenulls=True).alias("t")), "texts")
+    sweep(spark)
+    nodes = texts.select("same", "rep", F.xxhash64("same").alias("node"), "t")
     links = _links(nodes, width, num, den)
     if by_id:
         shared = nodes.groupBy("rep").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
         links = links.union(shared.join(nodes.select("rep", F.col("node").alias("b")), "rep").select("a", "b"))
     parts = connected_components(links, "a", "b")
     named = nodes.select("same", "rep", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    return marked.select("doc_id", "same", F.xxhash64("t").alias("tk")), materialize(named.drop("component"), "named")
+    named = materialize(named.drop("component"), "named")
+    release(texts)
+    sweep(spark)
+    return marked.select("doc_id", "same", F.xxhash64("t").alias("tk")), named
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of each row: components over the links between texts of a shingle similarity of at least ``similarity``."""
     marked, named = _text_parts(docs, id_col, text_col, width, similarity, by_id=True)
     least = materialize(named.groupBy("part").agg(F.min("rep").alias("component_id")).join(named.select("part", "same"), "part").select("same", "component_id"), "least")
+    release(named)
     out = marked.select("doc_id", "same").join(least, "same", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -123,6 +130,9 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked, named = _text_parts(docs, id_col, text_col, width, similarity, by_id=False)
     first = named.groupBy("part").agg(F.min(F.struct("rep", "node", "same")).alias("e")).select(F.col("e.rep").alias("doc_id"), F.col("e.same").alias("same"))
     chosen = materialize(marked.join(first, ["doc_id", "same"]).groupBy("doc_id", "same").agg(F.min("tk").alias("tk")).select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct(), "chosen")
+    release(named)
+    # What is left to do shuffles all texts once more.
+    sweep(docs.sparkSession)
     own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tk": F.xxhash64(F.col(text_col).cast("string"))})
     kept = own.join(chosen, ["__id", "__tk"], "left_semi").dropDuplicates(["__id", "__tk"])
     return kept.select(*docs.columns).union(docs.where(F.col(id_col).cast("long").isNull()))
@@ -141,6 +151,7 @@ def _print_links(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     equal = prints.join(unique, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     near = links(unique).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     pairs = materialize(near.union(equal).select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "pairs")
+    sweep(nodes.sparkSession)
     found = materialize(_verified(pairs, nodes, width, num, den), "links")
     release(prints, unique, pairs)
     return found
@@ -189,6 +200,7 @@ def _links(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
             keys = keys.join(classes, "cls", "left").select("h", "node", "n", "pos", F.coalesce("now", "cls").alias("cls"))
         following = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(hi)), _KEY_DDL), "keys")
         release(held)
+        sweep(spark)
         lo, hi, keys, held = hi, 8 * hi, following, following
     return found
 

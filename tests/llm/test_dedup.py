@@ -1,7 +1,9 @@
 """Line, SimHash and suffix deduplication against brute force."""
 
 import hashlib
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spandrel.llm import line_dedup, simhash, suffix_dedup
+from spandrel.session import materialize, release, shared_dir, sweep
 
 
 def plain_fingerprint(text, width):
@@ -337,6 +340,50 @@ def test_similar_documents_of_few_words(spark):
     assert sum(i != g for i, g in want.items()) == 40
 
 
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    total = 0
+    while files.hasNext():
+        file = files.next()
+        total += file.length() if file.getName().startswith("shuffle_") else 0
+    return total
+
+
+def test_near_dedup_gives_its_disk_back(spark, monkeypatch):
+    """The texts' shuffle is gone before links are searched, and the stored texts before the result shuffles all rows again."""
+    rng = random.Random(13)
+    texts = [" ".join(f"{rng.getrandbits(64):x}" for _ in range(20_000)) for _ in range(20)]
+    rows = [(i + 1, t) for i, t in enumerate([*texts, *(f"{t} more" for t in texts)])]
+    df = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "input")
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    seen = []
+
+    def watched(step):
+        def run(*args):
+            # Spark deletes in the background.
+            least = shuffle_bytes(spark)
+            for _ in range(50):
+                if (least := min(least, shuffle_bytes(spark))) < start + 1e6:
+                    break
+                time.sleep(0.1)
+            seen.append(least - start)
+            return step(*args)
+
+        return run
+
+    for name in ("_links", "_verified"):
+        monkeypatch.setattr(simhash, name, watched(getattr(simhash, name)))
+    sweep(spark)
+    time.sleep(2)
+    start = shuffle_bytes(spark)
+    kept = simhash.first_of_groups(df)
+    assert seen and max(seen) < 1e6 < sum(len(t) for _, t in rows) / 10
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert not [name for name in left if name.startswith(("texts-", "named-"))]
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(1, 21))
+    release(df)
+
+
 def test_suffix_hot_passage_cut_short_in_one_pack(spark, monkeypatch):
     """The start or end of a frequent passage, with its surroundings, in neighbours of which one ends or differs there."""
     monkeypatch.setattr(suffix_dedup, "HOT_PACKS", 3)
