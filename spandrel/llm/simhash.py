@@ -184,13 +184,14 @@ def _links(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     table = spark.sparkContext.broadcast((often["h"].to_numpy(dtype=np.int64), often["n"].to_numpy(dtype=np.int64)))
     keys = nodes.select("node", "t").mapInArrow(frugal(_prefixes(table, width, num, den)), "h long, node long, n int, pos int")
     # Classes enter after this shuffle, the largest, which leaves few of its rows.
-    keys = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(0)), _KEY_DDL), "keys")
+    keys = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(0, num, den)), _KEY_DDL), "keys")
     sweep(spark)
     held = keys
     keys = keys.join(classes, "node", "left").select("h", "node", "n", "pos", F.coalesce("now", "cls").alias("cls"))
     lo, hi = 0, 1
     while not keys.isEmpty():
         pairs = materialize(keys.repartition("h").mapInArrow(frugal(_bucket_pairs(lo, hi, num, den)), "a long, b long, ca long, cb long").distinct(), "pairs")
+        sweep(spark)
         near = materialize(_verified(pairs, nodes, width, num, den), "links")
         release(pairs)
         if not near.isEmpty():
@@ -198,7 +199,7 @@ def _links(nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
             # Links of this round join the classes known before it.
             classes = connected_components(near, "ca", "cb").select(F.col("node").alias("cls"), F.col("component").alias("now"))
             keys = keys.join(classes, "cls", "left").select("h", "node", "n", "pos", F.coalesce("now", "cls").alias("cls"))
-        following = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(hi)), _KEY_DDL), "keys")
+        following = materialize(keys.repartition("h").mapInArrow(frugal(_open_buckets(hi, num, den)), _KEY_DDL), "keys")
         release(held)
         sweep(spark)
         lo, hi, keys, held = hi, 8 * hi, following, following
@@ -247,8 +248,21 @@ def _buckets(batches: Iterator[pa.RecordBatch]):
     return h, node, n.astype(np.int64), pos.astype(np.int64), cls, starts, sizes, np.repeat(np.arange(len(starts)), sizes)
 
 
-def _open_buckets(led: int):
-    """Rows of the buckets with members of several classes, of which more than the first ``led`` have still to lead."""
+def _matched(n: np.ndarray, bucket: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which rows have another in their bucket that is not too short or too long for the similarity: then the next by length is one."""
+    order = np.lexsort((n, bucket))
+    n, bucket = n[order], bucket[order]
+    near = (bucket[1:] == bucket[:-1]) & (n[:-1] * den >= num * n[1:])
+    out = np.zeros(len(n), dtype=bool)
+    out[order] = np.r_[near, False] | np.r_[False, near]
+    return out
+
+
+def _open_buckets(led: int, num: int, den: int):
+    """Rows of the buckets with members of several classes, of which more than the first ``led`` have still to lead.
+
+    Before any have led, rows without a possible partner go; later that would change who has led.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _buckets(batches)
@@ -256,7 +270,8 @@ def _open_buckets(led: int):
             return
         h, node, n, pos, cls, starts, sizes, bucket = held
         mixed = np.minimum.reduceat(cls, starts) != np.maximum.reduceat(cls, starts)
-        keep = np.flatnonzero((mixed & (sizes > led + 1))[bucket])
+        keep = (mixed & (sizes > led + 1))[bucket]
+        keep = np.flatnonzero(keep if led else keep & _matched(n, bucket, num, den))
         for at in range(0, len(keep), 100_000):
             k = keep[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(node[k]), pa.array(n[k].astype(np.int32)), pa.array(pos[k].astype(np.int32)), pa.array(cls[k])], names=["h", "node", "n", "pos", "cls"])

@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -384,6 +385,25 @@ def test_near_dedup_gives_its_disk_back(spark, monkeypatch):
     release(df)
 
 
+def test_open_buckets_keep_rows_with_a_possible_partner():
+    """Texts too unlike in length to be similar do not keep a bucket's rows; all that could have a partner stay."""
+    rng = np.random.default_rng(14)
+    rows = 3000
+    h, node = rng.integers(0, 700, rows), np.arange(rows)
+    n = rng.integers(1, 2000, rows).astype(np.int32)
+    pos = (rng.random(rows) * (n // 5 + 1)).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (h, node, n, pos)], names=["h", "node", "n", "pos"])
+    kept = {x for b in simhash._open_buckets(0, 4, 5)([batch]) for x in b.column(1).to_pylist()}
+    want, able = set(), set()
+    for i in range(rows):
+        for j in np.flatnonzero(h == h[i]).tolist():
+            if i != j and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]):
+                want.add(i)
+            if i != j and 9 * min(n[i] - pos[i], n[j] - pos[j]) >= 4 * (int(n[i]) + int(n[j])):
+                able.add(i)
+    assert kept == want and able <= kept and len(able) > 100 and len(kept) < 0.9 * rows
+
+
 def test_suffix_hot_passage_cut_short_in_one_pack(spark, monkeypatch):
     """The start or end of a frequent passage, with its surroundings, in neighbours of which one ends or differs there."""
     monkeypatch.setattr(suffix_dedup, "HOT_PACKS", 3)
