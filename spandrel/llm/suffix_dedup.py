@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.llm.arrow import frugal, slices
-from spandrel.session import materialize
+from spandrel.session import materialize, sweep
 
 MIN_BYTES, GRAM, SIDE = 50, 16, 17
 SPARE_BITS, HOT_PACKS = 14, 192
@@ -333,6 +333,8 @@ def _context_rows(buckets: int, bits: int):
         press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, 1):
             for row in batch.to_pylist():
+                if not row["blobs"]:
+                    continue
                 made = [(k, row["batch"], press.compress(ids), sizes, press.compress(texts)) for k, ids, sizes, texts in _Pieces(row, buckets, bits).rows()]
                 if made:
                     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -484,8 +486,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = packs.mapInArrow(frugal(_key_rows(buckets, bits)), "bucket long, batch long, blob binary")
     repeated = keys.groupBy("bucket").applyInArrow(_repeated, "batch long, bucket long, blob binary, hot binary")
     wanted = materialize(repeated.groupBy("batch").agg(F.collect_list(F.struct("bucket", "blob", "hot")).alias("blobs")), "repeats")
+    # The shuffled hashes go before the contexts come. Both steps below take the very same join, so that packs are shuffled once.
+    del keys, repeated
+    sweep(spark)
     joined = packs.join(wanted, "batch", "left")
-    sent = joined.where("blobs is not null").mapInArrow(frugal(_context_rows(buckets, bits)), "bucket long, batch long, ids binary, sizes binary, texts binary")
+    sent = joined.mapInArrow(frugal(_context_rows(buckets, bits)), "bucket long, batch long, ids binary, sizes binary, texts binary")
     judged = sent.groupBy("bucket").applyInArrow(_judge, "batch long, bucket long, words binary")
     told = judged.groupBy("batch").agg(F.collect_list(F.struct("bucket", "words")).alias("judged"))
     return joined.join(told, "batch", "left").mapInArrow(frugal(_remove(buckets, bits)), RESULT)

@@ -385,6 +385,36 @@ def test_near_dedup_gives_its_disk_back(spark, monkeypatch):
     release(df)
 
 
+def test_suffix_shuffles_packs_once_and_drops_its_hashes(spark):
+    """The shuffled hashes are gone before contexts are sent; the packs' one shuffle serves both steps that read them."""
+    rng = random.Random(15)
+    texts = ["".join(f"{rng.getrandbits(64):x}" for _ in range(12_000)) for _ in range(12)]
+    rows = [(i + 1, t) for i, t in enumerate([*texts, *(t[::-1] + t[:500] for t in texts)])]
+    df = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "input")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sweep(spark)
+        time.sleep(2)
+        start = shuffle_bytes(spark)
+        found = suffix_dedup.remove_repeats(df)
+        # Spark deletes in the background; over 1 MB of hashes were shuffled.
+        for _ in range(50):
+            if (left := shuffle_bytes(spark) - start) < 1e5:
+                break
+            time.sleep(0.1)
+        assert left < 1e5
+        removed = {r.doc_id: r.n_removed for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert removed == {i: 0 if i <= 12 else 500 for i in removed} and len(removed) == 24
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "data#" in line]
+    reused = [line for line in plan.splitlines() if "ReusedExchange" in line and "data#" in line]
+    assert len(scans) == len(reused) == 1
+    release(df)
+
+
 def test_open_buckets_keep_rows_with_a_possible_partner():
     """Texts too unlike in length to be similar do not keep a bucket's rows; all that could have a partner stay."""
     rng = np.random.default_rng(14)
