@@ -12,7 +12,10 @@ of their minimizer, and each bucket gets a suffix order of its own:
    several documents hold. Only minimizers with such a hash are looked at
    further. (The hash only filters; its width grows with the input.)
 3. For these, a pack sends each distinct context (the union of the 50-byte
-   strings of one minimizer) once, with its smallest document id.
+   strings of one minimizer) once, with its smallest document id. Contexts grow
+   faster than the input while more of it repeats; beyond one repeated hash for
+   ``SHARE_BYTES`` bytes of text this and the next step take one share of the
+   buckets after the other, each as large as that. Every bucket has its turn.
 4. A bucket sorts the strings of its contexts in suffix order and forms their
    longest-previous-factor array, truncated to 50: the nearest string before and
    after in suffix order that is in a smaller document gives the longest factor
@@ -48,7 +51,7 @@ from spandrel.llm.arrow import frugal, slices
 from spandrel.session import materialize, sweep
 
 MIN_BYTES, GRAM, SIDE = 50, 16, 17
-SPARE_BITS, HOT_PACKS = 14, 192
+SPARE_BITS, HOT_PACKS, SHARE_BYTES = 14, 192, 28
 PACK_BYTES, BUCKET_BYTES = 2 << 20, 6 << 20
 SLICE = 1 << 22
 POSITION_BITS = 23
@@ -221,7 +224,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     some = np.flatnonzero(np.diff(cut))
     spans = [slice(cut[i], cut[i + 1]) for i in some]
     hottest = [_squeeze(bare[s][hot[s]]) if hot[s].any() else b"" for s in spans]
-    return pa.table({"batch": pa.array(table["batch"].to_numpy()[some]), "bucket": pa.array(table["bucket"].to_numpy()[some]), "blob": pa.array([_squeeze(bare[s]) for s in spans], pa.binary()), "hot": pa.array(hottest, pa.binary())})
+    return pa.table({"batch": pa.array(table["batch"].to_numpy()[some]), "bucket": pa.array(table["bucket"].to_numpy()[some]), "blob": pa.array([_squeeze(bare[s]) for s in spans], pa.binary()), "hot": pa.array(hottest, pa.binary()), "n": pa.array(np.diff(cut)[some])})
 
 
 class _Pieces:
@@ -328,14 +331,14 @@ def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def _context_rows(buckets: int, bits: int):
+def _context_rows(buckets: int, bits: int, turn: int, turns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 if not row["blobs"]:
                     continue
-                made = [(k, row["batch"], press.compress(ids), sizes, press.compress(texts)) for k, ids, sizes, texts in _Pieces(row, buckets, bits).rows()]
+                made = [(k, row["batch"], press.compress(ids), sizes, press.compress(texts)) for k, ids, sizes, texts in _Pieces(row, buckets, bits).rows() if k % turns == turn]
                 if made:
                     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=["bucket", "batch", "ids", "sizes", "texts"])
@@ -484,13 +487,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     bits = min(62, max(32, int(total).bit_length() + SPARE_BITS))
     keys = packs.mapInArrow(frugal(_key_rows(buckets, bits)), "bucket long, batch long, blob binary")
-    repeated = keys.groupBy("bucket").applyInArrow(_repeated, "batch long, bucket long, blob binary, hot binary")
-    wanted = materialize(repeated.groupBy("batch").agg(F.collect_list(F.struct("bucket", "blob", "hot")).alias("blobs")), "repeats")
-    # The shuffled hashes go before the contexts come. Both steps below take the very same join, so that packs are shuffled once.
+    repeated = keys.groupBy("bucket").applyInArrow(_repeated, "batch long, bucket long, blob binary, hot binary, n long")
+    wanted = materialize(repeated.groupBy("batch").agg(F.collect_list(F.struct("bucket", "blob", "hot")).alias("blobs"), F.sum("n").alias("n")), "repeats")
+    # The shuffled hashes go before the contexts come.
     del keys, repeated
     sweep(spark)
-    joined = packs.join(wanted, "batch", "left")
-    sent = joined.mapInArrow(frugal(_context_rows(buckets, bits)), "bucket long, batch long, ids binary, sizes binary, texts binary")
-    judged = sent.groupBy("bucket").applyInArrow(_judge, "batch long, bucket long, words binary")
-    told = judged.groupBy("batch").agg(F.collect_list(F.struct("bucket", "words")).alias("judged"))
+    turns = max(1, -(-(wanted.agg(F.sum("n")).first()[0] or 0) * SHARE_BYTES // max(1, total)))
+    joined = packs.join(wanted.drop("n"), "batch", "left")
+
+    def judged(turn: int) -> DataFrame:
+        sent = joined.mapInArrow(frugal(_context_rows(buckets, bits, turn, turns)), "bucket long, batch long, ids binary, sizes binary, texts binary")
+        return sent.groupBy("bucket").applyInArrow(_judge, "batch long, bucket long, words binary")
+
+    words = None
+    for turn in range(turns):
+        # The contexts of a share go before the next one's come. The last share stays in the plan of the result, whose other
+        # step takes the very same join, so that both read one shuffle of the packs.
+        share = judged(turn) if turn == turns - 1 else materialize(judged(turn), "judged")
+        words = share if words is None else words.unionByName(share)
+        if turn < turns - 1:
+            sweep(spark)
+    told = words.groupBy("batch").agg(F.collect_list(F.struct("bucket", "words")).alias("judged"))
     return joined.join(told, "batch", "left").mapInArrow(frugal(_remove(buckets, bits)), RESULT)

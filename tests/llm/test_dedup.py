@@ -415,6 +415,28 @@ def test_suffix_shuffles_packs_once_and_drops_its_hashes(spark):
     release(df)
 
 
+def test_suffix_contexts_go_in_shares(spark, monkeypatch):
+    """However many shares the buckets are taken in, results are the same and no bucket is in two shares."""
+    rng = random.Random(16)
+    some = lambda n: "".join(f"{rng.getrandbits(64):x}" for _ in range(n))
+    passages = [some(40) for _ in range(40)]
+    rows = [(i, some(5) + "".join(rng.sample(passages, 6)) + some(5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 10_000)
+    folder = shared_dir(spark).removeprefix("file:")
+    want, stored = brute_repeats(rows), []
+    for size in (0, 28, 56):
+        monkeypatch.setattr(suffix_dedup, "SHARE_BYTES", size)
+        before = set(os.listdir(folder))
+        assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).collect()) == want
+        shares = [{r.bucket for r in spark.read.parquet(f"{folder}/{name}").collect()} for name in set(os.listdir(folder)) - before if name.startswith("judged-")]
+        assert sum(map(len, shares)) == len(set().union(*shares))
+        stored.append(len(shares))
+    # The last share is not stored.
+    assert 0 == stored[0] < stored[1] < stored[2]
+
+
 def test_open_buckets_keep_rows_with_a_possible_partner():
     """Texts too unlike in length to be similar do not keep a bucket's rows; all that could have a partner stay."""
     rng = np.random.default_rng(14)
